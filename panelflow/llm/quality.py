@@ -27,7 +27,7 @@ MOST_MISS = 0.002
 RULES = {
     "symbols_per_word": (lambda c: c("n_symbols") / c("n_words"), 0.3, 0.05),
     "repeated_words": (lambda c: c("n_repeat_words") / c("n_words"), 0.3, 0.1),
-    "repeated_lines": (lambda c: F.when(c("n_lines") >= 3, c("n_dup_lines") / c("n_lines")), 0.3, 0.05),
+    "repeated_lines": (lambda c: F.when(c("n_lines") >= 4, c("n_dup_lines") / c("n_lines")), 0.5, 0.05),
     "capitals": (lambda c: c("n_upper") / c("word_chars"), 0.4, 0.15),
     "exclamations": (lambda c: c("n_exclaim") / c("n_words"), 0.3, 0.05),
     "word_length": (lambda c: F.abs(c("word_chars") / c("n_words") - 6.0), 5.0, 3.0),

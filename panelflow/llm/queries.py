@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import minhash, quality, secret_scan
+from panelflow.llm import licenses, minhash, mixing, quality, secret_scan
 from panelflow.llm.common import read_table
 
 
@@ -26,4 +26,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *(F.col("_q")[c].alias(c) for c in columns), "base_failed", "kept", F.round("p_quality", 6).alias("p_quality"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_secrets, op5_quality)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "n_tokens", "domain", F.round("rate", 6).alias("rate"), "copies")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash, op3_secrets, op5_quality, op9_mixing, op10_licenses)}
