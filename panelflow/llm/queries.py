@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import licenses, minhash, mixing, quality, secret_scan
+from panelflow.llm import licenses, minhash, mixing, packing, quality, secret_scan, tokens
 from panelflow.llm.common import read_table
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_file_digests(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -26,6 +37,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *(F.col("_q")[c].alias(c) for c in columns), "base_failed", "kept", F.round("p_quality", 6).alias("p_quality"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "n_tokens", "domain", F.round("rate", 6).alias("rate"), "copies")
@@ -35,4 +50,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_secrets, op5_quality, op9_mixing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_minhash, op3_secrets, op5_quality, op7_packing, op9_mixing, op10_licenses)}
