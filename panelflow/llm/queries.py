@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import licenses, minhash, mixing, packing, quality, secret_scan, tokens
+from panelflow.llm import embeddings, langid, licenses, minhash, mixing, packing, quality, secret_scan, tokens
 from panelflow.llm.common import read_table
 
 
@@ -37,10 +37,18 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *(F.col("_q")[c].alias(c) for c in columns), "base_failed", "kept", F.round("p_quality", 6).alias("p_quality"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "n_tokens", "domain", F.round("rate", 6).alias("rate"), "copies")
@@ -50,4 +58,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_minhash, op3_secrets, op5_quality, op7_packing, op9_mixing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_minhash, op3_secrets, op5_quality, op6_embeddings, op7_packing, op8_language, op9_mixing, op10_licenses)}
