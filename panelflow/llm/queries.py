@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import embeddings, langid, licenses, minhash, mixing, packing, quality, secret_scan, tokens
+from panelflow.llm import embeddings, langid, licenses, minhash, mixing, packing, quality, secret_scan, suffixes, tokens
 from panelflow.llm.common import read_table
 
 
@@ -31,6 +31,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.written(F.col("_base")), 256).alias("base_sha256"), secret_scan.written(spans).alias("spans"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(read_table(spark, sf_dir, "documents"))
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -58,4 +63,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_minhash, op3_secrets, op5_quality, op6_embeddings, op7_packing, op8_language, op9_mixing, op10_licenses)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_minhash, op3_secrets, op4_suffixes, op5_quality,
+        op6_embeddings, op7_packing, op8_language, op9_mixing, op10_licenses,
+    )
+}
