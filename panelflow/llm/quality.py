@@ -162,4 +162,7 @@ def score_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     judged = measure(docs.drop("_q", "_v", "base_failed", "p_quality", "kept"), text_col).withColumn("_v", votes())
     rows = judged.groupBy("_v").count().collect()
     model = fit([(tuple(r["_v"]), r["count"]) for r in rows])
-    return judged.withColumn("base_failed", base_failed()).withColumn("p_quality", posterior(model)).withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= KEEP_AT))
+    judged = judged.withColumn("base_failed", base_failed()).withColumn("p_quality", posterior(model))
+    # a filter on kept is not moved below a row number, where every use of a count would make the count anew
+    in_place = F.monotonically_increasing_id() >= 0
+    return judged.withColumn("kept", in_place & ~F.col("base_failed") & (F.col("p_quality") >= KEEP_AT))
