@@ -27,9 +27,9 @@ SPAN = LENGTH - LETTERS + 1
 #: A perfect difference set: every difference modulo COVER is one of two members.
 COVER, MEMBERS = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 EDGE = 64
-SEGMENT = 8_000_000
+SEGMENT = 2_000_000
 #: Bytes sorted at a time, and the contexts above which a bucket's strings are counted by fingerprint instead.
-BLOCK_BYTES, MOST_CONTEXTS = 1_500_000, 6_000
+BLOCK_BYTES, MOST_CONTEXTS = 1_000_000, 6_000
 
 
 def _prefix(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +76,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 def _segments(ids: list, texts: list) -> Iterator[tuple[list, list, list]]:
     """Ids, offsets and bytes; a very long text comes in overlapping parts that share no start of a string."""
-    for own, part in by_size(ids, texts):
+    for own, part in by_size(ids, texts, SEGMENT):
         cut = [(i, a, t[a : a + SEGMENT + LENGTH - 1]) for i, t in zip(own, part) if t for a in range(0, max(1, len(t) - LENGTH + 1), SEGMENT)]
         while cut:
             take, size = 0, 0
