@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from panelflow.llm.common import Scratch, worker_cache
 
 END_ID = 2
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 #: Distinct chunks a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Ids in a block of a token file, if its last document doesn't need more.
 BLOCK_IDS = 65_536
 
@@ -60,10 +60,12 @@ class Encoder:
         return [text] if self.odd.search(text) else self.chunk.findall(text)
 
     def learn(self, new: list[bytes]) -> None:
-        found = tokenizer(self.path).encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for e in ids for x in e), np.uint32, int(length.sum()))
+        text = [w.decode("utf-8", "replace") for w in new]
+        lists = [text[a : a + 500] for a in range(0, len(text), 500)]
+        found = tokenizer(self.path).encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        owner = np.concatenate([np.array(e.word_ids, np.int64) + 500 * i for i, e in enumerate(found)])
+        length = np.bincount(owner, minlength=len(new))
         self.known.update(zip(new, range(len(self.length), len(self.length) + len(new))))
         self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
