@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.common import SPACE
+from panelflow.llm.common import SPACE, Scratch
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -152,14 +152,18 @@ def posterior(model: dict) -> Column:
     return 1 / (1 + F.exp(odds))
 
 
-def score_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `_q` (counts), `_v` (votes), `base_failed`, `p_quality` and `kept`.
+def score_quality(docs: DataFrame, text_col: str = "text", only: list[str] | None = None) -> DataFrame:
+    """docs, or their columns `only`, with `_q` (counts), `_v` (votes), `base_failed`, `p_quality` and `kept`.
 
     A document is kept if the base rules pass and its posterior reaches KEEP_AT.
     Null and blank texts have zero counts and fail; equal rows score alike; an
     empty table stays empty.  Columns of docs by the five names are replaced.
+    With `only`, counts are made once and written to the shared folder; whole
+    rows are measured again rather than written.
     """
     judged = measure(docs.drop("_q", "_v", "base_failed", "p_quality", "kept"), text_col).withColumn("_v", votes())
+    if only is not None:
+        judged = Scratch(docs.sparkSession, "quality").save(judged.select(*only, "_q", "_v"))
     rows = judged.groupBy("_v").count().collect()
     model = fit([(tuple(r["_v"]), r["count"]) for r in rows])
     judged = judged.withColumn("base_failed", base_failed()).withColumn("p_quality", posterior(model))

@@ -37,7 +37,7 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.score_quality(read_table(spark, sf_dir, "documents"))
+    scored = quality.score_quality(read_table(spark, sf_dir, "documents"), only=["doc_id"])
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return scored.select("doc_id", *(F.col("_q")[c].alias(c) for c in columns), "base_failed", "kept", F.round("p_quality", 6).alias("p_quality"))
 
