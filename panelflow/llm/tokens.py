@@ -62,7 +62,7 @@ class Encoder:
     def learn(self, new: list[bytes]) -> None:
         text = [w.decode("utf-8", "replace") for w in new]
         lists = [text[a : a + 500] for a in range(0, len(text), 500)]
-        found = tokenizer(self.path).encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False)
+        found = tokenizer(self.path).encode_batch(lists, is_pretokenized=True, add_special_tokens=False)
         flat = np.concatenate([np.array(e.ids, np.uint32) for e in found])
         owner = np.concatenate([np.array(e.word_ids, np.int64) + 500 * i for i, e in enumerate(found)])
         length = np.bincount(owner, minlength=len(new))
