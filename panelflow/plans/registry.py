@@ -1,6 +1,286 @@
-"""Queries by name and, where SQL can express them, their DuckDB twins."""
+"""Queries by name, over panels made of the fixture tables, and their DuckDB twins in `oracles`."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from panelflow.config import EngineConfig
+from panelflow.operators import allocate, backtest, benchmark, cluster, panel
+from panelflow.plans import policy
+from panelflow.plans.oracles import ORACLES
+from panelflow.sources import adapters
+
+#: Clusters of the queries that take a series' id modulo K for its cluster, and of those that find clusters.
+K, FOUND, ROUNDS = 4, 4, 4
+CFG = EngineConfig(obs_window=30)
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.supplier_weeks(spark, sf_dir)
+
+
+def _returns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _panel(spark, sf_dir)
+    times = panel.calendar(rows)
+    return panel.returns(rows, times), times
+
+
+def _series(rets: DataFrame, times: DataFrame) -> DataFrame:
+    """Cluster series (ts, i, cluster, ret, vol, mom) of clusters by id modulo K, every series a member at every time."""
+    size = rets.groupBy(F.pmod("algo_id", F.lit(K)).cast("int").alias("cluster")).agg(F.countDistinct("algo_id").alias("n"))
+    sums = rets.groupBy("i", F.pmod("algo_id", F.lit(K)).cast("int").alias("cluster")).agg(F.sum("ret").alias("s"))
+    grid = times.crossJoin(F.broadcast(size))
+    series = grid.join(sums, ["i", "cluster"], "left").select("ts", "i", "cluster", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("ret"))
+    return cluster.cluster_features(series)
+
+
+def _frame(series: DataFrame, bench: DataFrame, fold: str = "all") -> DataFrame:
+    """(fold, ts, rets, moms, bench_ret): a row a time, cluster values as arrays."""
+    rows = series.groupBy("ts").agg(F.array_sort(F.collect_list(F.struct("cluster", "ret", "mom"))).alias("c")).withColumn("date", F.to_date("ts"))
+    return rows.join(bench, "date").select(F.lit(fold).alias("fold"), "ts", F.transform("c", lambda x: x["ret"]).alias("rets"), F.transform("c", lambda x: x["mom"]).alias("moms"), "bench_ret")
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rets, times = _returns(spark, sf_dir)
+    bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")
+    return backtest.simulate(policy.momentum(_frame(_series(rets, times), bench)), CFG)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the momentum policy over panel B."""
+    rows = adapters.brand_months(spark, sf_dir)
+    times = panel.calendar(rows)
+    rets = panel.returns(rows, times)
+    bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")
+    return backtest.kpis(backtest.simulate(policy.momentum(_frame(_series(rets, times), bench)), replace(CFG, obs_window=3)), CFG)
+
+
+def q01_panel(spark, sf_dir):
+    return _panel(spark, sf_dir).select(F.to_date("ts").alias("d"), "algo_id", _r("close", 4).alias("close"))
+
+
+def q02_dedupe_first(spark, sf_dir):
+    e = adapters.table(spark, sf_dir, "events").withColumn("date", F.to_date("ts"))
+    return panel.dedupe_first(e, ["user_id", "date"], "event_id").select("user_id", "date", "event_id")
+
+
+def q03_calendar(spark, sf_dir):
+    return panel.calendar(_panel(spark, sf_dir)).select(F.to_date("ts").alias("d"), "i")
+
+
+def q04_returns_padded(spark, sf_dir):
+    return _returns(spark, sf_dir)[0].select("i", "algo_id", _r("ret").alias("ret"))
+
+
+def q05_active_mask(spark, sf_dir):
+    e = adapters.table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("ts"), F.col("user_id").alias("algo_id")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("close"))
+    return panel.returns(e, panel.calendar(e)).select("i", "algo_id", F.col("active").cast("int").alias("active"))
+
+
+def q06_dense_lifespan(spark, sf_dir):
+    rets, times = _returns(spark, sf_dir)
+    return panel.dense(rets, times, CFG.window).groupBy("algo_id").agg(F.count("*").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.sum(F.col("active").cast("int")).alias("live"))
+
+
+def q07_macro(spark, sf_dir):
+    m = panel.macro(*_returns(spark, sf_dir))
+    return m.select("i", _r("syn_mkt_ret", 8).alias("syn_mkt_ret"), _r("syn_vix", 8).alias("syn_vix"), _r("syn_breadth").alias("syn_breadth"))
+
+
+def _features(spark, sf_dir):
+    rets, times = _returns(spark, sf_dir)
+    return cluster.window_features(panel.dense(rets, times, CFG.window), CFG.window, CFG.active_share, FOUND)
+
+
+def q08_eligibility(spark, sf_dir):
+    return _features(spark, sf_dir).groupBy("i").agg(F.count("*").alias("eligible"), F.sum("algo_id").alias("ids"))
+
+
+def q09_window_features(spark, sf_dir):
+    return _features(spark, sf_dir).select("i", "algo_id", _r("ret_total").alias("ret_total"), _r("volatility").alias("volatility"))
+
+
+def q10_scaled_features(spark, sf_dir):
+    return cluster.scaled(_features(spark, sf_dir)).select("i", "algo_id", _r("x", 5).alias("x"), _r("y", 5).alias("y"))
+
+
+def _labels(spark, sf_dir):
+    return cluster.kmeans(cluster.scaled(_features(spark, sf_dir)), FOUND, ROUNDS)
+
+
+def q11_kmeans_labels(spark, sf_dir):
+    return _labels(spark, sf_dir)
+
+
+def _found(spark, sf_dir):
+    rets, times = _returns(spark, sf_dir)
+    return cluster.cluster_returns(_labels(spark, sf_dir), rets, times, FOUND)
+
+
+def q12_cluster_returns(spark, sf_dir):
+    return _found(spark, sf_dir).select("i", "cluster", _r("ret").alias("ret"))
+
+
+def q13_cluster_vol_mom(spark, sf_dir):
+    return cluster.cluster_features(_found(spark, sf_dir)).select("i", "cluster", _r("vol").alias("vol"), _r("mom").alias("mom"))
+
+
+def q14_cluster_wide(spark, sf_dir):
+    w = cluster.wide(_series(*_returns(spark, sf_dir)), K)
+    return w.select("i", *(_r(c).alias(c) for c in w.columns if c.startswith("C")))
+
+
+def q15_monthly_equity(spark, sf_dir):
+    return benchmark.monthly_equity(adapters.order_months(spark, sf_dir)).select("month_end", _r("equity").alias("equity"))
+
+
+def _asof(spark, sf_dir, gap):
+    times = panel.calendar(_panel(spark, sf_dir))
+    # the benchmark starts a year late here, so that the gap rules differ
+    late = adapters.order_months(spark, sf_dir).where("month >= '1996-01'")
+    return benchmark.asof_returns(times, late, gap).select("date", _r("bench_ret", 8).alias("bench_ret"))
+
+
+def q16_benchmark_asof_bfill(spark, sf_dir):
+    return _asof(spark, sf_dir, "bfill")
+
+
+def q17_benchmark_asof_one(spark, sf_dir):
+    return _asof(spark, sf_dir, "one")
+
+
+def q18_resample_daily_ffill(spark, sf_dir):
+    e = adapters.table(spark, sf_dir, "events").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return benchmark.resample_daily(e, ["user_id"], "value").select("user_id", "date", _r("value", 4).alias("value"))
+
+
+def q19_align_inner_dates(spark, sf_dir):
+    rets, times = _returns(spark, sf_dir)
+    bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")
+    rows = benchmark.align(_series(rets, times), panel.macro(rets, times), bench, "1996-01-01", "1998-12-31")
+    return rows.select("date", "cluster", _r("ret").alias("ret"), _r("syn_mkt_ret", 8).alias("syn_mkt_ret"), _r("bench_ret", 8).alias("bench_ret"))
+
+
+def q20_backtest_log(spark, sf_dir):
+    return _log(spark, sf_dir).select(F.to_date("ts").alias("d"), _r("equity", 4).alias("equity"), _r("ret", 8).alias("ret"), _r("turnover").alias("turnover"), _r("cost", 8).alias("cost"), _r("cash_weight").alias("cash_weight"))
+
+
+def q21_drawdown_curve(spark, sf_dir):
+    return backtest.drawdown(_log(spark, sf_dir)).select(F.to_date("ts").alias("d"), _r("rebased", 4).alias("rebased"), _r("drawdown").alias("drawdown"))
+
+
+def q22_kpis(spark, sf_dir):
+    k = backtest.kpis(_log(spark, sf_dir), CFG)
+    return k.select("periods", *(_r(c, 5).alias(c) for c in ("total_return", "cagr", "vol", "max_drawdown", "sharpe", "sortino", "calmar", "win_rate")))
+
+
+def q23_alpha_beta(spark, sf_dir):
+    return backtest.kpis(_log(spark, sf_dir), CFG).select(_r("alpha", 5).alias("alpha"), _r("beta", 5).alias("beta"))
+
+
+def q24_cluster_profile(spark, sf_dir):
+    s = _series(*_returns(spark, sf_dir))
+    return s.groupBy("cluster").agg(_r(F.avg("ret") * 252).alias("ret"), _r(F.stddev_samp("ret") * F.sqrt(F.lit(252.0)), 5).alias("vol"))
+
+
+def q25_allocation_rank(spark, sf_dir):
+    return backtest.allocation_rank(_log(spark, sf_dir)).select("cluster", _r("mean_weight").alias("mean_weight"))
+
+
+def q26_return_histogram(spark, sf_dir):
+    return backtest.histogram(_log(spark, sf_dir)).select("bin", "n", _r("density", 3).alias("density"))
+
+
+def q27_report_lines(spark, sf_dir):
+    return backtest.report_lines(backtest.kpis(_log(spark, sf_dir), CFG)).select("n", "line")
+
+
+FOLDS = [(f"F{y}", "1995-01-01", f"{y - 1}-12-31", f"{y}-01-01", f"{y}-12-31") for y in (1997, 1998, 1999)]
+
+
+def _folded(spark, sf_dir):
+    """Each fold's log; features are those of the whole series, as folds slice ready features."""
+    rets, times = _returns(spark, sf_dir)
+    bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")
+    acted = policy.momentum(_frame(_series(rets, times), bench)).drop("fold")
+    folds = spark.createDataFrame(FOLDS, "fold string, tr_start string, tr_end string, te_start string, te_end string")
+    cast = folds.select("fold", *(F.col(c).cast("date").alias(c) for c in folds.columns[1:]))
+    return backtest.simulate(backtest.walk_forward(acted, cast), replace(CFG, obs_window=12), ("fold", "split"))
+
+
+def q28_walkforward_folds(spark, sf_dir):
+    return _folded(spark, sf_dir).groupBy("fold", "split").agg(F.count("*").alias("steps"), F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last"), _r(F.max_by("equity", "ts"), 3).alias("equity"))
+
+
+def q29_stitched_curve(spark, sf_dir):
+    return backtest.stitched(_folded(spark, sf_dir).where("split = 'test'")).select(F.to_date("ts").alias("d"), _r("curve", 4).alias("curve"))
+
+
+def q30_fold_summary(spark, sf_dir):
+    k = backtest.kpis(_folded(spark, sf_dir), CFG, ("fold", "split"))
+    p = k.groupBy("fold").pivot("split", ["train", "test"]).agg(F.first("total_return").alias("ret"), F.first("sharpe").alias("sharpe"))
+    return p.select("fold", _r("train_ret", 5).alias("train_ret"), _r("test_ret", 5).alias("test_ret"), _r("train_sharpe", 4).alias("train_sharpe"), _r("test_sharpe", 4).alias("test_sharpe"))
+
+
+def q31_allocate_capital(spark, sf_dir):
+    rets, times = _returns(spark, sf_dir)
+    labels = rets.where("i % 10 = 0").select("ts", "algo_id", F.pmod("algo_id", F.lit(K)).cast("int").alias("cluster"))
+    weights = spark.createDataFrame([(0, 0.4), (1, 0.3), (2, 0.0), (3, 0.2), (9, 0.1)], "cluster int, weight double")
+    at = times.where("i = 105").select(F.col("ts").cast("string")).first()[0]
+    return allocate.distribute(1e6, weights, labels, rets.select("ts", "algo_id", "active"), at).select("algo_id", _r("amount", 4).alias("amount"))
+
+
+def q32_baseline_fit(spark, sf_dir):
+    rets, times = _returns(spark, sf_dir)
+    fit = allocate.baseline_fit(_series(rets, times), panel.macro(rets, times))
+    return spark.createDataFrame([(c, *map(float, v)) for c, v in sorted(fit.items())], "cluster int, intercept double, b_ret double, b_vix double, b_breadth double").select("cluster", *(_r(c, 4).alias(c) for c in ("intercept", "b_ret", "b_vix", "b_breadth")))
+
+
+def q33_baseline_weights(spark, sf_dir):
+    s = _series(*_returns(spark, sf_dir)).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("cluster", "mom"))).alias("c"))
+    w = s.select("i", allocate.baseline_weights(F.transform("c", lambda x: x["mom"])).alias("w"))
+    return w.select("i", F.posexplode("w").alias("slot", "weight")).select("i", "slot", _r("weight").alias("weight"))
+
+
+def q34_observation_window(spark, sf_dir):
+    rets, times = _returns(spark, sf_dir)
+    o = cluster.observations(_series(rets, times), panel.macro(rets, times), CFG.obs_window)
+    return o.select("i", F.size("obs").alias("n"), F.size(F.get("obs", F.lit(0))).alias("width"), _r(F.get(F.element_at("obs", -1), F.lit(0))).alias("last_ret"), _r(F.get(F.element_at("obs", 1), F.lit(0))).alias("first_ret"))
+
+
+def q35_reward(spark, sf_dir):
+    return _log(spark, sf_dir).select(F.to_date("ts").alias("d"), _r("reward").alias("reward"))
+
+
+def q36_policy_rollout(spark, sf_dir):
+    """The learned policy's log: a seeded network trained by evolution on the first half, rolled out over all."""
+    import numpy as np
+
+    rets, times = _returns(spark, sf_dir)
+    series, indicators = _series(rets, times), panel.macro(rets, times)
+    obs = cluster.observations(series, indicators, CFG.obs_window)
+    bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")
+    frame = _frame(series, bench)
+    rows = obs.where(F.col("i") < 180).join(frame, "ts").orderBy("i").select("obs", "rets", "bench_ret").toPandas()
+    net = policy.Network(3 * K + 3, K + 1, hidden=16)
+    if len(rows):
+        net = policy.train(net, np.stack([np.asarray(o[-1], float) for o in rows["obs"]]), np.stack(rows["rets"].to_numpy()), rows["bench_ret"].to_numpy(), spark)
+    log = backtest.simulate(frame.join(policy.roll_out(net, obs), "ts"), replace(CFG, obs_window=0))
+    return log.select(F.to_date("ts").alias("d"), _r("equity", 4).alias("equity"), _r("ret", 8).alias("ret"))
+
+
+def q37_global_curves(spark, sf_dir):
+    """Strategy and benchmark from 100 on the stitched dates: plot data of the global chart."""
+    log = _folded(spark, sf_dir).where("split = 'test'")
+    w = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return log.select(F.to_date("ts").alias("d"), _r(100 * F.product(1 + F.col("ret")).over(w), 4).alias("strategy"), _r(100 * F.product(1 + F.col("benchmark_return")).over(w), 4).alias("bench"))
+
+
+QUERIES = {name: f for name, f in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
