@@ -33,19 +33,29 @@ def tokenizer(path: str):
     return held["tokenizer", path]
 
 
+#: Bytes that keep a text from being cut into the vocabularies' own words: apostrophes, which start contractions, control characters, and all but ASCII and Latin-1 letters.
+OTHER = re.compile(rb"['\x00-\x08\x0e-\x1f\x7f\xc0-\xc2\xc4-\xff]|\xc3[\x97\xb7]")
+#: Words of a text without OTHER: letters (lower-cased before), single digits, marks; white space parts them.
+PLAIN = re.compile(rb"[a-z\x80-\xbf\xc3]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: The same where a word takes the one space before it, and other white space is words too.
+SPACED = re.compile(rb" ?[A-Za-z\x80-\xbf\xc3]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
+#: Of other texts: white space and what follows it, and white space other than ASCII.
+LOOSE = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct chunk encoded once.
 
-    Texts are cut where neither vocabulary's rules look across: before ASCII
-    white space that follows other characters.  With keep_space a chunk keeps
-    the white space before it (byte-level rules); a text that holds other kinds
-    of white space is then one chunk.  Without, white space is dropped.
+    Texts are cut only where the vocabulary's rules never look across.  A text
+    of ASCII and Latin-1 letters is cut into the vocabulary's own words; others
+    before ASCII white space.  With keep_space (byte-level rules) chunks keep
+    white space, and a text with other kinds of it is one chunk; without, white
+    space and case are dropped, as that vocabulary drops them.
     """
 
     def __init__(self, path: str, keep_space: bool):
         self.path, self.keep_space = path, keep_space
-        self.chunk = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
-        self.odd = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
         self.forget()
 
     def forget(self) -> None:
@@ -55,9 +65,12 @@ class Encoder:
     def chunks(self, text: bytes | None) -> list:
         if not text:
             return []
+        other = OTHER.search(text)
         if not self.keep_space:
-            return text.split()
-        return [text] if self.odd.search(text) else self.chunk.findall(text)
+            return text.split() if other else PLAIN.findall(text.lower())
+        if not other:
+            return SPACED.findall(text)
+        return [text] if ODD.search(text) else LOOSE.findall(text)
 
     def learn(self, new: list[bytes]) -> None:
         text = [w.decode("utf-8", "replace") for w in new]
