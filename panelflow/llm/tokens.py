@@ -44,6 +44,15 @@ LOOSE = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+class _Known(dict):
+    """Numbers of chunks; a new chunk gets the next one and is noted in `new`."""
+
+    def __missing__(self, chunk) -> int:
+        self[chunk] = at = len(self)
+        self.new.append(chunk)
+        return at
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct chunk encoded once.
 
@@ -59,8 +68,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict = {None: 0}
-        self.pool, self.begin, self.length = np.array([END_ID], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.known = _Known({None: 0})
+        self.known.new = []
+        self.pool, self.begin, self.length = np.array([END_ID], np.uint32), np.zeros(1, np.int32), np.ones(1, np.int32)
 
     def chunks(self, text: bytes | None) -> list:
         if not text:
@@ -78,9 +88,8 @@ class Encoder:
         found = tokenizer(self.path).encode_batch(lists, is_pretokenized=True, add_special_tokens=False)
         flat = np.concatenate([np.array(e.ids, np.uint32) for e in found])
         owner = np.concatenate([np.array(e.word_ids, np.int64) + 500 * i for i, e in enumerate(found)])
-        length = np.bincount(owner, minlength=len(new))
-        self.known.update(zip(new, range(len(self.length), len(self.length) + len(new))))
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(length) - length])
+        length = np.bincount(owner, minlength=len(new)).astype(np.int32)
+        self.begin = np.concatenate([self.begin, (len(self.pool) + np.cumsum(length) - length).astype(np.int32)])
         self.length = np.concatenate([self.length, length])
         self.pool = np.concatenate([self.pool, flat])
 
@@ -94,14 +103,14 @@ class Encoder:
             words += self.chunks(t)
             words.append(None)
             ends[i] = len(words)
-        known = self.known
-        if new := list({w for w in words if w not in known}):
-            self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        if self.known.new:
+            self.learn(self.known.new)
+            self.known.new = []
         length = self.length[at]
-        stop = np.cumsum(length)
-        ids = self.pool[np.repeat(self.begin[at] - stop + length, length) + np.arange(int(length.sum()))]
-        return ids, np.diff(stop[ends - 1], prepend=0)
+        stop = np.cumsum(length, dtype=np.int32 if len(words) < 1 << 24 else np.int64)
+        ids = self.pool[np.repeat(self.begin[at] - stop + length, length) + np.arange(int(stop[-1]) if len(stop) else 0, dtype=stop.dtype)]
+        return ids, np.diff(stop[ends - 1].astype(np.int64), prepend=0)
 
 
 def encoder(path: str, keep_space: bool) -> Encoder:
@@ -124,6 +133,11 @@ def by_size(ids: list, texts: list, most: int = CHUNK_BYTES) -> Iterator[tuple[l
 SELECTORS = ((120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 
 
+LIMITS = np.array([1 << b for b in range(61)], np.uint64)
+#: Bits that a small id needs.
+BITS = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
+
+
 def pack(ids: np.ndarray) -> np.ndarray:
     """Simple-8b words of unsigned ids: the selector in the top four bits, ids from the lowest bits up.
 
@@ -135,8 +149,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint64)
     ids = ids.astype(np.uint64)
-    limits = np.array([1 << b for b in range(61)], np.uint64)
-    need = np.searchsorted(limits, ids, side="right").astype(np.uint8)
+    need = BITS[ids.astype(np.int64)] if ids.max() < len(BITS) else np.searchsorted(LIMITS, ids, side="right").astype(np.uint8)
     widest = {1: need}
 
     def most_bits(c: int) -> np.ndarray:
