@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.common import SPACE, Scratch
+from panelflow.llm.common import Scratch
 
 #: Bound of the labelled sample, chosen by a hash of the id; the words kept, and the documents a word must be in.
 MAX_LABELLED, VOCABULARY, LEAST_DOCS = 20_000, 500, 10
@@ -23,12 +23,17 @@ TARGETS = {"q1t0": 0.95, "q0t0": 0.03, "q1t1": 0.015, "q0t1": 0.005}
 
 
 def tokens(text: Column) -> Column:
-    """Distinct lower-case words and runs of other marks, with a token for mostly capital texts and one for repetitive ones."""
+    """A struct of n, the words of a text, and words: the distinct ones in lower case, and tokens for texts full of capitals, of marks or of repeats."""
     t = F.coalesce(text, F.lit(""))
-    parts = F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), F.lit(0))
-    capital = F.when(F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")) > 0.4 * F.length(t), F.lit(" capitals"))
-    found = F.transform(F.array(parts), lambda p: F.concat(F.array_distinct(p), F.array(F.when((F.size(p) > 40) & (F.size(F.array_distinct(p)) < 0.25 * F.size(p)), F.lit(" repeats")))))[0]
-    return F.array_compact(F.concat(found, F.array(capital)))
+    share = lambda marks: 1 - F.length(F.translate(t, marks, "")) / F.greatest(F.length(t), F.lit(1))
+    flags = [F.when(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ") > 0.4, F.lit(" capitals")), F.when(share("#*$%&|<>!") > 0.05, F.lit(" marks"))]
+    parts = F.array_remove(F.split(F.lower(t), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+
+    def made(p: Column) -> Column:
+        d = F.array_distinct(p)
+        return F.struct(F.size(p).cast("long").alias("n"), F.transform(F.array(d), lambda d: F.array_compact(F.concat(d, F.array(*flags, F.when((F.size(p) > 40) & (F.size(d) < 0.25 * F.size(p)), F.lit(" repeats"))))))[0].alias("words"))
+
+    return F.transform(F.array(parts), made)[0]
 
 
 def sample_labels(labels: DataFrame, id_col: str, most: int = MAX_LABELLED) -> DataFrame:
@@ -47,7 +52,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
     and (word, what its presence adds by domain).
     """
     known = sample_labels(labels, id_col)
-    words = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("domain", F.explode(F.array_append(tokens(F.col("text")), "")).alias("word"))
+    words = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("domain", F.explode(F.array_append(tokens(F.col("text"))["words"], "")).alias("word"))
     counts = words.groupBy("domain", "word").count()
     sizes = {r[0]: r[1] for r in counts.where("word = ''").select("domain", "count").collect()}
     domains, total = sorted(sizes), sum(sizes.values())
@@ -72,9 +77,8 @@ def posteriors(docs: DataFrame, model: tuple, text_col: str = "text", id_col: st
     spark = docs.sparkSession
     schema = "word string, " + ", ".join(f"l{i} double" for i in range(len(domains)))
     known = F.broadcast(spark.createDataFrame([("", *([0.0] * len(domains))), *vocabulary], schema))
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    n = F.size(F.array_remove(F.split(t, f"{SPACE}+"), ""))
-    words = docs.select(F.col(id_col).alias("id"), n.cast("long").alias("n_tokens"), F.explode(F.array_append(tokens(t), "")).alias("word"))
+    found = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+    words = found.select("id", F.col("t.n").alias("n_tokens"), F.explode(F.array_append("t.words", "")).alias("word"))
     sums = words.join(known, "word").groupBy("id").agg(F.max("n_tokens").alias("n_tokens"), *(F.sum(f"l{i}").alias(f"l{i}") for i in range(len(domains))))
     odds = [prior[i] + F.col(f"l{i}") for i in range(len(domains))]
     top = F.greatest(*odds) if len(odds) > 1 else odds[0]
@@ -149,8 +153,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     tmp = Scratch(docs.sparkSession, "mixing")
     model = fit_classifier(docs, labels, text_col, id_col)
     if not model[0]:
-        t = F.coalesce(F.col(text_col), F.lit(""))
-        return docs.groupBy(id_col).agg(F.max(F.size(F.array_remove(F.split(t, f"{SPACE}+"), ""))).cast("long").alias("n_tokens")).select(id_col, "n_tokens", F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("p"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
+        return docs.groupBy(id_col).agg(F.max(tokens(F.col(text_col))["n"]).alias("n_tokens")).select(id_col, "n_tokens", F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("p"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
     members = tmp.save(posteriors(docs, model, text_col, id_col))
     rate, _ = fit_rates(members, model[0], targets or TARGETS)
     domain = F.get(F.array(*(F.lit(d) for d in model[0])), (F.array_position("p", F.array_max("p")) - 1).cast("int"))
