@@ -27,6 +27,8 @@ THRESHOLD = 0.9
 PROJECTIONS, WINDOW, RECALL = 64, 0.6, 0.9995
 #: Vectors wanted in a cell, and the most that are compared as one block.
 CELL, BLOCK = 64, 2048
+#: Deviations that a pair at the threshold may differ by on the sorted projection.
+REACH = 4.5
 SEED = 20
 
 
@@ -71,16 +73,18 @@ def _project(dim: int, bits: int, tables: int):
 def colliding(ids: np.ndarray, codes: np.ndarray, places: np.ndarray, side: np.ndarray, table: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one block with at least `least` collisions, found in no earlier table.
 
-    Rows are sorted on the first projection; only the window there is counted
-    on the others.  side is 0 and 1 where only pairs across are wanted, else 0.
+    Rows are sorted on the first projection; pairs further apart there than
+    REACH deviations of a pair at the threshold are left uncounted.  side is 0
+    and 1 where only pairs across are wanted, else 0.
     """
+    reach = REACH * math.sqrt(2 - 2 * THRESHOLD)
     order = np.argsort(places[:, 0], kind="stable")
     ids, codes, places, side = ids[order], codes[order], places[order], side[order]
-    stop = np.searchsorted(places[:, 0], places[:, 0] + WINDOW, side="right")
+    stop = np.searchsorted(places[:, 0], places[:, 0] + np.float32(reach), side="right")
     across = side.any()
     out = []
     width = 1 + int((stop - np.arange(len(ids))).max(initial=1))
-    step = max(1, 2_000_000 // (width * 8))
+    step = max(1, 500_000 // width)
     for a in range(0, len(ids), step):
         b = min(a + step, len(ids))
         n = stop[a:b] - np.arange(a + 1, b + 1)
@@ -91,7 +95,7 @@ def colliding(ids: np.ndarray, codes: np.ndarray, places: np.ndarray, side: np.n
             keep = side[i] != side[j]
             i, j = i[keep], j[keep]
         # a pair that misses early can't reach the count any more
-        found = np.ones(len(i), np.int16)
+        found = (np.abs(places[i, 0] - places[j, 0]) <= WINDOW).astype(np.int16)
         for c in range(1, PROJECTIONS):
             found += np.abs(places[i, c] - places[j, c]) <= WINDOW
             if c % 8 == 7:

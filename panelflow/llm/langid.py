@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from panelflow.llm.common import worker_cache
 
-ORDER, SCALE = 3, 2048
+ORDER, SCALE = 3, 1024
 #: Bound of the labelled sample: about this many documents a language, chosen by a hash of the id.
 MAX_DOCS = 1_500
 CHUNK_BYTES = 4_000_000

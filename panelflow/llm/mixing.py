@@ -15,7 +15,7 @@ from panelflow.llm.common import Scratch
 
 #: Bound of the labelled sample, chosen by a hash of the id; the words kept, and the documents a word must be in.
 MAX_LABELLED, VOCABULARY, LEAST_DOCS = 20_000, 500, 10
-#: How many times likelier a word must be in one domain than overall to tell anything.
+#: How many times likelier a word must be in one domain than in the others to tell anything.
 TELLING = 3.0
 ROUNDS, CLOSE = 30, 1e-3
 #: Share of expected tokens by domain, in production; domains are written q<quality>t<toxic>.
@@ -64,7 +64,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
     overall = F.col("n") / total
     # the part of the mutual information of word and domain that lies where the word is present
     gain = sum(F.col(f"n{i}") * F.log(x / overall) for i, x in enumerate(share))
-    telling = F.greatest(*share, F.lit(0.0)) >= TELLING * overall
+    rest = [(F.col("n") - F.col(f"n{i}") + 0.5) / (total - sizes[d] + 1.0) for i, d in enumerate(domains)]
+    telling = F.greatest(*(x / y for x, y in zip(share, rest)), F.lit(0.0)) >= TELLING
     best = per_word.where(telling).select("word", *(x.alias(f"l{i}") for i, x in enumerate(share)), gain.alias("gain")).orderBy(F.desc("gain"), "word").limit(VOCABULARY).drop("gain").collect()
     cut = lambda x: min(max(x, 1e-6), 1 - 1e-6)
     none = [math.log(sizes[d] / total) + sum(math.log(1 - cut(r[i + 1])) for r in best) for i, d in enumerate(domains)]

@@ -71,7 +71,7 @@ def _base(t: Column) -> Column:
 def _battery(x: Column) -> Column:
     """Of one token: its encoding, length, deviations of the three tests, and how likely written text is to look as even."""
     name, size, symbols, agree = (F.coalesce(*(F.when(x.rlike(p), F.lit(of(n, a, q))) for n, p, a, q in ENCODINGS)) for of in (lambda n, a, q: n, lambda n, a, q: len(a), lambda n, a, q: a, lambda n, a, q: q))
-    body = F.rtrim(F.lit("="), F.when(name.isin("hex", "letters"), F.lower(x)).when(name == "base36", F.lower(x)).otherwise(x))
+    body = F.rtrim(F.when(name.isin("hex", "letters"), F.lower(x)).when(name == "base36", F.lower(x)).otherwise(x), F.lit("="))
     head = F.struct(name.alias("name"), size.cast("double").alias("a"), symbols.alias("symbols"), agree.alias("q"), body.alias("x"))
 
     def tests(h: Column) -> Column:
@@ -113,7 +113,7 @@ def _battery(x: Column) -> Column:
             first = F.transform(F.array(first), s)[0]
         return first
 
-    return F.when(F.length(F.rtrim(F.lit("="), x)) >= LEAST, chain(head, tests, sums, result))
+    return F.when(F.length(F.rtrim(x, F.lit("="))) >= LEAST, chain(head, tests, sums, result))
 
 
 def _class(n: Column) -> Column:
