@@ -17,7 +17,7 @@ from panelflow.llm.common import Scratch, worker_cache
 END_ID = 2
 CHUNK_BYTES = 1_000_000
 #: Distinct chunks a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Ids in a block of a token file, if its last document doesn't need more.
 BLOCK_IDS = 65_536
 
