@@ -31,7 +31,7 @@ def read_prices(spark: SparkSession, folder: str) -> DataFrame:
     a row that does not parse, as a reader that gives up on a bad file would.
     seq is the row's place in its file; files are not split (multiLine).
     """
-    lines = spark.read.option("pathGlobFilter", "*.csv").option("wholetext", True).text(folder)
+    lines = spark.read.text(folder, wholetext=True, pathGlobFilter="*.csv")
     named = lines.select(F.replace(F.col("_metadata.file_name"), F.lit(".csv"), F.lit("")).alias("algo_id"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("l"))
     head = F.split(F.get("l", F.lit(0)), ",")
     at = {c: F.array_position(head, c) for c in ("datetime", "close")}

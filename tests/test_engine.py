@@ -1,5 +1,7 @@
 """Rules of the engine on small panels, and every query against its SQL twin."""
 
+from datetime import datetime, timedelta
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -43,7 +45,7 @@ def test_steps_of_an_episode(spark, n, steps):
 def test_simulator_equals_a_loop(spark):
     rng = np.random.default_rng(1)
     rets, bench, act = rng.normal(0, 0.02, (50, 3)), rng.normal(0, 0.01, 50), rng.random((50, 4))
-    rows = spark.createDataFrame([("a", pd.Timestamp("2024-01-01") + pd.Timedelta(days=i), rets[i].tolist(), float(bench[i]), act[i].tolist()) for i in range(50)], "fold string, ts timestamp, rets array<double>, bench_ret double, action array<double>")
+    rows = spark.createDataFrame([("a", datetime(2024, 1, 1) + timedelta(days=i), rets[i].tolist(), float(bench[i]), act[i].tolist()) for i in range(50)], "fold string, ts timestamp, rets array<double>, bench_ret double, action array<double>")
     got = backtest.simulate(rows, EngineConfig()).orderBy("ts").toPandas()
     value, prev, want = 100.0, np.array([0, 0, 0, 1.0]), []
     for i in range(30, 49):
@@ -57,7 +59,7 @@ def test_simulator_equals_a_loop(spark):
 
 
 def test_constant_benchmark_has_no_beta(spark):
-    rows = spark.createDataFrame([("a", pd.Timestamp("2024-01-01") + pd.Timedelta(days=i), 100.0 + i, 0.01, 0.0) for i in range(4)], "fold string, ts timestamp, equity double, ret double, benchmark_return double")
+    rows = spark.createDataFrame([("a", datetime(2024, 1, 1) + timedelta(days=i), 100.0 + i, 0.01, 0.0) for i in range(4)], "fold string, ts timestamp, equity double, ret double, benchmark_return double")
     k = backtest.kpis(rows, EngineConfig()).first()
     assert (k.alpha, k.beta) == (0.0, 0.0)
 
