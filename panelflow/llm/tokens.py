@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ BLOCK_IDS = 65_536
 def tokenizer(path: str):
     held = worker_cache()
     if ("tokenizer", path) not in held:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
@@ -33,12 +35,13 @@ def tokenizer(path: str):
     return held["tokenizer", path]
 
 
-#: Bytes that keep a text from being cut into the vocabularies' own words: apostrophes, which start contractions, control characters, and all but ASCII and Latin-1 letters.
-OTHER = re.compile(rb"['\x00-\x08\x0e-\x1f\x7f\xc0-\xc2\xc4-\xff]|\xc3[\x97\xb7]")
-#: Words of a text without OTHER: letters (lower-cased before), single digits, marks; white space parts them.
-PLAIN = re.compile(rb"[a-z\x80-\xbf\xc3]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-#: The same where a word takes the one space before it, and other white space is words too.
-SPACED = re.compile(rb" ?[A-Za-z\x80-\xbf\xc3]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
+#: Kinds of bytes: white space, letters (Latin-1 ones by their UTF-8 bytes), digits, marks, the end of a text, the place of a text cut elsewhere.
+WHITE, LETTER, DIGIT, MARK, END, ELSEWHERE = range(6)
+BYTES = (b" \t\n\v\f\r", bytes([*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]), b"0123456789", bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39), b"\0", b"\1")
+KIND = bytes(next((k for k, found in enumerate(BYTES) if b in found), ELSEWHERE) for b in range(256))
+#: Bytes of texts cut into the vocabularies' own words: no apostrophes, which start contractions, no control characters, only ASCII and Latin-1 letters.
+PLAIN = b"".join(BYTES[:END])
+TIMES, DIVIDED = b"\xc3\x97", b"\xc3\xb7"
 #: Of other texts: white space and what follows it, and white space other than ASCII.
 LOOSE = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -72,16 +75,60 @@ class Encoder:
         self.known.new = []
         self.pool, self.begin, self.length = np.array([END_ID], np.uint32), np.zeros(1, np.int32), np.ones(1, np.int32)
 
-    def chunks(self, text: bytes | None) -> list:
-        if not text:
-            return []
-        other = OTHER.search(text)
+    def chunks(self, text: bytes) -> list[bytes]:
+        """The chunks of a text that isn't plain."""
         if not self.keep_space:
-            return text.split() if other else PLAIN.findall(text.lower())
-        if not other:
-            return SPACED.findall(text)
+            return text.split()
         return [text] if ODD.search(text) else LOOSE.findall(text)
 
+    def words(self, plain: bytes) -> pa.DictionaryArray:
+        """The chunks of plain texts, each ended by a byte of kind END, which is a chunk too.
+
+        With white space kept, a word takes the one space before it; what else
+        is white before a word splits into its last character and the rest.
+        Without, digits stand alone.
+        """
+        raw, kind = np.frombuffer(plain, np.uint8), np.frombuffer(plain.translate(KIND), np.uint8)
+        starts = np.empty(len(raw), bool)
+        starts[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+        if self.keep_space:
+            starts |= kind >= END
+            after = np.flatnonzero((kind[:-1] == WHITE) & (kind[1:] > WHITE) & (kind[1:] < END))
+            starts[after] = True
+            starts[after + 1] = raw[after] != 0x20
+        else:
+            starts |= (kind == DIGIT) | (kind >= END)
+            held = kind != WHITE
+            raw, starts = raw[held], starts[held]
+        offsets = np.append(np.flatnonzero(starts), len(raw)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
+        return found.dictionary_encode()
+
+    def numbers(self, texts: list[bytes | None]) -> np.ndarray:
+        """Every chunk's number in known, one text after another, each ended by 0."""
+        parts, others = [], []
+        for t in texts:
+            if t and (t.translate(None, PLAIN) or TIMES in t or DIVIDED in t):
+                others.append(t)
+                t = BYTES[ELSEWHERE]
+            parts.append(t or b"")
+        plain = BYTES[END].join([*parts, b""])
+        words = self.words(plain if self.keep_space else plain.lower())
+        own, at = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        own[at[-1]] = None
+        if not others:
+            return np.fromiter(map(self.known.__getitem__, own), np.int32, len(own))[at]
+        place = own.index(BYTES[ELSEWHERE])
+        own[place] = None
+        gaps = np.flatnonzero(at == place)
+        at = np.split(np.fromiter(map(self.known.__getitem__, own), np.int32, len(own))[at], gaps)
+        rest = []
+        for t, after in zip(others, at[1:]):
+            cut = self.chunks(t)
+            rest += [np.fromiter(map(self.known.__getitem__, cut), np.int32, len(cut)), after[1:]]
+        return np.concatenate([at[0], *rest])
+
     def learn(self, new: list[bytes]) -> None:
         text = [w.decode("utf-8", "replace") for w in new]
         lists = [text[a : a + 500] for a in range(0, len(text), 500)]
@@ -97,20 +144,16 @@ class Encoder:
         """All ids, one text after another, each ended by END_ID; and how many each text has."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        words: list = []
-        ends = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            words += self.chunks(t)
-            words.append(None)
-            ends[i] = len(words)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        if not texts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        at = self.numbers(texts)
         if self.known.new:
             self.learn(self.known.new)
             self.known.new = []
         length = self.length[at]
-        stop = np.cumsum(length, dtype=np.int32 if len(words) < 1 << 24 else np.int64)
-        ids = self.pool[np.repeat(self.begin[at] - stop + length, length) + np.arange(int(stop[-1]) if len(stop) else 0, dtype=stop.dtype)]
-        return ids, np.diff(stop[ends - 1].astype(np.int64), prepend=0)
+        stop = np.cumsum(length, dtype=np.int32 if len(at) < 1 << 24 else np.int64)
+        ids = self.pool[np.repeat(self.begin[at] - stop + length, length) + np.arange(int(stop[-1]), dtype=stop.dtype)]
+        return ids, np.diff(stop[at == 0].astype(np.int64), prepend=0)
 
 
 def encoder(path: str, keep_space: bool) -> Encoder:
