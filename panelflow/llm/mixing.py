@@ -73,18 +73,24 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
 
 
 def posteriors(docs: DataFrame, model: tuple, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, p): words of each document and its probability of each domain.  A text without known words has their absence to go by."""
+    """(id, n_tokens, p): words of each document and its probability of each domain.
+
+    A text without known words has their absence to go by; of rows that repeat
+    an id, the one of most words counts.  The known words are data of the plan:
+    each row finds its own, so no word is dealt out or joined.
+    """
     domains, prior, vocabulary = model
-    spark = docs.sparkSession
-    schema = "word string, " + ", ".join(f"l{i} double" for i in range(len(domains)))
-    known = F.broadcast(spark.createDataFrame([("", *([0.0] * len(domains))), *vocabulary], schema))
+    known = [r[0] for r in vocabulary]
+    odds = F.lit([float(x) for x in prior])
+    if known:
+        adds = F.map_from_arrays(F.lit(known), F.lit([[float(x) for x in r[1:]] for r in vocabulary]))
+        hits = F.filter("t.words", lambda w: w.isin(known))
+        odds = F.aggregate(hits, odds, lambda so_far, w: F.zip_with(so_far, F.element_at(adds, w), lambda x, y: x + y))
     found = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    words = found.select("id", F.col("t.n").alias("n_tokens"), F.explode(F.array_append("t.words", "")).alias("word"))
-    sums = words.join(known, "word").groupBy("id").agg(F.max("n_tokens").alias("n_tokens"), *(F.sum(f"l{i}").alias(f"l{i}") for i in range(len(domains))))
-    odds = [prior[i] + F.col(f"l{i}") for i in range(len(domains))]
-    top = F.greatest(*odds) if len(odds) > 1 else odds[0]
-    e = [F.exp(x - top) for x in odds]
-    return sums.select("id", "n_tokens", F.array(*(x / sum(e[1:], e[0]) for x in e)).alias("p"))
+    rows = found.select("id", F.struct(F.col("t.n").alias("n_tokens"), odds.alias("odds")).alias("own"))
+    best = rows.groupBy("id").agg(F.max("own").alias("own")).select("id", "own.n_tokens", "own.odds")
+    e = [F.exp(F.get("odds", F.lit(i)) - F.array_max("odds")) for i in range(len(domains))]
+    return best.select("id", "n_tokens", F.array(*(x / sum(e[1:], e[0]) for x in e)).alias("p"))
 
 
 def solve(a: list[list[float]], b: list[float]) -> list[float]:
@@ -148,7 +154,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     The domain with the largest target keeps its expected tokens and so sets the
     budget.  copies rounds the rate.  Without labelled documents every rate is
     1, the domain null.  Null texts have no tokens; rows that repeat an id are
-    one document; domains missing from targets have a target of 0, and targets
+    one document, the longest; domains missing from targets have a target of 0, and targets
     of unknown domains are left out.
     """
     tmp = Scratch(docs.sparkSession, "mixing")
