@@ -27,7 +27,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are left out or repeated by their fitted rates, rounded."""
+    """Documents are left out or repeated by their fitted rates, which the copies meet in expectation."""
     return mixing.apply_mix(docs, read_table(spark, sf_dir, "labels"))
 
 

@@ -148,11 +148,20 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float])
     return rated(), seen
 
 
+def copies(of: Column, rate: Column) -> Column:
+    """Whole copies whose expectation over ids is the rate; salted, as the labelled sample is chosen by the plain hash."""
+    part = F.pmod(F.xxhash64(F.lit("copies"), of), F.lit(1_000_000)) / 1_000_000
+    return F.floor(rate) + (part < rate - F.floor(rate)).cast("long")
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, domain, p, rate, copies): rates whose expected token totals by domain are in the ratio of targets.
 
     The domain with the largest target keeps its expected tokens and so sets the
-    budget.  copies rounds the rate.  Without labelled documents every rate is
+    budget.  copies is the rate's whole part, and one more where a number in
+    [0, 1) made of the id falls below the rest, so that copies meet the targets
+    as rates do, in expectation, and the same documents are taken every time.
+    Without labelled documents every rate is
     1, the domain null.  Null texts have no tokens; rows that repeat an id are
     one document, the longest; domains missing from targets have a target of 0, and targets
     of unknown domains are left out.
@@ -164,11 +173,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     members = tmp.save(posteriors(docs, model, text_col, id_col))
     rate, _ = fit_rates(members, model[0], targets or TARGETS)
     domain = F.get(F.array(*(F.lit(d) for d in model[0])), (F.array_position("p", F.array_max("p")) - 1).cast("int"))
-    return members.select(F.col("id").alias(id_col), "n_tokens", domain.alias("domain"), "p", rate.alias("rate")).withColumn("copies", F.floor(F.col("rate") + 0.5))
+    return members.select(F.col("id").alias(id_col), "n_tokens", domain.alias("domain"), "p", rate.alias("rate")).withColumn("copies", copies(F.col(id_col), F.col("rate")))
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with each row repeated `copies` times, none if its rate rounds to zero; columns as they were."""
+    """docs with each row repeated `copies` times, none where that is 0; columns as they were."""
     decided = mix(docs, labels, targets, text_col, id_col).select(F.col(id_col).alias("_id"), F.col("copies").alias("_copies"))
     joined = docs.join(decided.where("_copies > 0"), docs[id_col].eqNullSafe(F.col("_id")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

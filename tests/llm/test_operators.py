@@ -205,6 +205,34 @@ def test_mixing_meets_targets(spark):
     assert mixing.apply_mix(docs, labels).columns == docs.columns
 
 
+def test_copies_meet_targets_below_half_a_rate(spark):
+    import corpus_pipeline
+
+    r = random.Random(21)
+    # a third of the documents in each domain, so that the two small targets need rates of 0.2 and 0.05
+    kind = [i % 3 for i in range(3000)]
+    docs = _docs(spark, [" ".join(r.choices("abcdefgh", k=20)) + (" ", " poor weak thin", " awful vile foul")[k] for k in kind])
+    rows = [(i, int(k != 1), int(k == 2)) for i, k in enumerate(kind)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    targets = {"q1t0": 0.8, "q0t0": 0.16, "q1t1": 0.04}
+    out = mixing.apply_mix(docs, labels, targets).select("doc_id").toPandas()["doc_id"]
+    n = Counter(kind[i] for i in out)
+    share = {k: n[k] * (20 if k == 0 else 23) for k in n}
+    assert [share.get(k, 0) / sum(share.values()) for k in range(3)] == pytest.approx([0.8, 0.16, 0.04], abs=0.03)
+    # rates over 1 repeat documents: whole parts always, the rest by the hash
+    got = spark.range(4000).select(mixing.copies(F.col("id"), F.lit(1.25)).alias("n")).groupBy("n").count().collect()
+    assert {x["n"] for x in got} == {1, 2} and dict(map(tuple, got))[2] == pytest.approx(1000, abs=120)
+    # the stage itself, by its own targets, on the table's labels
+    sf = "/root/testdata/sf0.01"
+    stage_docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    p = mixing.mix(stage_docs, known).select("doc_id", "n_tokens", "p")
+    written = corpus_pipeline.source_mixing(spark, stage_docs, sf).select("doc_id").join(p, "doc_id")
+    domains = sorted({f"q{x.quality}t{x.toxic}" for x in known.where("quality is not null and toxic is not null").select("quality", "toxic").distinct().collect()})
+    mass = written.agg(*(F.sum(F.col("n_tokens") * F.get("p", F.lit(i))) for i in range(len(domains)))).first()
+    got = dict(zip(domains, (x / sum(mass) for x in mass)))
+    assert all(got[d] == pytest.approx(t, abs=max(0.01, t / 2)) for d, t in mixing.TARGETS.items() if d in got and t > 0.01)
+
+
 def test_empty_tables(spark):
     docs = _docs(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
