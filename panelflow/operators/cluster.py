@@ -27,9 +27,11 @@ def scaled(features: DataFrame) -> DataFrame:
     return features.select("i", "algo_id", unit("ret_total").alias("x"), unit("volatility").alias("y"))
 
 
-def kmeans(points: DataFrame, k: int, rounds: int) -> DataFrame:
+def kmeans(points: DataFrame, k: int, rounds: int | None = None) -> DataFrame:
     """(i, algo_id, cluster): Lloyd's rounds by date from farthest-first centres, clusters numbered by (y, x) of their centres.
 
+    Without rounds each date goes on until its assignment is one it had before.
+
     The first centre is the point nearest the date's mean; each next has the
     largest distance to its nearest centre; ties go to the lowest id.  All dates
     are independent groups, each at most the universe in size.
@@ -42,10 +44,11 @@ def kmeans(points: DataFrame, k: int, rounds: int) -> DataFrame:
         for _ in range(k - 1):
             centres.append(p[np.argmax(np.min([((p - c) ** 2).sum(axis=1) for c in centres], axis=0))])
         c = np.array(centres)
-        for _ in range(rounds):
-            own = ((p[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+        own, seen = ((p[:, None] - c) ** 2).sum(axis=2).argmin(axis=1), set()
+        while own.tobytes() not in seen and len(seen) != rounds:
+            seen.add(own.tobytes())
             c = np.array([p[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(k)])
-        own = ((p[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+            own = ((p[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
         rank = np.empty(k, np.int32)
         rank[np.lexsort((c[:, 0], c[:, 1]))] = np.arange(k)
         return pd.DataFrame({"i": date["i"], "algo_id": date["algo_id"], "cluster": rank[own]})

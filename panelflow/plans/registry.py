@@ -283,4 +283,27 @@ def q37_global_curves(spark, sf_dir):
     return log.select(F.to_date("ts").alias("d"), _r(100 * F.product(1 + F.col("ret")).over(w), 4).alias("strategy"), _r(100 * F.product(1 + F.col("benchmark_return")).over(w), 4).alias("bench"))
 
 
+def _full(spark, sf_dir):
+    """Series (ts, i, cluster, ret, vol, mom) of clusters found at full size: CFG.clusters, each date until it converges."""
+    return cluster.cluster_features(cluster.cluster_returns(q38_full_kmeans_labels(spark, sf_dir), *_returns(spark, sf_dir), CFG.clusters))
+
+
+def q38_full_kmeans_labels(spark, sf_dir):
+    rets, times = _returns(spark, sf_dir)
+    found = cluster.window_features(panel.dense(rets, times, CFG.window), CFG.window, CFG.active_share, CFG.clusters)
+    return cluster.kmeans(cluster.scaled(found), CFG.clusters)
+
+
+def q39_full_cluster_wide(spark, sf_dir):
+    w = cluster.wide(_full(spark, sf_dir), CFG.clusters)
+    return w.select("i", *(_r(c).alias(c) for c in w.columns if c.startswith("C")))
+
+
+def q40_full_backtest_log(spark, sf_dir):
+    """The momentum policy's log over found clusters."""
+    bench = benchmark.asof_returns(_returns(spark, sf_dir)[1], adapters.order_months(spark, sf_dir), "bfill")
+    log = backtest.simulate(policy.momentum(_frame(_full(spark, sf_dir), bench)), CFG)
+    return log.select(F.to_date("ts").alias("d"), _r("equity", 4).alias("equity"), _r("ret", 8).alias("ret"), _r("turnover").alias("turnover"), _r("cost", 8).alias("cost"), _r("cash_weight").alias("cash_weight"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

@@ -103,5 +103,21 @@ def test_query_equals_sql(spark, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=0, atol=1e-9)
 
 
+def test_full_size_clusters_have_converged(spark):
+    rets, times = registry._returns(spark, SF)
+    cfg = registry.CFG
+    points = cluster.scaled(cluster.window_features(panel.dense(rets, times, cfg.window), cfg.window, cfg.active_share, cfg.clusters))
+    rows = points.join(registry.QUERIES["q38_full_kmeans_labels"](spark, SF), ["i", "algo_id"]).toPandas()
+    assert len(rows) == points.count() and rows.cluster.max() == 9
+    for _, date in rows.groupby("i"):
+        p, own = date[["x", "y"]].to_numpy(), date.cluster.to_numpy()
+        found = np.unique(own)
+        centres = np.array([p[own == j].mean(axis=0) for j in found])
+        d = ((p[:, None] - centres) ** 2).sum(axis=2)
+        assert (d[np.arange(len(p)), np.searchsorted(found, own)] <= d.min(axis=1) + 1e-9).all()
+    assert len(registry.QUERIES["q39_full_cluster_wide"](spark, SF).columns) == 31
+    assert registry.QUERIES["q40_full_backtest_log"](spark, SF).count() == rows.i.nunique() - cfg.obs_window - 1
+
+
 def test_entry(spark):
     assert registry.entry(spark, "/root/testdata/sf0.001").count() == 1
