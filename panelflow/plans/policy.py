@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ def momentum(rows: DataFrame, scale: float = 20.0) -> DataFrame:
 
 
 class Network:
-    """A tanh network of two hidden layers from an observation's last row to scores in [0, 1]."""
+    """A tanh network of two hidden layers from an observation's rows, one after another, to scores in [0, 1]."""
 
     def __init__(self, inputs: int, outputs: int, hidden: int = 128, seed: int = 42):
         rng = np.random.Generator(np.random.PCG64(seed))
@@ -42,14 +42,18 @@ class Network:
         return out
 
 
+def flat(observations: Iterable) -> np.ndarray:
+    """A row an observation: all rows of its window, the oldest first."""
+    return np.stack([np.concatenate([np.asarray(row, float) for row in o]) for o in observations])
+
+
 def roll_out(network: Network, observations: DataFrame) -> DataFrame:
     """(ts, action) by the network over (ts, obs), deterministic, in Arrow batches."""
 
     def act(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             if len(rows):
-                x = np.stack([np.asarray(o[-1], float) for o in rows["obs"]])
-                yield pd.DataFrame({"ts": rows["ts"], "action": list(network(x))})
+                yield pd.DataFrame({"ts": rows["ts"], "action": list(network(flat(rows["obs"])))})
 
     return observations.select("ts", "obs").mapInPandas(act, "ts timestamp, action array<double>")
 

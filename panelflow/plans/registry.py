@@ -260,7 +260,7 @@ def q35_reward(spark, sf_dir):
 
 
 def q36_policy_rollout(spark, sf_dir):
-    """The learned policy's log: a seeded network trained by evolution on the first half, rolled out over all."""
+    """The learned policy's log: a seeded network trained by evolution on the first half of the calendar, rolled out over all."""
     import numpy as np
 
     rets, times = _returns(spark, sf_dir)
@@ -268,10 +268,10 @@ def q36_policy_rollout(spark, sf_dir):
     obs = cluster.observations(series, indicators, CFG.obs_window)
     bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")
     frame = _frame(series, bench)
-    rows = obs.where(F.col("i") < 180).join(frame, "ts").orderBy("i").select("obs", "rets", "bench_ret").toPandas()
-    net = policy.Network(3 * K + 3, K + 1, hidden=16)
+    rows = obs.where(F.col("i") < times.count() // 2).join(frame, "ts").orderBy("i").select("obs", "rets", "bench_ret").toPandas()
+    net = policy.Network(CFG.obs_window * (3 * K + 3), K + 1)
     if len(rows):
-        net = policy.train(net, np.stack([np.asarray(o[-1], float) for o in rows["obs"]]), np.stack(rows["rets"].to_numpy()), rows["bench_ret"].to_numpy(), spark)
+        net = policy.train(net, policy.flat(rows["obs"]), np.stack(rows["rets"].to_numpy()), rows["bench_ret"].to_numpy(), spark)
     log = backtest.simulate(frame.join(policy.roll_out(net, obs), "ts"), replace(CFG, obs_window=0))
     return log.select(F.to_date("ts").alias("d"), _r("equity", 4).alias("equity"), _r("ret", 8).alias("ret"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelflow.config import EngineConfig
 from panelflow.operators import allocate, backtest, benchmark, cluster, panel
-from panelflow.plans import registry
+from panelflow.plans import policy, registry
 from panelflow.sources import adapters
 
 SF = "/root/testdata/sf0.01"
@@ -103,6 +103,23 @@ def test_query_equals_sql(spark, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=0, atol=1e-9)
 
 
+def test_learned_policy_reads_the_whole_window(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    obs = rng.normal(0, 1, (2, 4, 3))
+    obs[1, 1:] = obs[0, 1:]  # the two differ in their oldest row only
+    rows = spark.createDataFrame([(datetime(2024, 1, i + 1), o.tolist()) for i, o in enumerate(obs)], "ts timestamp, obs array<array<double>>")
+    net = policy.Network(12, 2)
+    got = np.array([r.action for r in policy.roll_out(net, rows).orderBy("ts").collect()])
+    assert not np.allclose(got[0], got[1]) and np.allclose(got, net(obs.reshape(2, 12)))
+    seen = []
+    monkeypatch.setattr(policy, "train", lambda net, x, *rest: seen.append((net.layers, x)) or net)
+    log = registry.QUERIES["q36_policy_rollout"](spark, SF)
+    times = registry._returns(spark, SF)[1].count()
+    (layers, x), width = seen[0], registry.CFG.obs_window * (3 * registry.K + 3)
+    assert [w.shape for w, _ in layers] == [(width, 128), (128, 128), (128, registry.K + 1)]
+    assert x.shape == (times // 2 - registry.CFG.obs_window, width) and log.count() == times - registry.CFG.obs_window - 1
+
+
 def test_full_size_clusters_have_converged(spark):
     rets, times = registry._returns(spark, SF)
     cfg = registry.CFG
