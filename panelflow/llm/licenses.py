@@ -1,10 +1,11 @@
-"""Licence scans: segments of a text against licence templates by Dice coefficient over word bigrams.
+"""Licence scans: windows of a text against licence templates by Dice coefficient over word bigrams.
 
 DataFrame functions only; the templates are a fixed list, so they are literals.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -34,6 +35,26 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
 )
 
+_FREE = "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. You should have received a copy of the {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_NEITHER = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Whole licences and standard headers; where one is found, weaker matches of other licences go.  Lists are not numbered here, so that numbers are versions.
+WHOLE = (
+    ("MIT", TEMPLATES[2][1] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS),
+    ("ISC", TEMPLATES[11][1] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", _BSD + _BSD_AS_IS),
+    ("BSD-3-Clause", _BSD + _NEITHER + _BSD_AS_IS),
+    ("Apache-2.0", TEMPLATES[4][1] + " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", TEMPLATES[12][1]),
+    ("GPL-2.0", _FREE.format(what="program", mark=";", name="GNU General Public License", version="2")),
+    ("GPL-3.0", _FREE.format(what="program", mark=":", name="GNU General Public License", version="3")),
+    ("LGPL-2.1", _FREE.format(what="library", mark=";", name="GNU Lesser General Public License", version="2.1")),
+    ("LGPL-3.0", _FREE.format(what="program", mark=":", name="GNU Lesser General Public License", version="3")),
+    ("AGPL-3.0", _FREE.format(what="program", mark=":", name="GNU Affero General Public License", version="3")),
+)
+
 
 def normalise(text: str) -> list[str]:
     return re.sub("[^a-z0-9]+", " ", text.lower()).split()
@@ -60,36 +81,60 @@ def anchors(words: list[str], threshold: float = THRESHOLD) -> set[str]:
     return out
 
 
-def find_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, segment, license, dice): a row for every segment and licence that match.
+def versions(words: list[str]) -> list[str]:
+    """The runs of numbers of a template, as patterns of the same runs in words joined by spaces: 2 isn't 2.1."""
+    runs = re.findall(r"(?<![a-z0-9])[0-9]+(?: [0-9]+)*(?![a-z0-9])", " ".join(words))
+    return [rf"(?<![a-z0-9])(?<!(?<![a-z0-9])[0-9]{{1,9}} ){r}(?![a-z0-9])(?! [0-9]+(?![a-z0-9]))" for r in sorted(set(runs))]
 
-    Segments are the lines of a text and its paragraphs of more than one line.
-    Both sides are lower-cased, everything but a-z and 0-9 parts words, and
-    their numbers must agree, so that versions aren't mixed up.  Of several
-    templates of one licence the best counts.  Null and empty texts match none;
-    rows that repeat are reported once each; an empty table gives no row.
+
+def find_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, segment, license, dice): a row for every place of a text and licence that match.
+
+    Both sides are lower-cased, everything but a-z and 0-9 parts words.  A
+    window has as many words as the template, fewer at a text's end, and begins
+    with a bigram of the template: another that matches can be moved to one
+    without loss of bigrams.  The template's version numbers must occur in it.
+    Windows that overlap are one place, whose segment is the first word of the
+    one with most bigrams in common, less half of those that differ.  Of several templates of one licence the
+    best counts.  Null and empty texts match none; rows that repeat are reported
+    once each; an empty table gives no row.
     """
-    t = F.col(text_col)
-    forms = [(name, normalise(text)) for name, text in TEMPLATES]
-    must = sorted(set().union(*(anchors(w, threshold) for _, w in forms)))
-    likely = F.lower("seg").rlike("|".join(must))
-    lines = F.split(t, "\n")
-    paragraphs = F.filter(F.split(t, r"\n[\x20\t\r]*\n"), lambda p: p.contains("\n"))
-    segs = docs.select(F.col(id_col).alias("id"), F.posexplode(F.concat(lines, paragraphs)).alias("segment", "seg")).where(likely)
-    words = F.array_remove(F.split(F.regexp_replace(F.lower("seg"), "[^a-z0-9]+", " "), " "), "")
-    segs = segs.withColumn("w", words)
-    pairs = F.when(F.size("w") > 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))))
-    segs = segs.withColumn("b", pairs).withColumn("numbers", F.concat_ws(" ", F.filter("w", lambda x: x.rlike("^[0-9]+$")))).where("b is not null")
-    found = []
-    for name, form in forms:
-        own = bigrams(form)
-        least, most = bounds(len(own), threshold)
-        dice = 2 * F.size(F.array_intersect("b", F.lit(own))) / (F.size("b") + len(own))
-        numbers = " ".join(w for w in form if w.isdigit())
-        hit = F.size("b").between(least, most) & (F.col("numbers") == numbers)
-        found.append(F.when(hit, F.struct(F.lit(name).alias("license"), dice.alias("dice"))))
-    hits = segs.select("id", "segment", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull() & (x["dice"] >= threshold))).alias("m"))
-    best = hits.select("id", "segment", "m.*").groupBy("id", "segment", "license").agg(F.max("dice").alias("dice"))
+    forms = [(name, normalise(text), whole) for whole, group in ((False, TEMPLATES), (True, WHOLE)) for name, text in group]
+    must = sorted(set().union(*(anchors(w, threshold) for _, w, _ in forms)))
+    t = F.lower(F.col(text_col))
+    likely = t.rlike("(?<![a-z0-9])(?:" + "|".join(must) + ")(?![a-z0-9])")
+    words = F.array_remove(F.split(F.regexp_replace(t, "[^a-z0-9]+", " "), " "), "")
+    # each step is made once a row: an explode, as projections and filters over them would be joined and made again for every element
+    step = lambda rows, made, name: rows.select("*", F.explode(F.array(made)).alias(name))
+    rows = step(docs.where(likely).select(F.col(id_col).alias("id"), F.col(text_col)), words, "w").where(F.size("w") > 1).select("id", "w")
+    rows = step(rows, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))), "b")
+    every = sorted(set().union(*(bigrams(w) for _, w, _ in forms)))
+    rows = step(rows, F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda i: F.get("b", i).isin(every)), "at")
+    data = [{"license": name, "whole": whole, "n": len(w), "own": bigrams(w), "least": bounds(len(bigrams(w)), threshold)[0], "versions": versions(w)} for name, w, whole in forms]
+    templates = F.from_json(F.lit(json.dumps(data)), "array<struct<license string, whole boolean, n int, own array<string>, least int, versions array<string>>>")
+
+    def matches(x: Column) -> Column:
+        def match(s: Column) -> Column:
+            b = F.array_distinct(F.slice("b", s + 1, x["n"] - 1))
+            common = F.size(F.array_intersect(b, x["own"]))
+            span = F.concat_ws(" ", F.slice("w", F.greatest(s, F.lit(1)), x["n"] + 2))
+            ok = F.forall(x["versions"], lambda v: F.rlike(span, v))
+            return F.struct((2.0 * common - (F.size(b) + F.size(x["own"])) / 2).alias("score"), (2 * common / (F.size(b) + F.size(x["own"]))).alias("dice"), (-s).alias("start"), (s + x["n"]).alias("end"), x["license"].alias("license"), x["whole"].alias("whole"), ok.alias("ok"))
+
+        hits = F.filter("at", lambda i: F.array_contains(x["own"], F.get("b", i)))
+        starts = F.flatten(F.transform(F.array(hits), lambda h: F.filter(h, lambda p, k: F.get(h, k + x["least"] - 1) <= p + x["n"] - 2)))
+        return F.filter(F.transform(starts, match), lambda m: m["ok"] & (m["dice"] >= threshold))
+
+    found = F.reverse(F.array_sort(F.flatten(F.transform(templates, matches))))
+    rows = step(rows.where(F.size("at") > 0), found, "m").where(F.size("m") > 0).select("id", "m")
+    # from the best down, a match that overlaps no place makes one
+    meets = lambda x, y: (-x["start"] < y["end"]) & (-y["start"] < x["end"])
+    none = F.filter("m", lambda x: F.lit(False))
+    places = F.aggregate("m", none, lambda kept, x: F.when(F.exists(kept, lambda y: meets(x, y)), kept).otherwise(F.array_append(kept, x)))
+    rows = step(rows, places, "places").select("id", "places", F.explode("m").alias("m"))
+    rows = rows.withColumn("place", F.get(F.filter("places", lambda y: meets(F.col("m"), y)), F.lit(0)))
+    best = rows.where(~F.col("place.whole") | (F.col("place.license") == F.col("m.license")))
+    best = best.groupBy("id", (-F.col("place.start")).alias("segment"), F.col("m.license").alias("license")).agg(F.max("m.dice").alias("dice"))
     return best.withColumnRenamed("id", id_col)
 
 

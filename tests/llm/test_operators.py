@@ -194,6 +194,28 @@ def test_licenses_equal_brute_force(spark):
     assert {(r.doc_id, r.license) for r in licenses.find_licenses(_docs(spark, texts)).collect()} == want
 
 
+def test_licenses_inside_texts(spark):
+    whole = dict(reversed(licenses.WHOLE))
+    mit, bsd2, bsd3 = whole["MIT"], whole["BSD-2-Clause"], whole["BSD-3-Clause"]
+    broken = lambda t, mark="": "\n".join(mark + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    cases = [
+        ("MIT License Copyright (c) 2020 A. Person " + mit, {"MIT"}),
+        (broken(whole["GPL-3.0"], "# "), {"GPL-3.0"}),
+        (broken(whole["AGPL-3.0"], " * "), {"AGPL-3.0"}),
+        (broken(whole["LGPL-2.1"]), {"LGPL-2.1"}),
+        ("Our notes are below. Released under the MIT License. Share them freely.", {"MIT"}),
+        ('Copyright 2020 A. Person. Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', {"Apache-2.0"}),
+        ("Copyright 2021\n\n" + bsd2.replace("met: R", "met:\n\n1. R").replace("disclaimer. R", "disclaimer.\n\n2. R"), {"BSD-2-Clause"}),
+        (broken(bsd3, "// "), {"BSD-3-Clause"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", {"LGPL-2.1"}),
+        ("the licence of the software and the permission to use it are free of charge for any purpose", set()),
+    ]
+    got = licenses.find_licenses(_docs(spark, [t for t, _ in cases])).toPandas()
+    assert [set(got[got.doc_id == i].license) for i in range(len(cases))] == [want for _, want in cases]
+    twice = licenses.scan(_docs(spark, ["Released under the MIT License.\nReleased under the MIT License.\nand " + whole["ISC"]])).first()
+    assert (twice.n_matches, twice.licenses) == (3, "ISC,MIT")
+
+
 def test_mixing_meets_targets(spark):
     good, bad = _prose(13, 80), [t + " awful vile" for t in _prose(14, 40)]
     docs = _docs(spark, [*good, *bad, None])
