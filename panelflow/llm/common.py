@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -22,19 +23,37 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
+    """The folder all executors share, spark.checkpoint.dir.
+
+    Where it is unset a local master gets a folder of its own; a cluster's
+    executors would each write to their own disk, so there it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share; the master is {master}")
         at = f"file://{tempfile.mkdtemp(prefix='panelflow-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; a lost executor loses none of them."""
+    """Tables written to the shared folder to cut lineage; a lost executor loses none of them.
+
+    Those that no later plan reads are dropped at once, the rest when the
+    driver's JVM ends: results are read lazily, so no operator can tell sooner.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        fs, at = self._at(self.root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def path(self) -> str:
         self.n += 1
@@ -47,10 +66,9 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes saved tables that no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for at in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
-            p = jvm.org.apache.hadoop.fs.Path(at)
-            p.getFileSystem(conf).delete(p, True)
+        for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+            fs, at = self._at(path)
+            fs.delete(at, True)
 
 
 def worker_cache() -> dict:
