@@ -26,7 +26,7 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secret_scan.KINDS)]
+    counts = [secret_scan.count_kind(F.col("_base"), kind).alias(f"n_{kind}") for kind in secret_scan.KINDS]
     spans = F.array_sort(F.concat("_base", "_random"))
     return found.select("doc_id", *counts, F.sha2(secret_scan.written(F.col("_base")), 256).alias("base_sha256"), secret_scan.written(spans).alias("spans"))
 

@@ -6,6 +6,8 @@ DataFrame functions only.  Offsets are in code points, ends exclusive.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +33,11 @@ ENCODINGS = (
 )
 #: Lower bounds of the length classes in which false discoveries are controlled, each at RATE.
 LENGTHS, RATE = (20, 32, 48, 64, 128), 0.01
-#: A token that any single test calls non-random at this two-sided deviation is no secret.
-MOST_Z = 3.5
-STEP = 0.1
+#: How many times wider than for random symbols the runs and serial deviations of written tokens are taken to spread.
+SPREAD = 3.0
+STEP, MOST_BINS = 0.1, 2000
+#: Parts of a text that one fold strings together; more are folded by chunks.
+FOLD = 1024
 _MARK = "\x01"
 
 
@@ -43,7 +47,6 @@ def _matches(t: Column, pattern: str, keep, kind: int) -> Column:
     The text's own marks were replaced before by another control character,
     which no pattern takes, so every mark found is one set around a match.
     """
-    parts = F.split(F.regexp_replace(t, pattern, f"{_MARK}$0{_MARK}"), _MARK)
     none = F.array().cast("array<struct<s:bigint,e:bigint,k:int,x:string>>")
 
     def step(a: Column, x: Column) -> Column:
@@ -51,16 +54,27 @@ def _matches(t: Column, pattern: str, keep, kind: int) -> Column:
         found = F.array(F.struct(a["at"].alias("s"), end.alias("e"), F.lit(kind).alias("k"), x.alias("x")))
         return F.struct(end.alias("at"), (~a["odd"]).alias("odd"), F.when(a["odd"] & keep(x), F.concat(a["out"], found)).otherwise(a["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("odd"), none.alias("out"))
-    return F.aggregate(parts, start, step, lambda a: a["out"])
+    def fold(parts: Column, at: Column) -> Column:
+        start = F.struct(at.cast("long").alias("at"), F.lit(False).alias("odd"), none.alias("out"))
+        return F.aggregate(parts, start, step, lambda a: a["out"])
+
+    def chunked(parts: Column) -> Column:
+        """A fold copies its array at every match, so long texts fold FOLD parts at a time, each from where it begins."""
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(parts) / FOLD).cast("int") - 1), lambda c: F.slice(parts, c * FOLD + 1, F.lit(FOLD)))
+        sizes = F.transform(cut, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.length(x)))
+        begin = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda b, n: F.array_append(b, F.element_at(b, -1) + n))
+        return F.flatten(F.zip_with(cut, begin, lambda c, b: F.when(c.isNotNull(), fold(c, b)).otherwise(none)))
+
+    parts = F.split(F.regexp_replace(t, pattern, f"{_MARK}$0{_MARK}"), _MARK)
+    found = F.transform(F.array(parts), lambda p: F.when(F.size(p) <= 2 * FOLD, fold(p, F.lit(0))).otherwise(chunked(p)))
+    return F.get(found, F.lit(0))
 
 
 def _base(t: Column) -> Column:
     none = F.array().cast("array<struct<s:bigint,e:bigint,k:int,x:string>>")
-    lower = F.lower(t)
-    likely = {"assign": lower.contains(KEYWORDS[0]), "access": t.contains("AKIA"), "hex": t.rlike("[0-9a-f]{24}")}
-    for word in KEYWORDS[1:]:
-        likely["assign"] |= lower.contains(word)
+    # a one-element array binds the lower-cased text, so that it is made once
+    keyword = F.exists(F.array(F.lower(t)), lambda low: reduce(or_, (low.contains(word) for word in KEYWORDS)))
+    likely = {"assign": keyword, "access": t.contains("AKIA"), "hex": t.rlike("[0-9a-f]{24}")}
     found = []
     for k, (kind, (pattern, least, group)) in enumerate(KINDS.items()):
         keep = (lambda x, p=pattern, n=least, g=group: F.length(F.regexp_extract(x, p, g)) >= n) if group else (lambda x, n=least: F.length(x) >= n)
@@ -69,7 +83,15 @@ def _base(t: Column) -> Column:
 
 
 def _battery(x: Column) -> Column:
-    """Of one token: its encoding, length, deviations of the three tests, and how likely written text is to look as even."""
+    """Of one token: its encoding, length, the deviations of the three tests and `rare`, -log10 of their combined p-value.
+
+    Each test weighs how likely its deviation is for random symbols of the
+    encoding against written ones: chi-squared by the agreement of symbols that
+    the encoding's writing has, runs and serial correlation by a spread of
+    SPREAD.  The product of the three ratios exceeds x for written tokens with a
+    chance of 1 / x at most, so its inverse is a p-value.  A token that any one
+    test calls far from random has a p-value of 1, as has one that is too even.
+    """
     name, size, symbols, agree = (F.coalesce(*(F.when(x.rlike(p), F.lit(of(n, a, q))) for n, p, a, q in ENCODINGS)) for of in (lambda n, a, q: n, lambda n, a, q: len(a), lambda n, a, q: a, lambda n, a, q: q))
     body = F.rtrim(F.when(name.isin("hex", "letters"), F.lower(x)).when(name == "base36", F.lower(x)).otherwise(x), F.lit("="))
     head = F.struct(name.alias("name"), size.cast("double").alias("a"), symbols.alias("symbols"), agree.alias("q"), body.alias("x"))
@@ -104,8 +126,9 @@ def _battery(x: Column) -> Column:
         z_serial = F.when(spread > 0, (n * z["sl"] - z["s"] * z["s"]) / spread * F.sqrt(n)).otherwise(9.0)
         more = (n - 1) * (a * h["q"] - 1)
         z_text = (chi - (a - 1) - more) / F.sqrt(2 * (a - 1) + 4 * more)
-        # a logistic bound of the normal tail, as -log10: 0 for text, large for evenly spread symbols
-        rare = F.greatest(F.lit(0.0), F.log10(1 + F.exp(F.least(F.lit(600.0), -1.702 * z_text + F.when(z_text < 0, 0.25 * z_text * z_text).otherwise(0.0)))))
+        even = F.log(F.sqrt(1 + 2 * more / (a - 1))) + (z_text * z_text - z_chi * z_chi) / 2
+        wide = lambda z: math.log(SPREAD) - z * z * (1 - SPREAD**-2) / 2
+        rare = F.greatest(F.lit(0.0), even + wide(z_runs) + wide(z_serial)) / math.log(10)
         return F.struct(h["name"].alias("name"), F.length(x).alias("n"), z_chi.alias("z_chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"), rare.alias("rare"))
 
     def chain(first: Column, *steps) -> Column:
@@ -150,19 +173,23 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rate: float = RATE) ->
     apart = F.filter(other, lambda o: ~F.exists(F.col("_base"), lambda b: (b["s"] < o["e"]) & (o["s"] < b["e"])))
     tested = F.filter(F.transform(apart, lambda o: F.struct(o.alias("o"), _battery(o["x"]).alias("r"))), lambda y: y["r"].isNotNull())
     found = found.withColumn("_random", tested)
-    r = found.select(F.explode("_random").alias("y")).select(_class(F.col("y.r.n")).alias("c"), F.least(F.floor(F.col("y.r.rare") / STEP), F.lit(2000)).cast("int").alias("b"))
+    r = found.select(F.explode("_random").alias("y")).select(_class(F.col("y.r.n")).alias("c"), F.least(F.floor(F.col("y.r.rare") / STEP), F.lit(MOST_BINS)).cast("int").alias("b"))
     cuts = cutoffs([tuple(x) for x in r.groupBy("c", "b").count().collect()], rate)
 
     def secret(y: Column) -> Column:
-        even = (F.abs(y["r"]["z_chi"]) <= MOST_Z) & (F.abs(y["r"]["z_runs"]) <= MOST_Z) & (F.abs(y["r"]["z_serial"]) <= MOST_Z)
         rare = F.lit(False)
         for k, least in cuts.items():
             rare |= (_class(y["r"]["n"]) == k) & (F.floor(y["r"]["rare"] / STEP) * STEP >= least - 1e-9)
-        return even & rare
+        return rare
 
     return found.withColumn("_random", F.transform(F.filter("_random", secret), lambda y: y["o"]))
 
 
+def count_kind(spans: Column, kind: str) -> Column:
+    number = list(KINDS).index(kind)
+    return F.size(F.filter(spans, lambda s: s["k"] == number)).cast("long")
+
+
 def written(spans: Column) -> Column:
     """kind:start:end of spans, comma-joined."""
     names = F.array(*(F.lit(k) for k in (*KINDS, RANDOM)))
