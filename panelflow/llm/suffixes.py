@@ -2,15 +2,18 @@
 
 Every string of LENGTH bytes is put in the bucket of its anchor, the LETTERS
 bytes inside it whose fingerprint is least, so equal strings share a bucket and
-a bucket of one string needs no sorting.  Buckets whose strings may repeat are
-sorted a block of buckets at a time.  Suffixes are first told apart by what
-stands at either end of the string; the ties that are left are resolved by
-ranks of a difference cover of the block's places, made beforehand: whichever
-two suffixes tie, some shift under COVER takes both to ranked places.
+a bucket of one string needs no sorting.  A bucket too large for a block is cut
+by the bytes around its anchor, as a radix step of the sort, until its parts
+fit.  Buckets whose strings may repeat are sorted a block of buckets at a time.
+Suffixes are first told apart by what stands at either end of the string; the
+ties that are left are resolved by ranks of a difference cover of the block's
+places, made beforehand: whichever two suffixes tie, some shift under COVER
+takes both to ranked places.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.llm.common import Scratch, mix64
-from panelflow.llm.minhash import BASE, BYTE_CODES, _powers
 from panelflow.llm.tokens import by_size
 
 LENGTH, LETTERS = 400, 50
@@ -28,34 +30,52 @@ SPAN = LENGTH - LETTERS + 1
 COVER, MEMBERS = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 EDGE = 64
 SEGMENT = 2_000_000
-#: Bytes sorted at a time, and the contexts above which a bucket's strings are counted by fingerprint instead.
-BLOCK_BYTES, MOST_CONTEXTS = 1_000_000, 6_000
+#: Bytes sorted at a time, and the contexts above which a bucket is cut once more before it is sorted.
+BLOCK_BYTES, MOST_CONTEXTS = 1_000_000, 2_000
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _prefix(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    prefix = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[flat] * _powers(BASE, len(flat))[:-1], out=prefix[1:])
-    return prefix, _powers(pow(BASE, -1, 2**64), len(flat))
+def grams(flat: np.ndarray) -> np.ndarray:
+    """Fingerprints of the LETTERS bytes at every place from which so many can be read, joined of ever longer parts."""
+    padded = np.concatenate([flat, np.zeros(8, np.uint8)]).astype(np.uint64)
+    h, size = np.zeros(len(flat), np.uint64), 8
+    for j in range(8):
+        h |= padded[j : j + len(flat)] << np.uint64(8 * j)
+    h = mix64(h)[: len(flat) - 7]
+    while size < LETTERS:
+        shift = min(size, LETTERS - size)
+        h = mix64(h[: len(h) - shift] * STEP + h[shift:])
+        size += shift
+    return h
+
+
+def digest(*parts) -> tuple[int, int]:
+    """128 bits of a cryptographic hash, as two signed longs; parts are bytes or small numbers."""
+    h = hashlib.blake2b(digest_size=16)
+    for p in parts:
+        h.update(p.to_bytes(8, "little") if isinstance(p, int) else p)
+    d = h.digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of texts of at most SEGMENT bytes or so: text index, place of the anchor, first and last start of the strings it serves, fingerprints of anchor and context.
+    """Of texts of at most SEGMENT bytes or so: text index, place of the anchor, first and last start of the strings it serves, the anchor's fingerprint and two halves of the context's digest.
 
     The context is all that those strings cover.
     """
     size = np.array([len(t) for t in texts], np.int64)
-    flat = np.frombuffer(b"".join(texts), np.uint8)
+    whole = b"".join(texts)
+    flat = np.frombuffer(whole, np.uint8)
     end = np.cumsum(size)
     n = len(flat)
     if not (size >= LENGTH).any():
-        return tuple(np.empty(0, np.int64) for _ in range(4)) + tuple(np.empty(0, np.uint64) for _ in range(2))
-    prefix, inverse = _prefix(flat)
-    grams = mix64((prefix[LETTERS:] - prefix[: n - LETTERS + 1]) * inverse[: n - LETTERS + 1])
+        return tuple(np.empty(0, np.int64) for _ in range(4)) + tuple(np.empty(0, np.int64) for _ in range(3))
+    found = grams(flat)
     low = np.uint64((1 << 24) - 1)
-    m = len(grams)
-    whole = -(-m // SPAN) * SPAN
-    packed = np.full(whole, np.uint64(2**64 - 1))
-    packed[:m] = (grams & ~low) | np.arange(m, dtype=np.uint64)
+    m = len(found)
+    full = -(-m // SPAN) * SPAN
+    packed = np.full(full, np.uint64(2**64 - 1))
+    packed[:m] = (found & ~low) | np.arange(m, dtype=np.uint64)
     rows = packed.reshape(-1, SPAN)
     ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
@@ -69,9 +89,12 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     lo, hi, place, owner = starts[first], starts[last], place[first], owner[first]
-    context = mix64((prefix[hi + LENGTH] - prefix[lo]) * inverse[lo] + ((hi - lo) * 1024 + place - lo).astype(np.uint64))
+    view, blake = memoryview(whole), hashlib.blake2b
+    # what is before the anchor and how many strings there are tells contexts of one content apart
+    names = [blake(view[a : b + LENGTH], digest_size=16, salt=(p - a).to_bytes(8, "little")).digest() for a, b, p in zip(lo.tolist(), hi.tolist(), place.tolist())]
+    context = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
     begin = (end - size)[owner]
-    return owner, place - begin, lo - begin, hi - begin, grams[place], context
+    return owner, place - begin, lo - begin, hi - begin, found[place].view(np.int64), context[:, 0], context[:, 1]
 
 
 def _segments(ids: list, texts: list) -> Iterator[tuple[list, list, list]]:
@@ -87,12 +110,16 @@ def _segments(ids: list, texts: list) -> Iterator[tuple[list, list, list]]:
             cut = cut[take:]
 
 
+FOUND = "g long, c0 long, c1 long, id long, lo long, hi long, at long"
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, offsets, texts in _segments(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            owner, _, lo, hi, gram, context = anchors(texts)
+            owner, place, lo, hi, gram, c0, c1 = anchors(texts)
             at = np.array(offsets, np.int64)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(np.array(ids, np.int64)[owner]), pa.array(lo + at), pa.array(hi + at)], names=["g", "c", "id", "lo", "hi"])
+            columns = (gram, c0, c1, np.array(ids, np.int64)[owner], lo + at, hi + at, place + at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["g", "c0", "c1", "id", "lo", "hi", "at"])
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
@@ -162,52 +189,77 @@ def repeated_strings(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, n, id, lo, hi, bytes) sorted by g to spans (id, a, b) of strings found twice; whole buckets, a block at a time."""
+    """Rows (k0, k1, n, id, lo, hi, bytes) sorted by bucket to spans (id, a, b) of strings found twice; whole buckets, a block at a time."""
     held: list[tuple] = []
     size = 0
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
-        text = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-        many = np.array([r[4] - r[3] + 1 for r in rows], np.int64)
+        text = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+        ids, lo, hi = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5))
+        many = hi - lo + 1
         begin = np.cumsum(many + LENGTH - 1) - many - LENGTH + 1
         within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
         hit = repeated_strings(text, np.repeat(begin, many) + within)
-        hit &= np.repeat(np.array([r[1] == 1 for r in rows]), many)
+        hit &= np.repeat(np.array([r[2] == 1 for r in rows]), many)
         owner = np.repeat(np.arange(len(rows)), many)
         at = np.flatnonzero(hit)
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1 if len(at) else first
-        ids, lo = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
         o = owner[at[first]]
-        return pa.RecordBatch.from_arrays([pa.array(ids[o]), pa.array(lo[o] + within[at[first]]), pa.array(lo[o] + within[at[last]] + LENGTH)], names=["id", "a", "b"])
+        columns = (ids[o], lo[o] + within[at[first]], lo[o] + within[at[last]] + LENGTH)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "a", "b"])
 
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if held and size >= BLOCK_BYTES and row[0] != held[-1][0]:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            if held and size >= BLOCK_BYTES and row[:2] != held[-1][:2]:
                 yield block(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[5])
+            size += len(row[6])
     if held:
         yield block(held)
 
 
+#: A bucket's rows: its key, the offsets of its anchor in the strings it serves, how many texts share the context, one of them, and the bytes.
+KEYS = "k0 long, k1 long, l1 int, l2 int"
+SHIPPED = f"{KEYS}, n long, id long, lo long, hi long, at long, bytes binary"
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in schema.split(", "))])
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = _arrow(SHIPPED + ", many long")
     for batch in batches:
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows = [{**w, "bytes": text[w["lo"] : w["hi"] + LENGTH]} for w in wanted]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("g", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("bytes", pa.binary())]))
+            rows = [{"k0": w["g"], "k1": 0, "l1": 0, "l2": SPAN - 1, **w, "bytes": text[w["lo"] : w["hi"] + LENGTH]} for w in wanted]
+            yield pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in rows], schema=schema)
 
 
-def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of large buckets, each cut in two by the anchor's offset in its strings.
+
+    All strings of a half reach some bytes further to one side of the anchor at
+    least, so those bytes are part of the half's key: equal strings stay together.
+    """
+    schema = _arrow(f"{SHIPPED}, c0 long, c1 long")
     for batch in batches:
-        for _, n, i, lo, hi, raw in zip(*(batch.column(k).to_pylist() for k in range(6))):
-            prefix, inverse = _prefix(np.frombuffer(raw, np.uint8))
-            many = hi - lo + 1
-            h = mix64((prefix[LENGTH:] - prefix[:many]) * inverse[:many])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(many, n)), pa.array(np.full(many, i)), pa.array(lo + np.arange(many))], names=["h", "n", "id", "a"])
+        out = []
+        for r in batch.to_pylist():
+            middle, raw, lo, at = (r["l1"] + r["l2"] + 1) // 2, r["bytes"], r["lo"], r["at"]
+            for l1, l2 in ((r["l1"], middle - 1), (middle, r["l2"])):
+                first, last = max(lo, at - l2), min(r["hi"], at - l1)
+                if l1 <= l2 and first <= last:
+                    k0, k1 = digest(l1, l2, raw[at - l1 - lo : at - l2 + LENGTH - lo])
+                    own = raw[first - lo : last - lo + LENGTH]
+                    c0, c1 = digest(at - first, own)
+                    out.append({**r, "k0": k0, "k1": k1, "l1": l1, "l2": l2, "lo": first, "hi": last, "bytes": own, "c0": c0, "c1": c1})
+        if out:
+            yield pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in out], schema=schema)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,28 +285,49 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, a, b): byte spans that strings of LENGTH bytes cover which also start elsewhere; spans of one text may overlap.
 
-    Contexts that are equal as a whole are counted, not sorted: all their
-    strings repeat, and one of them stands for all where its bucket is sorted.
+    Contexts that are equal as a whole, by a 128-bit cryptographic digest, are
+    counted, not sorted: all their strings repeat, and one of them stands for
+    all where its bucket is sorted.  A bucket of more than MOST_CONTEXTS
+    contexts is cut in halves by the anchor's offset, up to nine times; a half
+    of one offset holds one string, so whatever its size it is counted.
     """
     tmp = Scratch(docs.sparkSession, "suffixes")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where(f"octet_length(text) >= {LENGTH}")
-    found = tmp.save(rows.mapInArrow(_anchor_rows, "g long, c long, id long, lo long, hi long"))
-    again = found.groupBy("g").agg(F.count("*").alias("all"), F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("all") > 1)
-    repeated = tmp.save(found.join(again.select("g", (F.col("c0") < F.col("c1")).alias("mixed")), "g"))
+    found = tmp.save(rows.mapInArrow(_anchor_rows, FOUND))
+    # what joins a hot anchor's rows is written first, so that adaptive execution can split them
+    again = tmp.save(found.groupBy("g").count().where(F.col("count") > 1).select("g"))
+    repeated = tmp.save(found.join(again, "g"))
     tmp.drop(found)
-    classes = repeated.groupBy("g", "c", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("one"))
-    whole = repeated.join(classes.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("id", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
-    mixed = classes.where("mixed")
-    sizes = mixed.groupBy("g").agg(F.count("*").alias("many"), F.min("n").alias("rarest")).where(F.col("rarest") == 1).select("g", "many")
-    wanted = mixed.join(sizes, "g").select("g", "many", "n", "one.*")
-    by_text = wanted.groupBy("id").agg(F.collect_list(F.struct("g", F.when(F.col("many") > MOST_CONTEXTS, -F.col("n")).otherwise(F.col("n")).alias("n"), "id", "lo", "hi")).alias("wanted"))
-    shipped = rows.join(by_text, "id").select("text", "wanted").mapInArrow(_contexts, "g long, n long, id long, lo long, hi long, bytes binary")
-    shipped = tmp.save(shipped)
-    sorted_ = shipped.where("n > 0").repartition("g").sortWithinPartitions("g").mapInArrow(_sort_blocks, "id long, a long, b long")
-    strings = shipped.where("n < 0").mapInArrow(_string_rows, "h long, n long, id long, a long")
-    twice = strings.groupBy("h").count().where(F.col("count") > 1).select("h")
-    counted = strings.where("n = -1").join(twice, "h", "left_semi").select("id", "a", (F.col("a") + LENGTH).alias("b"))
-    return whole.union(sorted_).union(counted)
+    spans = []
+
+    def wanted(classes: DataFrame, key: list[str]) -> DataFrame:
+        """The classes of buckets that hold several and have one that isn't known to repeat."""
+        sizes = tmp.save(classes.groupBy(*key).agg(F.count("*").alias("many"), F.min("n").alias("rarest")).where("many > 1 and rarest = 1").drop("rarest"))
+        return classes.join(sizes, key)
+
+    own = ["g", "c0", "c1"]
+    classes = tmp.save(repeated.groupBy(*own).agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi", "at")).alias("one")))
+    spans.append(repeated.join(classes.where("n > 1").select(*own), own).select("id", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b")))
+    by_text = wanted(classes, ["g"]).groupBy("one.id").agg(F.collect_list(F.struct("g", "n", "many", "one.*")).alias("wanted"))
+    shipped = tmp.save(rows.join(by_text, "id").select("text", "wanted").mapInArrow(_contexts, SHIPPED + ", many long"))
+    key = ["k0", "k1", "l1", "l2"]
+    while True:
+        fit = shipped.where(F.col("many") <= MOST_CONTEXTS).select("k0", "k1", "n", "id", "lo", "hi", "bytes")
+        spans.append(fit.repartition("k0", "k1").sortWithinPartitions("k0", "k1").mapInArrow(_sort_blocks, "id long, a long, b long"))
+        large = shipped.where(F.col("many") > MOST_CONTEXTS).drop("many")
+        if large.isEmpty():
+            break
+        halves = tmp.save(large.mapInArrow(_halves, f"{SHIPPED}, c0 long, c1 long"))
+        one = F.min_by(F.struct("n", "id", "lo", "hi", "at", "bytes"), F.struct("id", "lo")).alias("one")
+        classes = tmp.save(halves.groupBy(*key, "c0", "c1").agg(F.count("*").alias("copies"), one))
+        new = halves.where("n = 1").drop("n", "bytes").join(classes.where("copies > 1").select(*key, "c0", "c1"), [*key, "c0", "c1"])
+        spans.append(new.select("id", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b")))
+        classes = classes.select(*key, "one.*", "copies").withColumn("n", F.greatest("n", "copies")).drop("copies")
+        shipped = tmp.save(wanted(classes, key))
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.union(more)
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,10 +335,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Strings are judged on the input; all their places lose them, copies within a
     text included.  Null and empty texts have no bytes and lose none; nor do
-    texts under LENGTH bytes.  Ids are taken to be unique; a null id is left
-    out; an empty table gives no row; other columns are not read.
+    texts under LENGTH bytes.  Rows that repeat an id are documents of their
+    own; where there are any, the rows are first written under keys.  A null id
+    is left out; an empty table gives no row; other columns are not read.
     """
-    spans = repeated_spans(docs, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
-    joined = rows.join(spans, "id", "left").select("id", "text", "spans")
+    if rows.groupBy("id").count().where(F.col("count") > 1).isEmpty():
+        rows = rows.withColumn("key", F.col("id"))
+    else:
+        rows = Scratch(docs.sparkSession, "suffixes").save(rows.withColumn("key", F.monotonically_increasing_id()))
+    spans = repeated_spans(rows, "key").groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    joined = rows.join(spans.withColumnRenamed("id", "key"), "key", "left").select("id", "text", "spans")
     return joined.mapInArrow(_cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("id", id_col)
