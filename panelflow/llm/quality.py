@@ -1,13 +1,14 @@
 """Quality rules as weak supervision: rules vote or abstain, expectation-maximisation weighs them.
 
-DataFrame functions only.  The corpus enters the fit as counts of vote patterns,
-at most 3 ** len(RULES) rows however many documents there are.
+DataFrame functions only.  The corpus enters the fit, on the driver, as counts of
+vote patterns, at most 3 ** len(RULES) rows however many documents there are.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +21,25 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PLACE = 20
 ROUNDS = 50
 KEEP_AT = 0.5
-#: The most good documents that a rule is taken to call bad, as a share.
-MOST_MISS = 0.002
+#: What the priors expect: the share of bad documents, how often a kind of defect fires its own rule and another, and a good document any.
+BAD, OWN, OTHER, MISS = 0.1, 0.8, 0.2, 0.01
+#: Weights of the priors of a defect's rates and of a good document's, as parts of the corpus.
+WEIGHT_BAD, WEIGHT_GOOD = 0.002, 0.02
+#: ASCII digits and marks; any other character in a word counts as a letter.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
+#: Words between which the share of distinct ones tells something: it falls with a text's length.
+FEW, MANY = 30, 3000
 
 #: name: (value, bad from, good up to); between the two, or where value is null, a rule abstains.
+#: Every defect shows in two rules or more, so that agreement tells a defect from a rule's noise.
 RULES = {
     "symbols_per_word": (lambda c: c("n_symbols") / c("n_words"), 0.3, 0.05),
     "repeated_words": (lambda c: c("n_repeat_words") / c("n_words"), 0.3, 0.1),
     "repeated_lines": (lambda c: F.when(c("n_lines") >= 4, c("n_dup_lines") / c("n_lines")), 0.5, 0.05),
     "capitals": (lambda c: c("n_upper") / c("word_chars"), 0.4, 0.15),
     "exclamations": (lambda c: c("n_exclaim") / c("n_words"), 0.3, 0.05),
+    "marks": (lambda c: c("n_marks") / c("word_chars"), 0.2, 0.1),
+    "few_distinct": (lambda c: F.when(c("n_words").between(FEW, MANY), 1 - c("n_distinct") / c("n_words")), 0.65, 0.5),
     "word_length": (lambda c: F.abs(c("word_chars") / c("n_words") - 6.0), 5.0, 3.0),
 }
 
@@ -85,13 +95,16 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     words = F.array_remove(F.split(t, f"{SPACE}+"), "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, WHITE, "") != "")
     length, word_chars = F.length(t), _without(t, WHITE)
-    first = docs.withColumn("_w", words).withColumn("_l", lines)
+    # one struct, named as no caller's column can be by the names that are replaced
+    first = docs.withColumn("_q", F.struct(words.alias("w"), lines.alias("l")))
+    w, l = F.col("_q.w"), F.col("_q.l")  # noqa: E741
     counts = {
-        "n_words": F.size("_w"), "word_chars": word_chars, "n_symbols": length - _without(t, SYMBOLS), "n_lines": F.size("_l"),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")), "n_repeat_words": _repeated_words(F.col("_w")),
+        "n_words": F.size(w), "word_chars": word_chars, "n_symbols": length - _without(t, SYMBOLS), "n_lines": F.size(l),
+        "n_dup_lines": F.size(l) - F.size(F.array_distinct(l)), "n_repeat_words": _repeated_words(w),
         "n_upper": length - _without(t, UPPER), "n_exclaim": length - _without(t, "!"),
+        "n_marks": length - _without(t, MARKS), "n_distinct": F.size(F.array_distinct(w)),
     }
-    return first.withColumn("_q", F.struct(*(v.cast("long").alias(k) for k, v in counts.items()))).drop("_w", "_l")
+    return first.withColumn("_q", F.struct(*(v.cast("long").alias(k) for k, v in counts.items())))
 
 
 def _count(name: str) -> Column:
@@ -99,12 +112,12 @@ def _count(name: str) -> Column:
 
 
 def votes() -> Column:
-    """A struct of one byte a rule: 1 bad, 0 good, null abstains."""
+    """An array of one byte a rule: 1 bad, 0 good, null abstains."""
     out = []
-    for name, (value, bad, good) in RULES.items():
+    for value, bad, good in RULES.values():
         v = F.when(_count("n_words") > 0, value(_count))
-        out.append(F.when(v >= bad, 1).when(v <= good, 0).cast("byte").alias(name))
-    return F.struct(*out)
+        out.append(F.when(v >= bad, 1).when(v <= good, 0).cast("byte"))
+    return F.array(*out)
 
 
 def base_failed() -> Column:
@@ -112,44 +125,48 @@ def base_failed() -> Column:
 
 
 def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS) -> dict:
-    """Two-class expectation-maximisation over (votes, number of documents).
-
-    Each rule has its own hit rate on bad and on good documents; an abstention
-    says nothing.  A document is bad by any one defect, so rules seldom fire
-    together and agreement alone can't tell them from noise: a rule's rate of
-    false alarms is held to MOST_MISS, and Beta priors worth one hundredth of
-    the corpus hold rules with few votes.  No document: the priors.
+    """Expectation-maximisation over (votes, number of documents): good documents, and as many kinds of defect as rules.
+
+    A bad document has one kind of defect, which starts out as what fires the
+    rule of its number; how often each kind and good documents fire each rule is
+    estimated, an abstention says nothing.  Rules that agree more often than
+    noise would make a kind of defect; a rule that fires alone, where all others
+    call the document good, is found to be noise of good documents, and is
+    outvoted.  Weak priors hold rules with few votes.  No document: the priors.
+    Returns each class's share and its rates by rule, good documents first.
     """
-    patterns = sorted(patterns, key=lambda x: tuple(-1 if v is None else v for v in x[0]))
-    k, total = len(RULES), sum(n for _, n in patterns)
-    weight = max(1.0, total / 100)
-    bad, hit, miss = 0.1, [0.3] * k, [MOST_MISS] * k
-    for _ in range(rounds if total else 0):
-        seen = [[1e-9, 1e-9, 1e-9, 1e-9] for _ in range(k)]
-        mass = 0.0
-        for vote, n in patterns:
-            odds = math.log(bad / (1 - bad)) + sum(math.log(hit[j] / miss[j]) if v else math.log((1 - hit[j]) / (1 - miss[j])) for j, v in enumerate(vote) if v is not None)
-            p = 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
-            mass += n * p
-            for j, v in enumerate(vote):
-                if v is not None:
-                    seen[j][0] += n * p * v
-                    seen[j][1] += n * p
-                    seen[j][2] += n * (1 - p) * v
-                    seen[j][3] += n * (1 - p)
-        bad = min(0.5, (mass + 0.1 * weight) / (total + weight))
-        hit = [max(0.05, min(0.95, (s[0] + 0.3 * weight) / (s[1] + weight))) for s in seen]
-        miss = [max(MOST_MISS / 10, min(MOST_MISS, (s[2] + MOST_MISS * weight) / (s[3] + weight))) for s in seen]
-    return {"bad": bad, "hit": hit, "miss": miss}
+    k = len(patterns[0][0]) if patterns else len(RULES)
+    n = np.array([n for _, n in patterns], float)
+    fired = np.array([[v == 1 for v in vote] for vote, _ in patterns], float).reshape(-1, k)
+    voted = np.array([[v is not None for v in vote] for vote, _ in patterns], float).reshape(-1, k)
+    own = np.eye(k, dtype=bool)
+    expect = np.vstack([np.full(k, MISS), np.where(own, OWN, OTHER)])
+    weight = max(1.0, n.sum()) * np.array([WEIGHT_GOOD, *[WEIGHT_BAD] * k])
+    share0 = np.array([1 - BAD, *[BAD / k] * k])
+    share, rate = share0, expect
+    for _ in range(rounds if len(patterns) else 0):
+        odds = np.log(share) + fired @ np.log(rate).T + (voted - fired) @ np.log1p(-rate).T
+        p = np.exp(odds - odds.max(axis=1, keepdims=True))
+        p *= (n / p.sum(axis=1))[:, None]
+        share = (p.sum(axis=0) + share0 * weight[0]) / (n.sum() + weight[0])
+        rate = (p.T @ fired + expect * weight[:, None]) / (p.T @ voted + weight[:, None])
+        rate = rate.clip(1e-4, 1 - 1e-4)
+    return {"share": share.tolist(), "rate": rate.tolist()}
 
 
 def posterior(model: dict) -> Column:
     """Probability that a document is good, given its votes in `_v`."""
-    odds = F.lit(math.log(model["bad"] / (1 - model["bad"])))
-    for j, name in enumerate(RULES):
-        yes, no = math.log(model["hit"][j] / model["miss"][j]), math.log((1 - model["hit"][j]) / (1 - model["miss"][j]))
-        odds = odds + F.when(F.col("_v")[name] == 1, yes).when(F.col("_v")[name] == 0, no).otherwise(0.0)
-    return 1 / (1 + F.exp(odds))
+
+    def vote(j: int, good: float, bad: float) -> Column:
+        v = F.col("_v")[j]
+        return F.when(v == 1, math.log(bad / good)).when(v == 0, math.log((1 - bad) / (1 - good))).otherwise(0.0)
+
+    good, *kinds = zip(model["share"], model["rate"])
+    odds = []
+    for share, rate in kinds:
+        votes = (vote(j, g, b) for j, (g, b) in enumerate(zip(good[1], rate)))
+        odds.append(F.exp(sum(votes, F.lit(math.log(share / good[0])))))
+    return 1 / (1 + sum(odds, F.lit(0.0)))
 
 
 def score_quality(docs: DataFrame, text_col: str = "text", only: list[str] | None = None) -> DataFrame:
