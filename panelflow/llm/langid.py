@@ -1,10 +1,12 @@
 """Language identification by partial matching: variable-order byte contexts with escapes, frozen code lengths.
 
-A language's model is a tree of contexts of up to ORDER preceding symbols.  A
-symbol seen in a context costs -log2(count / (total + kinds)); one not seen
-costs the escape, -log2(kinds / (total + kinds)), and its cost in the context
-one symbol shorter; below the empty context all symbols cost the same.  Costs
-are frozen as whole numbers of 1 / SCALE bit, so a text's code length is exact.
+A language's model is a tree of contexts of up to ORDER preceding bytes, ASCII
+letters without case.  A byte seen in a context costs -log2(count / (total +
+kinds)); one not seen costs the escape, -log2(kinds / (total + kinds)), and its
+cost in the context one byte shorter; below the empty context all bytes cost the
+same.  Costs are frozen as whole numbers of 1 / SCALE bit, so a text's code
+length is exact.  Only pairs of context and byte that some language has seen are
+held, with a cost for every language.
 """
 
 from __future__ import annotations
@@ -18,45 +20,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.llm.common import worker_cache
+from panelflow.llm.tokens import by_size
 
-ORDER, SCALE = 3, 1024
-#: Bound of the labelled sample: about this many documents a language, chosen by a hash of the id.
-MAX_DOCS = 1_500
-CHUNK_BYTES = 4_000_000
+ORDER, SCALE = 4, 1024
+#: Bound of the labelled sample: about this many documents and bytes a language, chosen by a hash of the id.
+MAX_DOCS, MAX_BYTES = 1_500, 4_000_000
+CHUNK_BYTES = 2_000_000
 UNKNOWN = "und"
+#: Bytes as they are, but for A-Z, which count as a-z.
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def _alphabet() -> np.ndarray:
-    """Byte to symbol: letters without case, one symbol each for white space, digits, lead bytes of a length; continuation bytes modulo 32, which joins both cases of Latin letters."""
-    to = np.full(256, 28, np.uint8)  # marks and control characters
-    for b in range(26):
-        to[65 + b] = to[97 + b] = b
-    to[[9, 10, 11, 12, 13, 32]] = 26
-    to[48:58] = 27
-    to[39] = 29
-    to[0x80:0xC0] = 34 + (np.arange(64) & 31)
-    to[0xC0:0xE0], to[0xC3], to[0xE0:0xF0], to[0xF0:] = 30, 31, 32, 33
-    return to
-
-
-SYMBOLS = 66
-TO_SYMBOL = _alphabet()
-
-
-def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts, the ORDER symbols before each as one number (white space before a text), and where texts end."""
+def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every byte of all texts with the ORDER bytes before it as one number, the byte lowest (white space before a text); and where texts end."""
     pad = b" " * ORDER
-    flat = TO_SYMBOL[np.frombuffer(b"".join(pad + t for t in texts), np.uint8)].astype(np.int32)
+    flat = np.frombuffer(b"".join(pad + t for t in texts).translate(FOLD), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
+    keys = flat.astype(np.int64)
+    for i in range(1, ORDER + 1):
+        keys[i:] |= flat[:-i].astype(np.int64) << (8 * i)
+    begin = np.cumsum(size + ORDER) - size
     own = np.ones(len(flat), bool)
-    begin = np.cumsum(size + ORDER) - size - ORDER
-    for i in range(ORDER):
-        own[begin + i] = False
-    at = np.flatnonzero(own)
-    before = np.zeros(len(at), np.int32)
-    for i in range(ORDER, 0, -1):
-        before = before * SYMBOLS + flat[at - i]
-    return flat[at], before, np.cumsum(size)
+    for i in range(1, ORDER + 1):
+        own[begin - i] = False
+    return keys[own], np.cumsum(size)
+
+
+def suffix(keys: np.ndarray, order: int) -> np.ndarray:
+    """Keys with their last `order` bytes of context only."""
+    return keys & ((1 << 8 * (order + 1)) - 1)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,108 +56,114 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array(batch.column(0).to_pylist())
         texts = batch.column(1).to_pylist()
         for lang in sorted(set(langs.tolist())):
-            own = [texts[i] for i in np.flatnonzero(langs == lang)]
-            symbol, before, _ = contexts(own)
-            key, n = np.unique(before.astype(np.int64) * SYMBOLS + symbol, return_counts=True)
+            keys, _ = contexts([texts[i] for i in np.flatnonzero(langs == lang)])
+            key, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key), pa.array(n)], names=["lang", "key", "n"])
 
 
-def code_lengths(langs: np.ndarray, keys: np.ndarray, counts: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of costs [row, symbol, language], and which row serves a context of ORDER symbols.
-
-    A row belongs to the longest suffix of the context that any language has
-    seen; languages that have not seen it escape to shorter ones inside the row.
-    """
-    k = len(names)
-    seen = []  # by order: context numbers with a row, and their costs
-    shorter = np.full((1, SYMBOLS, k), np.log2(SYMBOLS))
-    rows_of = np.zeros(1, np.int64)  # row of every context of the order below
-    for order in range(ORDER + 1):
-        width = SYMBOLS**order
-        context, symbol = (keys // SYMBOLS) % width, keys % SYMBOLS
-        here = np.unique(context)
-        at = np.searchsorted(here, context)
-        n = np.zeros((len(here), SYMBOLS, k))
-        np.add.at(n, (at, symbol, langs), counts)
-        total, kinds = n.sum(axis=1), (n > 0).sum(axis=1)
-        below = rows_of[here % max(1, width // SYMBOLS)] if order else np.zeros(len(here), np.int64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(kinds > 0, np.log2((total + kinds) / np.maximum(kinds, 1)), 0.0)
-            cost = np.where(n > 0, np.log2((total + kinds)[:, None, :] / np.maximum(n, 1)), escape[:, None, :] + shorter[below])
-        # a context without a row of its own is served by that of its suffix
-        served = np.tile(rows_of, SYMBOLS) if order else np.zeros(1, np.int64)
-        served = served.copy()
-        offset = len(shorter)
-        served[here] = offset + np.arange(len(here))
-        shorter, rows_of = np.concatenate([shorter, cost]), served
-        seen.append(len(here))
-    return np.minimum(np.rint(shorter * SCALE), 65535).astype(np.uint16), rows_of.astype(np.int32)
-
-
-def fit(docs: DataFrame, lang: Column, trains: Column, text_col: str = "text", id_col: str = "doc_id", most: int = MAX_DOCS) -> tuple[list[str], list[tuple]]:
-    """Languages and (language, context and symbol, count) from a bounded sample of labelled rows.
-
-    A language of more than `most` labelled rows gives those whose hash of the
-    id falls below the share wanted, whole texts always.
+class CodeLengths:
+    """Frozen costs: by order, the keys seen and their costs by language, the contexts seen and what an escape from them costs."""
+
+    def __init__(self, langs: np.ndarray, keys: np.ndarray, counts: np.ndarray, k: int):
+        self.k, self.pairs, self.escapes = k, [], []
+        for order in range(ORDER + 1):
+            short = suffix(keys, order)
+            pairs = np.unique(short)
+            n = np.zeros((len(pairs), k))
+            np.add.at(n, (np.searchsorted(pairs, short), langs), counts)
+            own, at = np.unique(pairs >> 8, return_inverse=True)
+            total, kinds = np.zeros((len(own), k)), np.zeros((len(own), k))
+            np.add.at(total, at, n)
+            np.add.at(kinds, at, n > 0)
+            escape = np.log2(np.maximum(total + kinds, 1) / np.maximum(kinds, 1))
+            shorter = self.costs(suffix(pairs, order - 1), order - 1) / SCALE
+            seen = np.log2(np.maximum(total + kinds, 1)[at] / np.maximum(n, 1))
+            self.escapes.append((own, self._frozen(escape)))
+            self.pairs.append((pairs, self._frozen(np.where(n > 0, seen, escape[at] + shorter))))
+
+    @staticmethod
+    def _frozen(bits: np.ndarray) -> np.ndarray:
+        return np.minimum(np.rint(bits * SCALE), 65535).astype(np.uint16)
+
+    def costs(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Costs [key, language] of keys with `order` bytes of context."""
+        if order < 0:
+            return np.full((len(keys), self.k), 8 * SCALE, np.int32)
+        pairs, cost = self.pairs[order]
+        at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+        out = cost[at].astype(np.int32)
+        new = np.flatnonzero(pairs[at] != keys)
+        if len(new):
+            own, escape = self.escapes[order]
+            context = keys[new] >> 8
+            at = np.minimum(np.searchsorted(own, context), len(own) - 1)
+            out[new] = np.where((own[at] == context)[:, None], escape[at], 0) + self.costs(suffix(keys[new], order - 1), order - 1)
+        return out
+
+
+def fit(docs: DataFrame, lang: Column, trains: Column, text_col: str = "text", id_col: str = "doc_id", most: int = MAX_DOCS) -> tuple[list[str], pa.Table]:
+    """Languages and (lang, key, n), how often a key occurs, from a bounded sample of labelled rows.
+
+    A language of more than `most` labelled rows or MAX_BYTES gives those whose
+    hash of the id falls below the share wanted, whole texts always.
     """
     known = docs.select(lang.alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where(trains & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    sizes = sorted((r[0], r[1]) for r in known.groupBy("lang").count().collect())
+    sizes = sorted(tuple(r) for r in known.groupBy("lang").agg(F.count("*"), F.sum(F.octet_length("text"))).collect())
     share = F.lit(0)
-    for name, n in sizes:
-        share = F.when(F.col("lang") == name, int(1_000_000 * min(1.0, most / n))).otherwise(share)
+    for name, n, size in sizes:
+        share = F.when(F.col("lang") == name, int(1_000_000 * min(1.0, most / n, MAX_BYTES / size))).otherwise(share)
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("lang", "text")
     counts = chosen.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    return [name for name, _ in sizes], [tuple(r) for r in counts.collect()]
+    return [name for name, *_ in sizes], counts.toArrow()
 
 
-def identify(docs: DataFrame, names: list[str], model: list[tuple], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, names: list[str], model: pa.Table, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, lang_pred, score): the language of the shortest code, and its share of 2 ** -length over all languages.
 
     A text that is null or has no letter is UNKNOWN with score 0; equal codes go
-    to the language first in order; without languages all is UNKNOWN.
+    to the language first in order; without languages all is UNKNOWN.  The
+    broadcast holds the sample's distinct keys, at most MAX_BYTES a language; a
+    worker's costs are two bytes a key and language.
     """
     index = {n: i for i, n in enumerate(names)}
-    table = np.array([(index[a], b, c) for a, b, c in sorted(model)], np.int64).reshape(-1, 3)
-    sent = docs.sparkSession.sparkContext.broadcast((names, table))
+    langs = np.array([index[x] for x in model["lang"].to_pylist()], np.int32)
+    sent = docs.sparkSession.sparkContext.broadcast((names, langs, model["key"].to_numpy(), model["n"].to_numpy().astype(np.int32)))
     key = ("ppm", uuid.uuid4().hex)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = worker_cache()
-        names, table = sent.value
-        if key not in held and names:
+        names, langs, keys, counts = sent.value
+        if key not in held and len(keys):
             for old in [x for x in held if x[0] == "ppm"]:
                 del held[old]
-            held[key] = code_lengths(table[:, 0], table[:, 1], table[:, 2], names)
+            held[key] = CodeLengths(langs, keys, counts, len(names))
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            a = 0
-            while a < len(ids):
-                b, size = a, 0
-                while b < len(ids) and (b == a or size < CHUNK_BYTES):
-                    size += len(texts[b] or b"")
-                    b += 1
-                yield _score(ids[a:b], texts[a:b], names, held.get(key))
-                a = b
+            for ids, texts in by_size(batch.column(0).to_pylist(), batch.column(1).to_pylist(), CHUNK_BYTES):
+                yield _score(ids, texts, names, held.get(key))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).cast("binary").alias("text"))
     return rows.mapInArrow(score, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def _score(ids: list, texts: list, names: list[str], model: tuple | None) -> pa.RecordBatch:
+def _bits(texts: list[bytes], model: CodeLengths) -> np.ndarray:
+    """Code lengths [text, language]; many bytes are costed in parts."""
+    keys, ends = contexts(texts)
+    bits = np.zeros((len(texts), model.k), np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    for a in range(0, len(keys), CHUNK_BYTES):
+        cost, own = model.costs(keys[a : a + CHUNK_BYTES]), owner[a : a + CHUNK_BYTES]
+        begin = np.flatnonzero(np.diff(own, prepend=-1))
+        bits[own[begin]] += np.add.reduceat(cost, begin, axis=0, dtype=np.int64)
+    return bits
+
+
+def _score(ids: list, texts: list, names: list[str], model: CodeLengths | None) -> pa.RecordBatch:
     pred, score = np.full(len(ids), UNKNOWN, object), np.zeros(len(ids))
     own = [i for i, t in enumerate(texts) if t] if model else []
     if own:
-        cost, row = model
-        symbol, before, ends = contexts([texts[i] for i in own])
-        at = row[before].astype(np.int64) * SYMBOLS + symbol
-        flat = cost.reshape(-1, len(names))
-        bits = np.empty((len(own), len(names)), np.int64)
-        for j in range(len(names)):
-            total = np.cumsum(flat[:, j][at], dtype=np.int64)[ends - 1]
-            bits[:, j] = np.diff(total, prepend=0)
-        best = bits.argmin(axis=1)
+        bits = _bits([texts[i] for i in own], model)
         more = np.minimum((bits - bits.min(axis=1, keepdims=True)) / SCALE, 1000.0)
-        pred[own] = np.array(names, object)[best]
+        pred[own] = np.array(names, object)[bits.argmin(axis=1)]
         score[own] = 1 / np.exp2(-more).sum(axis=1)
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pred.tolist(), pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
