@@ -29,9 +29,7 @@ def tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        held["tokenizer", path] = t
+        held["tokenizer", path] = Tokenizer.from_file(path)
     return held["tokenizer", path]
 
 
@@ -68,6 +66,8 @@ class Encoder:
 
     def __init__(self, path: str, keep_space: bool):
         self.path, self.keep_space = path, keep_space
+        # the library finds these in a text before any other rule, so a text that holds one is never cut
+        self.added = [x.content.encode() for x in tokenizer(path).get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -75,8 +75,13 @@ class Encoder:
         self.known.new = []
         self.pool, self.begin, self.length = np.array([END_ID], np.uint32), np.zeros(1, np.int32), np.ones(1, np.int32)
 
+    def holds_added(self, text: bytes) -> bool:
+        return any(x in text for x in self.added)
+
     def chunks(self, text: bytes) -> list[bytes]:
         """The chunks of a text that isn't plain."""
+        if self.holds_added(text):
+            return [text]
         if not self.keep_space:
             return text.split()
         return [text] if ODD.search(text) else LOOSE.findall(text)
@@ -109,7 +114,7 @@ class Encoder:
         """Every chunk's number in known, one text after another, each ended by 0."""
         parts, others = [], []
         for t in texts:
-            if t and (t.translate(None, PLAIN) or TIMES in t or DIVIDED in t):
+            if t and (t.translate(None, PLAIN) or TIMES in t or DIVIDED in t or self.holds_added(t)):
                 others.append(t)
                 t = BYTES[ELSEWHERE]
             parts.append(t or b"")
