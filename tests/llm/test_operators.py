@@ -56,7 +56,7 @@ def test_pack_round_trip():
 @pytest.mark.parametrize("name,space", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_ids_equal_those_of_whole_texts(name, space):
     r = random.Random(1)
-    kinds = [*"abAZ éÉßñ,.'!?#09²\t\n  x×́≠—中 ", "'s", "'ll", " '", "  ", "\n\n"]
+    kinds = [*"abAZ éÉßñ,.'!?#09²\t\n  x×́≠—中 ", "'s", "'ll", " '", "  ", "\n\n", "<|endoftext|>", "<|startoftext|>", "<|"]
     texts = ["".join(r.choices(kinds[: r.choice([8, 14, 20, len(kinds)])], k=r.randint(0, 40))) for _ in range(4000)]
     ids, counts = tokens.Encoder(vocabulary(name), space)([t.encode() for t in texts])
     want = [[*e.ids, 2] for e in tokens.tokenizer(vocabulary(name)).encode_batch(texts, add_special_tokens=False)]
@@ -99,6 +99,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert [r.n_shingles for r in got] == [len(s) for s in sets]
 
 
+def test_links_are_judged_on_words(spark):
+    word = "a"
+    for _ in range(11):
+        word = "".join("ab" if c == "a" else "ba" for c in word)
+    other = "".join("a" if c == "b" else "b" for c in word)
+    # rows that repeat an id are one document, linked by each of its texts
+    rows = [(1, word), (2, other), (3, "a b c"), (3, "a b c d e f"), (4, "A b  c"), (5, "a b c d e f"), (6, None), (None, "a b c")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 1, True), (2, 1, 2, True), (3, 2, 3, True), (4, 1, 3, False), (5, 2, 3, False), (6, 0, 6, True)]
+
+
+def test_ranks_drawn_by_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = np.array([5, 0, 4000, 700, 1])
+    h = rng.integers(0, 2**63, sizes.sum(), dtype=np.uint64)
+    whole = minhash.superminhash(h, sizes)
+    monkeypatch.setattr(minhash, "PIECE", 333)
+    assert (minhash.superminhash(h, sizes) == whole).all()
+
+
 def test_superminhash_is_a_permutation_of_ranks():
     h = np.arange(1, 4, dtype=np.uint64) * np.uint64(10**15)
     sig = minhash.superminhash(h, np.array([3, 0]))
@@ -129,6 +149,23 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
             assert (bytes(row.kept), row.n_removed, row.n_spans) == (bytes(np.frombuffer(b, np.uint8)[~gone[:-1]]), int(gone.sum()), runs)
 
 
+def test_a_hot_passage_and_repeated_ids(spark, monkeypatch):
+    r = random.Random(8)
+    passages = _prose(9, 400, longest=160)
+    hot = [p for p in passages if 250 < len(p) < 390][:1] + [p for p in passages if 450 < len(p)][:1]
+    assert len(hot) == 2
+    texts = [f"{r.choice(passages)[:150]} {hot[i % 2]} {r.choice(passages)[:150]}" for i in range(300)]
+    raw = [t.encode() for t in texts]
+    seen = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+    want = [sum(any(seen[b[i : i + 400]] > 1 for i in range(max(0, p - 399), min(p, len(b) - 400) + 1)) for p in range(len(b))) for b in raw]
+    monkeypatch.setattr(suffixes, "MOST_CONTEXTS", 20)
+    got = {x.doc_id: x.n_removed for x in suffixes.remove_repeats(_docs(spark, texts)).collect()}
+    assert [got[i] for i in range(300)] == want and max(want) > 0
+    p, q = passages[0] * 8, passages[1] * 8
+    rows = spark.createDataFrame([(1, p[:590]), (1, p[:590]), (1, q[:380]), (2, "x" + q[:380]), (None, p[:590])], "doc_id long, text string")
+    assert sorted((x.doc_id, x.n_bytes) for x in suffixes.remove_repeats(rows).collect()) == [(1, 380), (1, 590), (1, 590), (2, 381)]
+
+
 def test_quality_counts_and_verdicts(spark):
     clean = _prose(7, 60, words=900)
     texts = [None, "", "a\nb\na", *clean, *("x### y$$$ " * 60 for _ in range(8)), "same words here " * 50]
@@ -138,6 +175,36 @@ def test_quality_counts_and_verdicts(spark):
     assert all(r.kept == (r.n_words >= 50) for r in rows[3:63]) and not any(r.kept for r in rows[63:])
 
 
+def test_a_weak_rule_is_outvoted():
+    k = len(quality.RULES)
+    vote = lambda *on: tuple(int(j in on) for j in range(k))
+    # two pairs of rules that agree; the last rule fires on a fifth of all documents by chance
+    table = [(vote(), 7200), (vote(k - 1), 1800), (vote(0, 1), 400), (vote(0, 1, k - 1), 100), (vote(2, 3), 400), (vote(2, 3, k - 1), 100)]
+    model = quality.fit(table)
+
+    def bad(votes):
+        odds = [s * np.prod([r if v else 1 - r for r, v in zip(rate, votes)]) for s, rate in zip(model["share"], model["rate"])]
+        return 1 - odds[0] / sum(odds)
+
+    assert bad(vote(k - 1)) < 0.1 and bad(vote()) < 0.1 and min(bad(vote(0, 1)), bad(vote(2, 3))) > 0.9
+    # a rule that fires at times with its partner and at times alone is still believed
+    assert bad(vote(0, 1, k - 1)) > 0.9 and model["rate"][0][k - 1] == pytest.approx(0.2, abs=0.03)
+
+
+def test_no_document_gives_the_priors():
+    assert quality.fit([])["share"][0] == pytest.approx(1 - quality.BAD)
+
+
+def test_verdicts_of_the_posterior_column(spark):
+    good, junk = _prose(31, 300, words=900, longest=300), ["x### y$$$ " * 60, "SHOUT!! " * 80]
+    texts = [t for t in good if len(t.split()) >= 50] + junk * 12
+    # one document in ten has the last rule fire alone: words of great length
+    long = [" ".join("w" * 14 + str(i) + "".join(random.Random(i * 100 + j).choices("abcdefgh", k=6)) for j in range(80)) for i in range(15)]
+    rows = quality.score_quality(_docs(spark, texts + long)).orderBy("doc_id").collect()
+    assert all(r.kept for r in rows[: len(texts) - 24]) and not any(r.kept for r in rows[len(texts) - 24 : len(texts)])
+    assert all(r.kept for r in rows[len(texts) :])
+
+
 def test_secrets(spark):
     rng = random.Random(9)
     key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=64))
@@ -145,6 +212,10 @@ def test_secrets(spark):
     rows = secret_scan.find_secrets(_docs(spark, texts)).select("doc_id", secret_scan.written(F.col("_base")).alias("b"), secret_scan.written(F.col("_random")).alias("r")).orderBy("doc_id").collect()
     assert [r.b for r in rows] == ["", "", "assign:5:23", "access:0:20", "hex:0:24", "", ""]
     assert [r.r for r in rows] == ["", "", "", "", "", "random:4:68", ""]
+    # more matches than one fold takes: places stay right
+    many = _docs(spark, ["é token=abcdef1 " * 3000])
+    far = secret_scan.find_secrets(many).select(F.size("_base").alias("n"), F.col("_base")[2999]["s"].alias("s")).first()
+    assert (far.n, far.s) == (3000, 2999 * 16 + 2)
     masked = secret_scan.redact(_docs(spark, texts)).orderBy("doc_id").collect()
     assert masked[3].text == "[SECRET] AKIA short" and masked[0].text is None and masked[5].text == "key [SECRET] end"
 
@@ -165,6 +236,29 @@ def test_embeddings_equal_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 905))
 
 
+def test_hot_cells_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 100)
+    monkeypatch.setattr(embeddings, "CELL", 64)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((400, 32))
+    x = np.concatenate([base, base[0] + 0.1 * rng.standard_normal((350, 32)), base[1:20]])
+    df = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    assert [got[i].n_links for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+    of = _components(len(x), [(a, b) for a in range(len(x)) for b in range(a) if near[a, b]])
+    assert [got[i].component_id for i in range(len(x))] == of
+    twice = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.1]), (2, [-1.0, 0.0]), (1, [-1.0, 0.01]), (5, None)], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embeddings.near_duplicates(twice).collect())) == [(1, 1, 1, True)] * 3 + [(2, 1, 1, False), (5, 0, 5, True)]
+
+
+def test_collisions_equal_window_counts():
+    p = np.random.default_rng(5).standard_normal((150, 64)).astype(np.float32)
+    n = sum((np.abs(p[:, k][:, None] - p[:, k][None, :]) <= 0.6).astype(int) for k in range(64))
+    assert all((embeddings.collisions(p, least) == (n >= least)).all() for least in (1, 17, 24, 64))
+
+
 def test_language(spark):
     en, de = _prose(11, 60), [t.replace("a", "ä").replace("b", "sch") for t in _prose(12, 60)]
     rows = [(i, t, l) for i, (t, l) in enumerate([*((t, "en") for t in en), *((t, "de") for t in de), (None, "en"), ("12 !", "de"), ("abc", None)])]
@@ -174,9 +268,21 @@ def test_language(spark):
 
 
 def test_code_lengths_are_a_probability():
-    keys = np.array([5, 6, 70, 5 + 66**3], np.int64)
-    cost, row = langid.code_lengths(np.zeros(4, np.int64), keys, np.array([3, 1, 2, 5]), ["a"])
-    assert row.max() < len(cost) and (np.exp2(-(cost[row[0], :, 0] / langid.SCALE)).sum()) <= 1.01
+    keys, _ = langid.contexts([t.encode() for t in _prose(1, 20)])
+    keys, n = np.unique(keys, return_counts=True)
+    model = langid.CodeLengths(np.zeros(len(keys), np.int32), keys, n, 1)
+    for context in (int(keys[5]) >> 8, int(keys[len(keys) // 2]) >> 8, 0x7A7A7A7A, 0):
+        cost = model.costs(context << 8 | np.arange(256, dtype=np.int64))
+        assert 0.1 < np.exp2(-cost[:, 0] / langid.SCALE).sum() <= 1.01
+
+
+def test_languages_of_other_scripts(spark):
+    r = random.Random(5)
+    alphabets = {"el": "αβγδεζηθικλμνξοπρστυ", "ru": "абвгдежзиклмнопрстуы", "uk": "абвгдежзіклмнопрстує", "ja": "あいうえおかきくけこさしす", "zh": "的一是在不了有和人这中大为"}
+    docs = [(" ".join("".join(r.choices(a, k=r.randint(2, 7))) for _ in range(25)), lang) for lang, a in alphabets.items() for _ in range(60)]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(docs)]
+    got = langid.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    assert len(got) > 60 and sum(x.lang_pred == rows[x.doc_id][2] for x in got) >= 0.97 * len(got)
 
 
 def test_licenses_equal_brute_force(spark):
