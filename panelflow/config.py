@@ -18,4 +18,4 @@ class EngineConfig:
     cost_rate: float = 0.0005
     risk_free: float = 0.03
     periods: int = 252
-    kmeans_rounds: int = 10
+    train_steps: int = 80_000

@@ -68,9 +68,9 @@ def kpis(log: DataFrame, cfg: EngineConfig, keys: tuple[str, ...] = ("fold",)) -
 
 
 def allocation_rank(log: DataFrame) -> DataFrame:
-    """(cluster, mean_weight), cash left out."""
+    """(cluster, mean_weight), cash left out, the largest first."""
     long = log.select(F.posexplode("weights").alias("cluster", "w"), (F.size("weights") - 1).alias("cash"))
-    return long.where("cluster < cash").groupBy("cluster").agg(F.avg("w").alias("mean_weight"))
+    return long.where("cluster < cash").groupBy("cluster").agg(F.avg("w").alias("mean_weight")).orderBy(F.desc("mean_weight"), "cluster")
 
 
 def histogram(log: DataFrame, bins: int = 50) -> DataFrame:
@@ -93,8 +93,66 @@ def walk_forward(rows: DataFrame, folds: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(spans), F.to_date("ts").between(F.col("a"), F.col("b"))).drop("a", "b")
 
 
+def _lines(figures: DataFrame, keys: tuple[str, ...], names, width: int) -> DataFrame:
+    """(keys, n, line): a line a figure, its name padded to width; kinds are % for percent, # for a number, d for days."""
+    shown = {"%": lambda c: F.format_string("%.2f%%", F.col(c) * 100), "#": lambda c: F.format_string("%.2f", F.col(c)), "d": lambda c: F.format_string("%d days", F.col(c))}
+    lines = [F.struct(F.lit(n).alias("n"), F.format_string(f"%-{width}s | %10s", F.lit(name), shown[kind](c)).alias("line")) for n, (name, c, kind) in enumerate(names)]
+    return figures.select(*keys, F.explode(F.array(*lines)).alias("l")).select(*keys, "l.*")
+
+
+#: The summary's and the report's names, figures and kinds.
+SUMMARY = (("Total Return", "total_return", "%"), ("CAGR", "cagr", "%"), ("Vol", "vol", "%"), ("Max DD", "max_drawdown", "%"), ("Sharpe", "sharpe", "#"), ("Sortino", "sortino", "#"), ("Alpha", "alpha", "%"), ("Beta", "beta", "#"), ("Win Rate", "win_rate", "%"))
+REPORT = (
+    ("Period", "periods", "d"), ("Total Return", "total_return", "%"), ("CAGR", "cagr", "%"), ("Volatility", "vol", "%"), ("Max Drawdown", "max_drawdown", "%"), ("Sharpe Ratio", "sharpe", "#"),
+    ("Sortino Ratio", "sortino", "#"), ("Calmar Ratio", "calmar", "#"), ("Alpha (Ann.)", "alpha", "%"), ("Beta", "beta", "#"), ("Win Rate", "win_rate", "%"),
+)
+
+
 def report_lines(figures: DataFrame, keys: tuple[str, ...] = ("fold",)) -> DataFrame:
     """(keys, n, line): the executive summary's lines; ratios and beta as numbers, the rest in percent."""
-    names = (("Total Return", "total_return", 1), ("CAGR", "cagr", 1), ("Vol", "vol", 1), ("Max DD", "max_drawdown", 1), ("Sharpe", "sharpe", 0), ("Sortino", "sortino", 0), ("Alpha", "alpha", 1), ("Beta", "beta", 0), ("Win Rate", "win_rate", 1))
-    lines = [F.struct(F.lit(n).alias("n"), F.format_string("%-15s | %10s", F.lit(name), F.format_string("%.2f%%", F.col(c) * 100) if percent else F.format_string("%.2f", F.col(c))).alias("line")) for n, (name, c, percent) in enumerate(names)]
-    return figures.select(*keys, F.explode(F.array(*lines)).alias("l")).select(*keys, "l.*")
+    return _lines(figures, keys, SUMMARY, 15)
+
+
+def executive_summary(figures: DataFrame, title: str) -> DataFrame:
+    """(n, line) of a fold's summary: a header, then the lines."""
+    head = figures.sparkSession.createDataFrame([(0, f"--- REPORT: {title} ---")], "n int, line string")
+    return head.union(report_lines(figures, ()).select(F.col("n") + 1, "line"))
+
+
+def executive_report(log: DataFrame, figures: DataFrame, prefix: str, title: str) -> DataFrame:
+    """(n, line) of the long report: header, dates of the first and last step, and all figures between rules."""
+    rule = "-" * 40
+    dates = log.agg(F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("a"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("b"))
+    head = [F.lit(f"--- {title}: EXECUTIVE REPORT ({prefix}) ---"), F.lit(""), F.format_string("Period: %s -> %s", "a", "b"), F.lit(rule)]
+    top = dates.select(F.posexplode(F.array(*head)).alias("n", "line"))
+    end = dates.select((F.lit(len(head) + len(REPORT))).alias("n"), F.lit(rule).alias("line"))
+    return top.union(_lines(figures, (), REPORT, 25).select(F.col("n") + len(head), "line")).union(end)
+
+
+def fold_summary(figures: DataFrame) -> DataFrame:
+    """(Fold, Train_Ret, Test_Ret, Train_Sharpe, Test_Sharpe) of figures by fold and split."""
+    p = figures.groupBy("fold").pivot("split", ["train", "test"]).agg(F.first("total_return").alias("ret"), F.first("sharpe").alias("sharpe"))
+    return p.select(F.col("fold").alias("Fold"), F.col("train_ret").alias("Train_Ret"), F.col("test_ret").alias("Test_Ret"), F.col("train_sharpe").alias("Train_Sharpe"), F.col("test_sharpe").alias("Test_Sharpe"))
+
+
+def weight_stack(log: DataFrame, keys: tuple[str, ...] = ("fold",)) -> DataFrame:
+    """(keys, ts, cluster, weight, top): each step's weights stacked by cluster, cash on top: data of the allocation chart."""
+    long = log.select(*keys, "ts", F.posexplode("weights").alias("cluster", "weight"))
+    w = Window.partitionBy(*keys, "ts").orderBy("cluster").rowsBetween(Window.unboundedPreceding, 0)
+    return long.withColumn("top", F.sum("weight").over(w))
+
+
+def density(log: DataFrame, points: int = 200, cut: float = 3.0) -> DataFrame:
+    """(point, x, density): Gaussian kernel density of returns on a grid that reaches `cut` bandwidths past both ends.
+
+    The bandwidth is the sample deviation times n ** -0.2.  Returns are dealt to
+    the grid's points one by one and summed before the shuffle; a log of fewer
+    than two steps or of equal returns has no row.
+    """
+    e = log.agg(F.min("ret").alias("lo"), F.max("ret").alias("hi"), F.count("ret").alias("n"), F.stddev_samp("ret").alias("sd"))
+    e = e.where("n > 1 and sd > 0").withColumn("h", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
+    step = (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (points - 1)
+    at = F.col("lo") - cut * F.col("h") + F.col("point") * step
+    grid = log.select("ret").where("ret is not null").crossJoin(F.broadcast(e)).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", at)
+    kernel = F.exp(-F.pow((F.col("x") - F.col("ret")) / F.col("h"), F.lit(2.0)) / 2) / (F.col("n") * F.col("h") * 2.5066282746310002)
+    return grid.groupBy("point").agg(F.first("x").alias("x"), F.sum(kernel).alias("density"))

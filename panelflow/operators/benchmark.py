@@ -18,10 +18,12 @@ def asof_returns(times: DataFrame, monthly: DataFrame, gap: str) -> DataFrame:
 
     Before the first month-end, gap "bfill" takes the first equity (no jump), "one" takes 1.0.
     """
-    equity = monthly_equity(monthly).withColumn("next", F.lead("month_end").over(Window.orderBy("month_end")))
     dates = times.select(F.to_date("ts").alias("date")).distinct()
-    known = (F.col("month_end") <= F.col("date")) & (F.col("next").isNull() | (F.col("date") < F.col("next")))
-    joined = dates.join(equity, known, "left").select("date", "equity")
+    # month-ends and dates in one order, a month-end before its own date: one window, no range join
+    known = monthly_equity(monthly).select(F.col("month_end").alias("date"), "equity", F.lit(False).alias("own"))
+    both = dates.select("date", F.lit(None).cast("double").alias("equity"), F.lit(True).alias("own")).union(known)
+    so_far = Window.orderBy("date", "own").rowsBetween(Window.unboundedPreceding, 0)
+    joined = both.withColumn("equity", F.last("equity", ignorenulls=True).over(so_far)).where("own").select("date", "equity")
     w = Window.orderBy("date")
     first = F.first("equity", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     filled = joined.withColumn("equity", F.coalesce("equity", first, F.lit(1.0)) if gap == "bfill" else F.coalesce("equity", F.lit(1.0)))
@@ -58,6 +60,54 @@ def align(clusters: DataFrame, indicators: DataFrame, bench: DataFrame, start=No
     return rows.select(*(clean(c) if kinds[c] == "double" else F.col(c) for c in rows.columns))
 
 
+def reindexed(rows: DataFrame, bench: DataFrame) -> DataFrame:
+    """rows (ts, ...) with bench_ret of their date, 0 on dates the benchmark lacks; no row is lost."""
+    return rows.withColumn("date", F.to_date("ts")).join(bench, "date", "left").withColumn("bench_ret", F.coalesce("bench_ret", F.lit(0.0))).drop("date")
+
+
+def trade_returns(trades: DataFrame) -> DataFrame:
+    """(date, bench_ret) of a trade-level benchmark (ts, equity): the day's last equity, gaps filled forward, and its change."""
+    days = resample_daily(trades.withColumn("k", F.lit(0)), ["k"], "equity")
+    w = Window.orderBy("date")
+    return days.select("date", F.coalesce(F.try_divide("equity", F.lag("equity").over(w)) - 1, F.lit(0.0)).alias("bench_ret"))
+
+
+def benchmark_returns(times: DataFrame, monthly: DataFrame | None = None, trades: DataFrame | None = None, gap: str = "bfill", training: bool = False) -> DataFrame:
+    """(date, bench_ret) from what is there.
+
+    Training takes the trades, or else zeros, whether or not there is a monthly
+    file; testing takes the monthly file, or else zeros.
+    """
+    if training:
+        return trade_returns(trades) if trades is not None else zeros(times)
+    return asof_returns(times, monthly, gap) if monthly is not None else zeros(times)
+
+
+def mismatches(clusters: DataFrame, indicators: DataFrame, bench: DataFrame) -> DataFrame:
+    """(what, missing): dates that one of the three has and another lacks."""
+    days = {"clusters": clusters.select(F.to_date("ts").alias("date")), "indicators": indicators.select(F.to_date("ts").alias("date")), "benchmark": bench.select("date")}
+    seen = None
+    for name, rows in days.items():
+        rows = rows.distinct().select("date", F.lit(name).alias("what"))
+        seen = rows if seen is None else seen.union(rows)
+    by = seen.groupBy("date").agg(F.collect_set("what").alias("has"))
+    lacks = by.select(F.explode(F.array_except(F.array(*(F.lit(n) for n in days)), "has")).alias("what"))
+    return lacks.groupBy("what").agg(F.count("*").alias("missing"))
+
+
+def require_same_dates(clusters: DataFrame, indicators: DataFrame, bench: DataFrame) -> None:
+    """Raises where the three do not cover the same dates."""
+    found = mismatches(clusters, indicators, bench).collect()
+    if found:
+        raise ValueError("dates differ: " + ", ".join(f"{r['what']} lacks {r['missing']}" for r in sorted(found)))
+
+
+def audit(features: DataFrame, columns: list[str]) -> DataFrame:
+    """(mean): the mean of the columns' means of a wide table."""
+    means = features.agg(*(F.avg(c).alias(c) for c in columns))
+    return means.select((sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)).alias("mean"))
+
+
 def require_rows(rows: DataFrame, what: str) -> DataFrame:
     if rows.isEmpty():
         raise ValueError(f"{what} has no rows in the range")

@@ -53,7 +53,8 @@ def kmeans(points: DataFrame, k: int, rounds: int | None = None) -> DataFrame:
         rank[np.lexsort((c[:, 0], c[:, 1]))] = np.arange(k)
         return pd.DataFrame({"i": date["i"], "algo_id": date["algo_id"], "cluster": rank[own]})
 
-    return points.groupBy("i").applyInPandas(fit, "i int, algo_id long, cluster int")
+    kind = points.schema["algo_id"].dataType.simpleString()
+    return points.groupBy("i").applyInPandas(fit, f"i int, algo_id {kind}, cluster int")
 
 
 def cluster_returns(labels: DataFrame, rets: DataFrame, times: DataFrame, k: int, rebalance: int = 1) -> DataFrame:

@@ -142,3 +142,58 @@ ORACLES: dict[str, str] = {
     "q35_reward": _w(_LOG) + f" SELECT {_DAY}, round(reward, 6) AS reward FROM log",
     "q37_global_curves": _w(_WF) + f" SELECT {_DAY}, round(100 * product(1 + ret) OVER w, 4) AS strategy, round(100 * product(1 + bench_ret) OVER w, 4) AS bench FROM log WHERE split = 'test' WINDOW w AS (ORDER BY ts ROWS UNBOUNDED PRECEDING)",
 }
+
+
+def _report(names: str, width: int) -> str:
+    """Lines (n, line) of figures in kpi: a list of (name, value) structs."""
+    return f"SELECT n, format('{{:<{width}}} | {{:>10}}', k, v) AS line FROM (SELECT unnest(generate_series(0, len(l) - 1)) AS n, unnest(list_transform(l, lambda x: x.k)) AS k, unnest(list_transform(l, lambda x: x.v)) AS v FROM (SELECT [{names}] AS l FROM kpi))"
+
+
+def _figure(name: str, value: str, form: str) -> str:
+    shown = {"%": f"format('{{:.2f}}%', {value} * 100)", "#": f"format('{{:.2f}}', {value})", "d": f"format('{{}} days', {value})"}
+    return f"{{'k': '{name}', 'v': {shown[form]}}}"
+
+
+_SHORT = ", ".join(_figure(*x) for x in (("Total Return", "total_return", "%"), ("CAGR", "cagr", "%"), ("Vol", "vol", "%"), ("Max DD", "max_drawdown", "%"), ("Sharpe", "sharpe", "#"), ("Sortino", "sortino", "#"), ("Alpha", "alpha", "%"), ("Beta", "beta", "#"), ("Win Rate", "win_rate", "%")))
+_LONG = ", ".join(_figure(*x) for x in (("Period", "periods", "d"), ("Total Return", "total_return", "%"), ("CAGR", "cagr", "%"), ("Volatility", "vol", "%"), ("Max Drawdown", "max_drawdown", "%"), ("Sharpe Ratio", "sharpe", "#"), ("Sortino Ratio", "sortino", "#"), ("Calmar Ratio", "calmar", "#"), ("Alpha (Ann.)", "alpha", "%"), ("Beta", "beta", "#"), ("Win Rate", "win_rate", "%")))
+
+#: Ordinary least squares on three lagged indicators, by Cramer's rule over their covariances.
+_OLS = _PANEL + _MACRO + _SERIES + """,
+lagged AS (SELECT ts, lag(syn_mkt_ret) OVER w AS x1, lag(syn_vix) OVER w AS x2, lag(syn_breadth) OVER w AS x3 FROM macro WINDOW w AS (ORDER BY ts)),
+cov AS (SELECT cluster, avg(ret) AS y, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, covar_pop(x1, x1) AS a, covar_pop(x1, x2) AS b, covar_pop(x1, x3) AS c, covar_pop(x2, x2) AS d, covar_pop(x2, x3) AS e, covar_pop(x3, x3) AS f, covar_pop(x1, ret) AS p, covar_pop(x2, ret) AS q, covar_pop(x3, ret) AS r FROM series JOIN lagged USING (ts) WHERE x1 IS NOT NULL GROUP BY 1),
+det AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS v FROM cov),
+beta AS (SELECT cluster, y, m1, m2, m3, (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / v AS b1, (a * (q * f - e * r) - p * (b * f - e * c) + c * (b * r - q * c)) / v AS b2, (a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) / v AS b3 FROM det)"""
+
+#: The patterned network of 16 over the 30 rows before each: cells of a row, inputs, three layers.
+_NET = _PANEL + _MACRO + _SERIES + """,
+cell AS (SELECT i, 3 * cluster AS c, ret AS v FROM series UNION ALL SELECT i, 3 * cluster + 1, vol FROM series UNION ALL SELECT i, 3 * cluster + 2, mom FROM series
+  UNION ALL SELECT i, 12, syn_mkt_ret FROM macro UNION ALL SELECT i, 13, syn_vix FROM macro UNION ALL SELECT i, 14, syn_breadth FROM macro),
+inp AS (SELECT cal.i, 15 * r.r + c AS j, v FROM cal CROSS JOIN range(30) r(r) JOIN cell ON cell.i = cal.i - 30 + r.r WHERE cal.i >= 30),
+l1 AS (SELECT i, h.h, tanh(sum(v * sin(1.0 + 3.0 * j + 7.0 * h.h)) / sqrt(450.0)) AS v FROM inp CROSS JOIN range(16) h(h) GROUP BY 1, 2),
+l2 AS (SELECT i, g.g, tanh(sum(v * sin(12.0 + 3.0 * h + 7.0 * g.g)) / sqrt(16.0)) AS v FROM l1 CROSS JOIN range(16) g(g) GROUP BY 1, 2),
+l3 AS (SELECT i, o.o AS slot, least(1.0, greatest(0.0, 0.5 + sum(v * sin(23.0 + 3.0 * g + 7.0 * o.o)) / sqrt(16.0))) AS action FROM l2 CROSS JOIN range(5) o(o) GROUP BY 1, 2)"""
+
+_CW = ", ".join(f"max(CASE WHEN cluster = {c} THEN round(w, 6) END) AS C{c}_w" for c in range(K))
+
+ORACLES |= {
+    "q32_baseline_fit": _w(_OLS) + " SELECT cluster, round(y - b1 * m1 - b2 * m2 - b3 * m3, 4) AS intercept, round(b1, 4) AS b_ret, round(b2, 4) AS b_vix, round(b3, 4) AS b_breadth FROM beta",
+    "q41_universe_written": _w(_PANEL) + " SELECT i, algo_id, round(ret, 6) AS ret, active::INT AS active, year(ts)::INT AS year FROM rets WHERE ts::DATE BETWEEN DATE '1996-03-01' AND DATE '1997-06-30'",
+    "q42_macro_written": ORACLES["q07_macro"],
+    "q43_clusters_written": ORACLES["q14_cluster_wide"],
+    "q44_labels_written": _w(_PANEL) + f" SELECT i, algo_id, (algo_id % {K})::INT AS cluster FROM rets WHERE i % 10 = 0",
+    "q45_execution_csv": _w(_LOG) + f", cw AS (SELECT ts, {_CW} FROM sw GROUP BY ts) SELECT {_DAY}, round(equity, 4) AS equity, round(ret, 8) AS return, round(bench_ret, 8) AS benchmark_return, 2.0::DOUBLE AS leverage, round(cost, 8) AS cost, round(cash_weight, 6) AS cash_weight, cw.* EXCLUDE (ts) FROM log JOIN cw USING (ts)",
+    "q46_executive_report": _w(_LOG + _kpi("")) + f", body AS ({_report(_LONG, 25)}), d AS (SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS a, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS b FROM log) SELECT 0 AS n, '--- PORTFOLIO: EXECUTIVE REPORT (Test) ---' AS line UNION ALL SELECT 1, '' UNION ALL SELECT 2, 'Period: ' || a || ' -> ' || b FROM d UNION ALL SELECT 3, repeat('-', 40) UNION ALL SELECT (n + 4)::INT, line FROM body UNION ALL SELECT 15, repeat('-', 40)",
+    "q47_executive_summary": _w(_LOG + _kpi("")) + f", body AS ({_report(_SHORT, 15)}) SELECT 0 AS n, '--- REPORT: All - Out-of-Sample ---' AS line UNION ALL SELECT (n + 1)::INT, line FROM body",
+    "q48_metrics_summary": _w(_WF + _kpi("fold, split")) + " SELECT fold AS Fold, round(max(CASE WHEN split = 'train' THEN total_return END), 4) AS Train_Ret, round(max(CASE WHEN split = 'test' THEN total_return END), 4) AS Test_Ret, round(max(CASE WHEN split = 'train' THEN sharpe END), 4) AS Train_Sharpe, round(max(CASE WHEN split = 'test' THEN sharpe END), 4) AS Test_Sharpe FROM kpi GROUP BY 1",
+    "q49_prices_from_csv": _w(_PANEL) + " SELECT i, algo_id::VARCHAR AS algo_id, round(ret, 6) AS ret FROM rets",
+    "q50_labels_from_csv": _w(_PANEL + _FEAT + _kmeans()) + " SELECT i, algo_id::VARCHAR AS algo_id, cluster FROM labels",
+    "q51_data_audit": _w(_PANEL + _SERIES) + " SELECT round(avg((r + v + m) / 3), 6) AS mean FROM (SELECT cluster, avg(ret) AS r, avg(vol) AS v, avg(mom) AS m FROM series GROUP BY 1)",
+    "q52_return_density": _w(_LOG) + ", e AS (SELECT min(ret) AS lo, max(ret) AS hi, count(*) AS n, stddev_samp(ret) * pow(count(*), -0.2) AS h FROM log), g AS (SELECT p::INT AS point, lo - 3 * h + p * (hi - lo + 6 * h) / 199 AS x, n, h FROM e, range(200) t(p)) SELECT point, round(any_value(x), 8) AS x, round(sum(exp(-pow((x - ret) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 4) AS density FROM g, log GROUP BY point",
+    "q53_weight_stack": _w(_LOG) + f" SELECT {_DAY}, cluster::INT AS cluster, round(w, 6) AS weight, round(sum(w) OVER (PARTITION BY ts ORDER BY cluster), 6) AS top FROM sw",
+    "q54_benchmark_reindexed": _w(_LOG) + f" SELECT {_DAY}, CASE WHEN ts::DATE >= DATE '1997-01-01' THEN round(bench_ret, 8) ELSE 0.0 END AS bench_ret FROM log",
+    "q55_rebalance_returns": _w(_PANEL) + f", l AS (SELECT i + s.s AS i, algo_id, (algo_id % {K})::INT AS cluster FROM rets CROSS JOIN range(5) s(s) WHERE i >= 60 AND (i - 60) % 5 = 0), h AS (SELECT l.i, cluster, sum(coalesce(ret, 0.0)) / count(*) AS ret FROM l LEFT JOIN rets USING (i, algo_id) GROUP BY 1, 2) SELECT g.i::INT AS i, g.cluster::INT AS cluster, round(coalesce(ret, 0.0), 6) AS ret FROM (SELECT i, c AS cluster FROM (SELECT DISTINCT i FROM l) CROSS JOIN range({K}) t(c)) g JOIN cal USING (i) LEFT JOIN h USING (i, cluster)",
+    "q56_date_mismatches": _w(_PANEL) + " SELECT 'benchmark' AS what, count(*) AS missing FROM cal WHERE ts::DATE < DATE '1996-01-01'",
+    "q57_trades_benchmark": "WITH t AS (SELECT o_orderdate AS ts, 1e6::DOUBLE + max(o_totalprice) AS e FROM orders GROUP BY 1), d AS (SELECT ts::DATE AS date, arg_max(e, ts) AS e FROM t GROUP BY 1), s AS (SELECT unnest(generate_series((SELECT min(date) FROM d)::TIMESTAMP, (SELECT max(date) FROM d)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date), f AS (SELECT s.date, d.e FROM s ASOF JOIN d ON d.date <= s.date) SELECT date, round(coalesce(e / lag(e) OVER (ORDER BY date) - 1, 0.0), 8) AS bench_ret FROM f",
+    "q58_zero_benchmark": _w(_PANEL) + " SELECT DISTINCT ts::DATE AS date, 0.0::DOUBLE AS bench_ret FROM cal",
+    "q59_network_rollout": _w(_NET) + " SELECT i, slot::INT AS slot, round(action, 6) AS action FROM l3",
+}

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from panelflow.config import EngineConfig
 from panelflow.operators import allocate, backtest, benchmark, cluster, panel
-from panelflow.plans import policy
+from panelflow.plans import learner, policy
 from panelflow.plans.oracles import ORACLES
-from panelflow.sources import adapters
+from panelflow.sources import adapters, writers
 
 #: Clusters of the queries that take a series' id modulo K for its cluster, and of those that find clusters.
 K, FOUND, ROUNDS = 4, 4, 4
-CFG = EngineConfig(obs_window=30)
+CFG = EngineConfig()
 
 
 def _r(c, n: int = 6):
@@ -38,7 +38,7 @@ def _series(rets: DataFrame, times: DataFrame) -> DataFrame:
     sums = rets.groupBy("i", F.pmod("algo_id", F.lit(K)).cast("int").alias("cluster")).agg(F.sum("ret").alias("s"))
     grid = times.crossJoin(F.broadcast(size))
     series = grid.join(sums, ["i", "cluster"], "left").select("ts", "i", "cluster", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("ret"))
-    return cluster.cluster_features(series)
+    return cluster.cluster_features(series, CFG.feature_window)
 
 
 def _frame(series: DataFrame, bench: DataFrame, fold: str = "all") -> DataFrame:
@@ -205,14 +205,17 @@ def q27_report_lines(spark, sf_dir):
 FOLDS = [(f"F{y}", "1995-01-01", f"{y - 1}-12-31", f"{y}-01-01", f"{y}-12-31") for y in (1997, 1998, 1999)]
 
 
+def _folds(spark):
+    folds = spark.createDataFrame(FOLDS, "fold string, tr_start string, tr_end string, te_start string, te_end string")
+    return folds.select("fold", *(F.col(c).cast("date").alias(c) for c in folds.columns[1:]))
+
+
 def _folded(spark, sf_dir):
     """Each fold's log; features are those of the whole series, as folds slice ready features."""
     rets, times = _returns(spark, sf_dir)
     bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")
     acted = policy.momentum(_frame(_series(rets, times), bench)).drop("fold")
-    folds = spark.createDataFrame(FOLDS, "fold string, tr_start string, tr_end string, te_start string, te_end string")
-    cast = folds.select("fold", *(F.col(c).cast("date").alias(c) for c in folds.columns[1:]))
-    return backtest.simulate(backtest.walk_forward(acted, cast), replace(CFG, obs_window=12), ("fold", "split"))
+    return backtest.simulate(backtest.walk_forward(acted, _folds(spark)), replace(CFG, obs_window=12), ("fold", "split"))
 
 
 def q28_walkforward_folds(spark, sf_dir):
@@ -224,9 +227,8 @@ def q29_stitched_curve(spark, sf_dir):
 
 
 def q30_fold_summary(spark, sf_dir):
-    k = backtest.kpis(_folded(spark, sf_dir), CFG, ("fold", "split"))
-    p = k.groupBy("fold").pivot("split", ["train", "test"]).agg(F.first("total_return").alias("ret"), F.first("sharpe").alias("sharpe"))
-    return p.select("fold", _r("train_ret", 5).alias("train_ret"), _r("test_ret", 5).alias("test_ret"), _r("train_sharpe", 4).alias("train_sharpe"), _r("test_sharpe", 4).alias("test_sharpe"))
+    p = backtest.fold_summary(backtest.kpis(_folded(spark, sf_dir), CFG, ("fold", "split")))
+    return p.select(F.col("Fold").alias("fold"), *(_r(c, 5 if c.endswith("Ret") else 4).alias(c.lower()) for c in p.columns[1:]))
 
 
 def q31_allocate_capital(spark, sf_dir):
@@ -259,19 +261,22 @@ def q35_reward(spark, sf_dir):
     return _log(spark, sf_dir).select(F.to_date("ts").alias("d"), _r("reward").alias("reward"))
 
 
-def q36_policy_rollout(spark, sf_dir):
-    """The learned policy's log: a seeded network trained by evolution on the first half of the calendar, rolled out over all."""
-    import numpy as np
-
+def _observed(spark, sf_dir):
+    """Observations, and the simulator's rows."""
     rets, times = _returns(spark, sf_dir)
-    series, indicators = _series(rets, times), panel.macro(rets, times)
-    obs = cluster.observations(series, indicators, CFG.obs_window)
+    series = _series(rets, times)
     bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")
-    frame = _frame(series, bench)
-    rows = obs.where(F.col("i") < times.count() // 2).join(frame, "ts").orderBy("i").select("obs", "rets", "bench_ret").toPandas()
-    net = policy.Network(CFG.obs_window * (3 * K + 3), K + 1)
-    if len(rows):
-        net = policy.train(net, policy.flat(rows["obs"]), np.stack(rows["rets"].to_numpy()), rows["bench_ret"].to_numpy(), spark)
+    return cluster.observations(series, panel.macro(rets, times), CFG.obs_window), _frame(series, bench)
+
+
+def q36_policy_rollout(spark, sf_dir):
+    """The learned policy's log: trained on the first half of the calendar in a task, its weights written and read back, rolled out over all."""
+    obs, frame = _observed(spark, sf_dir)
+    half = obs.agg(F.max("i").alias("last")).select((F.col("last") / 2).alias("half"))
+    rows = obs.crossJoin(F.broadcast(half)).where(F.col("i") < F.col("half")).join(frame, "ts")
+    path = writers.shared_folder(spark, "policy")
+    learner.save(learner.train_folds(rows, CFG), path)
+    net = learner.load(spark, path, "all")
     log = backtest.simulate(frame.join(policy.roll_out(net, obs), "ts"), replace(CFG, obs_window=0))
     return log.select(F.to_date("ts").alias("d"), _r("equity", 4).alias("equity"), _r("ret", 8).alias("ret"))
 
@@ -285,12 +290,12 @@ def q37_global_curves(spark, sf_dir):
 
 def _full(spark, sf_dir):
     """Series (ts, i, cluster, ret, vol, mom) of clusters found at full size: CFG.clusters, each date until it converges."""
-    return cluster.cluster_features(cluster.cluster_returns(q38_full_kmeans_labels(spark, sf_dir), *_returns(spark, sf_dir), CFG.clusters))
+    return cluster.cluster_features(cluster.cluster_returns(q38_full_kmeans_labels(spark, sf_dir), *_returns(spark, sf_dir), CFG.clusters, CFG.rebalance), CFG.feature_window)
 
 
 def q38_full_kmeans_labels(spark, sf_dir):
     rets, times = _returns(spark, sf_dir)
-    found = cluster.window_features(panel.dense(rets, times, CFG.window), CFG.window, CFG.active_share, CFG.clusters)
+    found = cluster.window_features(panel.dense(rets, times, CFG.window), CFG.window, CFG.active_share, CFG.clusters, CFG.rebalance)
     return cluster.kmeans(cluster.scaled(found), CFG.clusters)
 
 
@@ -306,4 +311,141 @@ def q40_full_backtest_log(spark, sf_dir):
     return log.select(F.to_date("ts").alias("d"), _r("equity", 4).alias("equity"), _r("ret", 8).alias("ret"), _r("turnover").alias("turnover"), _r("cost", 8).alias("cost"), _r("cash_weight").alias("cash_weight"))
 
 
+def q41_universe_written(spark, sf_dir):
+    """Returns and activity written by year and read back between two dates."""
+    folder = writers.shared_folder(spark, "universe")
+    writers.write_universe(_returns(spark, sf_dir)[0], folder)
+    rows = writers.read_table(spark, folder, "universe", "1996-03-01", "1997-06-30")
+    return rows.select("i", "algo_id", _r("ret").alias("ret"), F.col("active").cast("int").alias("active"), F.col("year").cast("int").alias("year"))
+
+
+def q42_macro_written(spark, sf_dir):
+    folder = writers.shared_folder(spark, "macro")
+    writers.write_table(panel.macro(*_returns(spark, sf_dir)), folder, "macro")
+    m = writers.read_table(spark, folder, "macro")
+    return m.select("i", _r("syn_mkt_ret", 8).alias("syn_mkt_ret"), _r("syn_vix", 8).alias("syn_vix"), _r("syn_breadth").alias("syn_breadth"))
+
+
+def q43_clusters_written(spark, sf_dir):
+    folder = writers.shared_folder(spark, "clusters")
+    writers.write_table(_series(*_returns(spark, sf_dir)), folder, "clusters")
+    w = cluster.wide(writers.read_table(spark, folder, "clusters"), K)
+    return w.select("i", *(_r(c).alias(c) for c in w.columns if c.startswith("C")))
+
+
+def _by_id(rets: DataFrame) -> DataFrame:
+    return rets.select("ts", "i", "algo_id", F.pmod("algo_id", F.lit(K)).cast("int").alias("cluster"))
+
+
+def q44_labels_written(spark, sf_dir):
+    folder = writers.shared_folder(spark, "labels")
+    writers.write_table(_by_id(_returns(spark, sf_dir)[0]).where("i % 10 = 0"), folder, "labels")
+    return writers.read_table(spark, folder, "labels").select("i", "algo_id", "cluster")
+
+
+def q45_execution_csv(spark, sf_dir):
+    path = writers.write_execution(_log(spark, sf_dir), writers.shared_folder(spark, "log"), K, "test")
+    log = writers.read_execution(spark, path)
+    return log.select(F.to_date("date").alias("d"), _r("equity", 4).alias("equity"), _r("return", 8).alias("return"), _r("benchmark_return", 8).alias("benchmark_return"), "leverage", _r("cost", 8).alias("cost"), _r("cash_weight").alias("cash_weight"), *(_r(f"C{c}_w").alias(f"C{c}_w") for c in range(K)))
+
+
+def q46_executive_report(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return writers.read_lines(spark, writers.write_report(log, backtest.kpis(log, CFG), writers.shared_folder(spark, "report")))
+
+
+def q47_executive_summary(spark, sf_dir):
+    figures = backtest.kpis(_log(spark, sf_dir), CFG)
+    return writers.read_lines(spark, writers.write_summary(figures, writers.shared_folder(spark, "summary"), "All - Out-of-Sample"))
+
+
+def q48_metrics_summary(spark, sf_dir):
+    figures = backtest.kpis(_folded(spark, sf_dir), CFG, ("fold", "split"))
+    rows = writers.read_fold_summary(spark, writers.write_fold_summary(figures, writers.shared_folder(spark, "folds")))
+    return rows.select("Fold", *(_r(c, 4).alias(c) for c in rows.columns[1:]))
+
+
+def _from_files(spark, sf_dir):
+    """The panel written as a CSV a series and read back, ids as strings."""
+    folder = f"{writers.shared_folder(spark, 'prices')}/raw"
+    writers.write_prices(_panel(spark, sf_dir), folder)
+    rows = panel.dedupe_first(adapters.read_prices(spark, folder), ["algo_id", "ts"], "seq").drop("seq")
+    times = panel.calendar(rows)
+    return panel.returns(rows, times), times
+
+
+def q49_prices_from_csv(spark, sf_dir):
+    return _from_files(spark, sf_dir)[0].select("i", "algo_id", _r("ret").alias("ret"))
+
+
+def q50_labels_from_csv(spark, sf_dir):
+    rets, times = _from_files(spark, sf_dir)
+    found = cluster.window_features(panel.dense(rets, times, CFG.window), CFG.window, CFG.active_share, FOUND)
+    return cluster.kmeans(cluster.scaled(found), FOUND, ROUNDS)
+
+
+def q51_data_audit(spark, sf_dir):
+    w = cluster.wide(_series(*_returns(spark, sf_dir)), K)
+    return benchmark.audit(w, [c for c in w.columns if c.startswith("C")]).select(_r("mean").alias("mean"))
+
+
+def q52_return_density(spark, sf_dir):
+    d = backtest.density(_log(spark, sf_dir))
+    return d.select("point", _r("x", 8).alias("x"), _r("density", 4).alias("density"))
+
+
+def q53_weight_stack(spark, sf_dir):
+    w = backtest.weight_stack(_log(spark, sf_dir))
+    return w.select(F.to_date("ts").alias("d"), "cluster", _r("weight").alias("weight"), _r("top").alias("top"))
+
+
+def q54_benchmark_reindexed(spark, sf_dir):
+    """The log's dates with a benchmark that starts after them: 0 before it does."""
+    times = _returns(spark, sf_dir)[1]
+    late = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill").where("date >= '1997-01-01'")
+    return benchmark.reindexed(_log(spark, sf_dir).select("ts"), late).select(F.to_date("ts").alias("d"), _r("bench_ret", 8).alias("bench_ret"))
+
+
+def q55_rebalance_returns(spark, sf_dir):
+    """Labels made every fifth row hold for five rows."""
+    rets, times = _returns(spark, sf_dir)
+    labels = _by_id(rets).where(f"i >= {CFG.window} and (i - {CFG.window}) % 5 = 0").drop("ts")
+    return cluster.cluster_returns(labels, rets, times, K, 5).select("i", "cluster", _r("ret").alias("ret"))
+
+
+def q56_date_mismatches(spark, sf_dir):
+    rets, times = _returns(spark, sf_dir)
+    bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill").where("date >= '1996-01-01'")
+    return benchmark.mismatches(_series(rets, times), panel.macro(rets, times), bench)
+
+
+def q57_trades_benchmark(spark, sf_dir):
+    """Training's benchmark from trade-level rows."""
+    trades = adapters.table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").alias("ts")).agg((F.lit(1e6) + F.max("o_totalprice")).alias("equity"))
+    times = _returns(spark, sf_dir)[1]
+    return benchmark.benchmark_returns(times, trades=trades, training=True).select("date", _r("bench_ret", 8).alias("bench_ret"))
+
+
+def q58_zero_benchmark(spark, sf_dir):
+    """No benchmark file is there: zeros."""
+    monthly, trades = adapters.read_benchmark(spark, f"{sf_dir}/no_monthly.csv", f"{sf_dir}/no_trades.csv")
+    return benchmark.benchmark_returns(_returns(spark, sf_dir)[1], monthly, trades)
+
+
+def q59_network_rollout(spark, sf_dir):
+    """A fixed network over the whole observation window."""
+    obs, _ = _observed(spark, sf_dir)
+    net = policy.Network.patterned(CFG.obs_window * (3 * K + 3), K + 1, 16)
+    acted = policy.roll_out(net, obs).join(obs.select("ts", "i"), "ts")
+    return acted.select("i", F.posexplode("action").alias("slot", "action")).select("i", "slot", _r("action").alias("action"))
+
+
+def q60_full_walk_forward(spark, sf_dir):
+    """Folds at full size: found clusters, window and rounds of the configuration."""
+    bench = benchmark.asof_returns(_returns(spark, sf_dir)[1], adapters.order_months(spark, sf_dir), "bfill")
+    acted = policy.momentum(_frame(_full(spark, sf_dir), bench)).drop("fold")
+    figures = backtest.kpis(backtest.simulate(backtest.walk_forward(acted, _folds(spark)), CFG, ("fold", "split")), CFG, ("fold", "split"))
+    return backtest.fold_summary(figures).select("Fold", *(_r(c, 4).alias(c) for c in ("Train_Ret", "Test_Ret", "Train_Sharpe", "Test_Sharpe")))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

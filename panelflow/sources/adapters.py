@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 PRICE_SCHEMA = "datetime string, close double"
 MONTHLY_SCHEMA = "month string, start_equity double, end_equity double, monthly_return double"
 #: Formats of trade times, tried in order.
-TIME_FORMATS = ("yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm[XXX]", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +44,12 @@ def read_prices(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(broken.where("not broken").select("algo_id"), "algo_id", "left_semi").select("algo_id", "ts", "close", "seq")
 
 
-def read_benchmark(spark: SparkSession, monthly: str | None, trades: str | None = None) -> DataFrame | None:
-    """The monthly file if it is there, else None, which alignment takes as a benchmark of zeros."""
+def read_benchmark(spark: SparkSession, monthly: str | None, trades: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """The monthly file and the trades (ts, equity), each None where its path is none or no file is there; alignment picks."""
+    found = None
     if monthly and exists(spark, monthly):
-        return spark.read.option("header", True).schema(MONTHLY_SCHEMA).csv(monthly)
-    return None
+        found = spark.read.option("header", True).schema(MONTHLY_SCHEMA).csv(monthly)
+    return found, read_trades(spark, trades) if trades and exists(spark, trades) else None
 
 
 def read_trades(spark: SparkSession, path: str) -> DataFrame:
