@@ -224,10 +224,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = tmp.save(rows.groupBy("h").agg(F.min("id").alias("c"), F.max("id").alias("last")).where("c < last").select("h", "c"))
     rows = tmp.save(rows.join(centres, "h"))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return tmp.save(base.join(ids.distinct().hint("merge"), "id", "left_semi"))
+
+    def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs (u, v) that are links, judged on words."""
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        texts = tmp.save(base.join(ids.hint("merge"), "id", "left_semi"))
         a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "uv")
         found = tmp.save(pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv").mapInArrow(_judge, "u long, v long"))
         tmp.drop(texts)
@@ -235,7 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     shared = rows.where("id <> c").groupBy("id", "c").count()
     best = shared.groupBy("id").agg(F.max_by("c", F.struct("count", -F.col("c"))).alias("c"))
-    links = confirm(tmp.save(best.select(F.col("id").alias("u"), F.col("c").alias("v"))))
+    pairs = tmp.save(best.select(F.col("id").alias("u"), F.col("c").alias("v")))
+    links = confirm(pairs, texts_of(pairs.select(F.explode(F.array("u", "v")).alias("id"))))
     # texts of one id are one document
     twice = members.groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("v < w").select("id", "v")
     links = tmp.save(links.union(members.join(twice, "id").select(F.col("rep").alias("u"), "v").where("u <> v")))
@@ -253,13 +255,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # only rows with a likely partner carry their set; the join itself judges the pairs, so that none but links are made
     likely = tmp.save(x.join(y, near, "left_semi").union(y.join(x, near, "left_semi")).distinct())
     if not likely.isEmpty():
-        sets = base.join(likely.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(_sets, "id long, names array<long>")
-        whole = tmp.save(likely.join(sets, "id"))
+        texts = texts_of(likely.select("id"))
+        whole = tmp.save(likely.join(texts.mapInArrow(_sets, "id long, names array<long>"), "id"))
         x, y = whole.where("k <> largest").alias("x"), whole.alias("y")
         both = F.size(F.array_intersect("x.names", "y.names"))
         named = DEN * both >= NUM * (F.size("x.names") + F.size("y.names") - both)
         more = tmp.save(x.join(y, near & named).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct())
-        links = tmp.save(links.union(confirm(more)))
+        links = tmp.save(links.union(confirm(more, texts)))
         tmp.drop(whole)
         classes = connected_components(links, tmp)
     group = members.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component_id", "rep").alias("g"))
