@@ -111,9 +111,12 @@ def solve(a: list[list[float]], b: list[float]) -> list[float]:
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[Column, list[dict]]:
     """Projected gradient descent on 1/2 * sum over domains of (expected tokens - target) ** 2 over rates >= 0, from rates of 1.
 
-    A document's gradient is its posterior times the residuals, so its rate is a
-    fold over the residuals of all rounds: a round is one aggregate of a few
-    sums, scaled by the curvature over documents whose rate is positive.
+    Distances between rates are weighted by the documents' tokens, so that a
+    document's gradient is its posterior times the residuals, and its rate is a
+    fold over the residuals of all rounds.  A round is one distributed aggregate
+    of a few sums.  Residuals are scaled by the curvature over documents whose
+    rate is positive, a small matrix of domain pairs: one step size for all
+    would take some hundred rounds where domains differ a hundredfold in size.
     Returns the rate as a column of `p`, and the domains' totals.
     """
     k = len(domains)
@@ -177,7 +180,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with each row repeated `copies` times, none where that is 0; columns as they were."""
-    decided = mix(docs, labels, targets, text_col, id_col).select(F.col(id_col).alias("_id"), F.col("copies").alias("_copies"))
-    joined = docs.join(decided.where("_copies > 0"), docs[id_col].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """docs with each row repeated `copies` times, none where that is 0; columns as they were, whatever their names."""
+    spare = next(f"_mix{'_' * i}" for i in range(1000) if not any(c.startswith(f"_mix{'_' * i}") for c in docs.columns))
+    decided = mix(docs, labels, targets, text_col, id_col).where("copies > 0").select(F.col(id_col).alias(f"{spare}i"), F.col("copies").alias(f"{spare}n"))
+    joined = docs.join(decided, docs[id_col].eqNullSafe(decided[f"{spare}i"]))
+    return joined.withColumn(f"{spare}k", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{spare}n")))).select(*docs.columns)

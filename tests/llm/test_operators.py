@@ -330,7 +330,9 @@ def test_mixing_meets_targets(spark):
     mass = {d: sum(r.n_tokens * r.rate * r.p[i] for r in rows.itertuples()) for i, d in enumerate(["q1t0", "q1t1"])}
     assert mass["q1t1"] / mass["q1t0"] == pytest.approx(1 / 9, rel=0.02) and (rows.rate >= 0).all()
     assert (mixing.mix(docs, labels.limit(0)).toPandas().rate == 1).all()
-    assert mixing.apply_mix(docs, labels).columns == docs.columns
+    clash = docs.withColumns({"_mixi": F.lit(1), "_mixn": F.lit(2), "_id": F.lit(3), "copies": F.lit(9)})
+    mixed = mixing.apply_mix(clash, labels)
+    assert mixed.columns == clash.columns and mixed.select("_mixn", "copies").distinct().collect() == [(2, 9)]
 
 
 def test_copies_meet_targets_below_half_a_rate(spark):
