@@ -11,8 +11,8 @@ from panelflow.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality.score_quality(docs).where("kept").select(*docs.columns)
+    """Documents that the rules reject go; rows are written with their counts, so that texts are measured once."""
+    return quality.score_quality(docs, only=docs.columns).where("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
