@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,19 @@ class Scratch:
             fs.delete(at, True)
 
 
+def by_size(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list, list]]:
+    """Ids and texts, the first two columns, of runs of a batch's rows that end once they hold `most` bytes.
+
+    Only a run's rows become Python objects, however many rows Arrow put in the batch.
+    """
+    sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = min(len(sizes), int(np.searchsorted(ends, most + (ends[a - 1] if a else 0))) + 1)
+        yield batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
+        a = b
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, whichever task asks for it."""
     name = "_panelflow_worker_cache"

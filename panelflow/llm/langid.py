@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.common import worker_cache
-from panelflow.llm.tokens import by_size
+from panelflow.llm.common import by_size, worker_cache
 
 ORDER, SCALE = 4, 1024
 #: Bound of the labelled sample: about this many documents and bytes a language, chosen by a hash of the id.
@@ -53,12 +52,11 @@ def suffix(keys: np.ndarray, order: int) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs = np.array(batch.column(0).to_pylist())
-        texts = batch.column(1).to_pylist()
-        for lang in sorted(set(langs.tolist())):
-            keys, _ = contexts([texts[i] for i in np.flatnonzero(langs == lang)])
-            key, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key), pa.array(n)], names=["lang", "key", "n"])
+        for langs, texts in by_size(batch, CHUNK_BYTES):
+            for lang in sorted(set(langs)):
+                keys, _ = contexts([t for t, own in zip(texts, langs) if own == lang])
+                key, n = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key), pa.array(n)], names=["lang", "key", "n"])
 
 
 class CodeLengths:
@@ -138,7 +136,7 @@ def identify(docs: DataFrame, names: list[str], model: pa.Table, text_col: str =
                 del held[old]
             held[key] = CodeLengths(langs, keys, counts, len(names))
         for batch in batches:
-            for ids, texts in by_size(batch.column(0).to_pylist(), batch.column(1).to_pylist(), CHUNK_BYTES):
+            for ids, texts in by_size(batch, CHUNK_BYTES):
                 yield _score(ids, texts, names, held.get(key))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).cast("binary").alias("text"))

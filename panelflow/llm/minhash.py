@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.common import Scratch, connected_components, mix64, worker_cache
+from panelflow.llm.common import Scratch, by_size, connected_components, mix64, worker_cache
 
 WORDS, NUM, DEN = 5, 75, 100
 #: 40 bands of 5: two sets of similarity 0.75 share no band with probability 2e-5.
@@ -31,7 +31,7 @@ SKETCH = [f"s{i}" for i in range(LONGS)]
 #: Shingles whose ranks are drawn at a time.
 PIECE = 100_000
 #: Distinct words whose hashes a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 SEED = 0x5DEECE66D
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,22 +124,13 @@ def superminhash(h: np.ndarray, sizes: np.ndarray, slots: int = SLOTS) -> np.nda
     return sig
 
 
-def _chunks(ids: list, texts: list) -> Iterator[tuple[list, list]]:
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= CHUNK_BYTES or i + 1 == len(texts):
-            yield ids[a : i + 1], texts[a : i + 1]
-            a, size = i + 1, 0
-
-
 SIGNED = "id long, n long, k0 long, k1 long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """k0 and k1 are a 128-bit digest of the word sequence."""
     for batch in batches:
-        for ids, texts in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for ids, texts in by_size(batch, CHUNK_BYTES):
             words = [words_of(t) for t in texts]
             h, sizes = shingle_sets(words)
             sig = superminhash(h, sizes)
@@ -163,7 +154,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, texts in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for ids, texts in by_size(batch, CHUNK_BYTES):
             h, sizes = shingle_sets([words_of(t) for t in texts])
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             names = pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))

@@ -11,8 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.common import Scratch
-from panelflow.llm.tokens import by_size, encoder
+from panelflow.llm.common import Scratch, by_size
+from panelflow.llm.tokens import CHUNK_BYTES, encoder
 
 LIMIT = 1024
 #: Bins open at once in a task, and the pieces that a task packs.
@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, vocabulary: str, keep_space: bool = True, limit: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = encoder(vocabulary, keep_space)
         for batch in batches:
-            for ids, texts in by_size(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in by_size(batch, CHUNK_BYTES):
                 flat, counts = encoded(texts)
                 raw, at, rows = memoryview(flat.astype("<u4").tobytes()), 0, []
                 for doc, n in zip(ids, counts.tolist()):

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.common import Scratch, mix64
-from panelflow.llm.tokens import by_size
+from panelflow.llm.common import Scratch, by_size, mix64
 
 LENGTH, LETTERS = 400, 50
 SPAN = LENGTH - LETTERS + 1
@@ -97,9 +96,9 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return owner, place - begin, lo - begin, hi - begin, found[place].view(np.int64), context[:, 0], context[:, 1]
 
 
-def _segments(ids: list, texts: list) -> Iterator[tuple[list, list, list]]:
+def _segments(batch: pa.RecordBatch) -> Iterator[tuple[list, list, list]]:
     """Ids, offsets and bytes; a very long text comes in overlapping parts that share no start of a string."""
-    for own, part in by_size(ids, texts, SEGMENT):
+    for own, part in by_size(batch, SEGMENT):
         cut = [(i, a, t[a : a + SEGMENT + LENGTH - 1]) for i, t in zip(own, part) if t for a in range(0, max(1, len(t) - LENGTH + 1), SEGMENT)]
         while cut:
             take, size = 0, 0
@@ -115,7 +114,7 @@ FOUND = "g long, c0 long, c1 long, id long, lo long, hi long, at long"
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, offsets, texts in _segments(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for ids, offsets, texts in _segments(batch):
             owner, place, lo, hi, gram, c0, c1 = anchors(texts)
             at = np.array(offsets, np.int64)[owner]
             columns = (gram, c0, c1, np.array(ids, np.int64)[owner], lo + at, hi + at, place + at)
@@ -235,7 +234,8 @@ def _arrow(schema: str) -> pa.Schema:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = _arrow(SHIPPED + ", many long")
     for batch in batches:
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for i in range(batch.num_rows):
+            text, wanted = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
             rows = [{"k0": w["g"], "k1": 0, "l1": 0, "l2": SPAN - 1, **w, "bytes": text[w["lo"] : w["hi"] + LENGTH]} for w in wanted]
             yield pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in rows], schema=schema)
 
@@ -265,7 +265,8 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for i, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for row in range(batch.num_rows):
+            i, text, spans = (batch.column(k)[row].as_py() for k in range(3))
             text, kept, runs, at = text or b"", [], [], 0
             for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
                 if runs and a <= runs[-1][1]:

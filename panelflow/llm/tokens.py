@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.llm.common import Scratch, worker_cache
+from panelflow.llm.common import Scratch, by_size, worker_cache
 
 END_ID = 2
 CHUNK_BYTES = 1_000_000
@@ -168,15 +168,6 @@ def encoder(path: str, keep_space: bool) -> Encoder:
     return held["encoder", path]
 
 
-def by_size(ids: list, texts: list, most: int = CHUNK_BYTES) -> Iterator[tuple[list, list]]:
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= most or i + 1 == len(texts):
-            yield ids[a : i + 1], texts[a : i + 1]
-            a, size = i + 1, 0
-
-
 #: Simple-8b selectors 1 to 15 as (ids in a word, bits of each); selector 0 is an escape.
 SELECTORS = ((120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 
@@ -270,7 +261,7 @@ def write_blocks(docs: DataFrame, path: str, vocabulary: str, keep_space: bool =
         part, block, start = TaskContext.get().partitionId(), 0, 0
         encoded = encoder(vocabulary, keep_space)
         for batch in batches:
-            for ids, texts in by_size(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in by_size(batch, CHUNK_BYTES):
                 flat, counts = encoded(texts)
                 ends = np.cumsum(counts)
                 a = done = 0
