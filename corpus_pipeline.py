@@ -44,7 +44,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL expresses neither the fits nor the packing; tests hold the stages against brute force.
+#: SQL expresses neither the fits nor the packing; tests/llm/test_queries.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
