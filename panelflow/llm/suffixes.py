@@ -34,15 +34,15 @@ BLOCK_BYTES, MOST_CONTEXTS = 1_000_000, 2_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(flat: np.ndarray) -> np.ndarray:
-    """Fingerprints of the LETTERS bytes at every place from which so many can be read, joined of ever longer parts."""
+def grams(flat: np.ndarray, letters: int = LETTERS) -> np.ndarray:
+    """Fingerprints of the `letters` bytes at every place from which so many can be read, joined of ever longer parts."""
     padded = np.concatenate([flat, np.zeros(8, np.uint8)]).astype(np.uint64)
     h, size = np.zeros(len(flat), np.uint64), 8
     for j in range(8):
         h |= padded[j : j + len(flat)] << np.uint64(8 * j)
     h = mix64(h)[: len(flat) - 7]
-    while size < LETTERS:
-        shift = min(size, LETTERS - size)
+    while size < letters:
+        shift = min(size, letters - size)
         h = mix64(h[: len(h) - shift] * STEP + h[shift:])
         size += shift
     return h
@@ -187,20 +187,33 @@ def repeated_strings(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _strings(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Of rows (.., lo, hi, bytes): all bytes, the row of every string, its place among the row's, and its start among all bytes."""
+    text = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+    many = np.array([r[5] - r[4] + 1 for r in rows], np.int64)
+    begin = np.cumsum(many + LENGTH - 1) - many - LENGTH + 1
+    within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    return text, np.repeat(np.arange(len(rows)), many), within, np.repeat(begin, many) + within
+
+
+def likely(rows: list[tuple]) -> list[tuple]:
+    """The rows of which some string has the fingerprints of another's both ends: no other can hold an equal one."""
+    text, owner, _, starts = _strings(rows)
+    ends = grams(text, EDGE)
+    return [rows[i] for i in np.unique(owner[_twice(mix64(ends[starts] * STEP + ends[starts + LENGTH - EDGE]))])]
+
+
 def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (k0, k1, n, id, lo, hi, bytes) sorted by bucket to spans (id, a, b) of strings found twice; whole buckets, a block at a time."""
     held: list[tuple] = []
     size = 0
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
-        text = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
-        ids, lo, hi = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5))
-        many = hi - lo + 1
-        begin = np.cumsum(many + LENGTH - 1) - many - LENGTH + 1
-        within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        hit = repeated_strings(text, np.repeat(begin, many) + within)
-        hit &= np.repeat(np.array([r[2] == 1 for r in rows]), many)
-        owner = np.repeat(np.arange(len(rows)), many)
+        rows = likely(rows)
+        text, owner, within, starts = _strings(rows)
+        ids, lo = (np.array([r[c] for r in rows], np.int64) for c in (3, 4))
+        hit = repeated_strings(text, starts) if rows else np.zeros(0, bool)
+        hit &= np.array([r[2] == 1 for r in rows], bool)[owner]
         at = np.flatnonzero(hit)
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])
