@@ -1,0 +1,162 @@
+"""Passages of words that several documents hold: windows of WORDS words, found by anchors as strings of bytes are."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelflow.llm.common import Scratch, by_size, mix64
+
+#: A passage of more than 50 words, and the words of the anchor inside it.
+WORDS, ANCHOR = 51, 8
+SPAN = WORDS - ANCHOR + 1
+SEGMENT = 2_000_000
+STEP = np.uint64(0x9E3779B97F4A7C15)
+SEEDS = (0, 0xD6E8FEB86659FD93)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def words(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word of some bytes: 64 bits of hash over its letters and their places in it, where it starts and ends."""
+    gap = _IS_SPACE[flat]
+    edges = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+    first, past = edges[::2], edges[1::2]
+    if not len(first):
+        return np.empty(0, np.uint64), first, past
+    size = past - first
+    begin = np.cumsum(size) - size
+    within = (np.arange(begin[-1] + size[-1]) - np.repeat(begin, size)).astype(np.uint64)
+    letters = mix64((within << np.uint64(8) | flat[~gap]) * STEP + np.uint64(SEEDS[1]))
+    return mix64(np.add.reduceat(letters, begin) + size.astype(np.uint64) * STEP), first, past
+
+
+def runs(names: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Fingerprints of `size` words at every place from which so many can be read, joined of ever longer parts."""
+    h, n = names ^ np.uint64(seed), 1
+    while n < size:
+        shift = min(n, size - n)
+        h = mix64(h[: max(0, len(h) - shift)] * STEP + h[shift:])
+        n += shift
+    return h
+
+
+def _parts(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of a text's parts; parts of a very long one hold whole words and share WORDS - 1 of them."""
+    a, least = 0, SEGMENT
+    while len(text) - a > least:
+        end = _SPACE.search(text, a + least)
+        if not end:
+            break
+        part = text[a : end.start()]
+        _, first, _ = words(np.frombuffer(part, np.uint8))
+        if len(first) < WORDS:
+            least *= 2
+            continue
+        yield a, part
+        a, least = a + int(first[1 - WORDS]), SEGMENT
+    yield a, text[a:]
+
+
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Text index, the anchor's fingerprint, bytes [lo, hi) of all windows it serves, their number, and two halves of a digest of those bytes."""
+    whole = b" ".join(texts)
+    names, first, past = words(np.frombuffer(whole, np.uint8))
+    m = len(names) - WORDS + 1
+    if m < 1:
+        return tuple(np.empty(0, np.int64) for _ in range(7))
+    size = np.array([len(t) + 1 for t in texts], np.int64)
+    end = np.cumsum(size)
+    owner = np.searchsorted(end, first, "right")
+    found = runs(names, ANCHOR)
+    low = np.uint64((1 << 24) - 1)
+    full = -(-len(found) // SPAN) * SPAN
+    packed = np.full(full, np.uint64(2**64 - 1))
+    packed[: len(found)] = (found & ~low) | np.arange(len(found), dtype=np.uint64)
+    rows = packed.reshape(-1, SPAN)
+    ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    place = (np.minimum(behind[:m], ahead[SPAN - 1 : SPAN - 1 + m]) & low).astype(np.int64)
+    starts = np.flatnonzero(owner[:m] == owner[WORDS - 1 :])
+    place, owner = place[starts], owner[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(starts))[: len(at)] - 1
+    lo, hi, own = first[starts[at]], past[starts[last] + WORDS - 1], owner[at]
+    view, blake = memoryview(whole), hashlib.blake2b
+    names = b"".join(blake(view[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist()))
+    c = np.frombuffer(names, np.int64).reshape(-1, 2)
+    begin = (end - size)[own]
+    return own, found[place[at]].view(np.int64), lo - begin, hi - begin, last - at + 1, c[:, 0], c[:, 1]
+
+
+FOUND = "g long, c0 long, c1 long, id long, lo long, hi long, n long"
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for own, texts in by_size(batch, SEGMENT):
+            held, size = [], 0
+            for i, a, part in ((i, a, p) for i, t in zip(own, texts) for a, p in _parts(t)):
+                if held and size + len(part) > SEGMENT:
+                    yield _found(held)
+                    held, size = [], 0
+                held.append((i, a, part))
+                size += len(part)
+            yield _found(held)
+
+
+def _found(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    owner, g, lo, hi, n, c0, c1 = anchors([h[2] for h in held])
+    ids, at = (np.array([h[k] for h in held], np.int64)[owner] for k in (0, 1))
+    columns = (g, c0, c1, ids, lo + at, hi + at, n)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["g", "c0", "c1", "id", "lo", "hi", "n"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of 128 bits of every window of the wanted stretches of texts."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            text, wanted = (batch.column(k)[row].as_py() for k in range(2))
+            named = [words(np.frombuffer(text[w["lo"] : w["hi"]], np.uint8))[0] for w in wanted]
+            for a in range(0, len(wanted), 4096):
+                part, own = named[a : a + 4096], wanted[a : a + 4096]
+                many = [len(x) - WORDS + 1 for x in part]
+                columns = [np.concatenate([runs(x, WORDS, s) for x in part]).view(np.int64) for s in SEEDS]
+                columns += [np.repeat(np.array([w[k] for w in own], np.int64), many) for k in ("u", "v", "copies")]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w0", "w1", "u", "v", "copies"])
+
+
+def shared_passages(rows: DataFrame) -> DataFrame:
+    """(id, n_shared) of rows (id long, text binary): at how many words a passage of WORDS words starts that another row holds too.
+
+    Words are what white space parts, byte for byte; rows without a shared
+    passage are left out.  An anchor, the ANCHOR words inside a window whose
+    fingerprint is least, is the same in equal windows.  Stretches of one
+    anchor that are equal by a 128-bit digest are settled as a whole; of the
+    rest, only windows of anchors that several rows hold are compared one by
+    one, by 128 bits of fingerprint.  Groups are only counted, with partial
+    sums before every shuffle, so none needs to fit a task.
+    """
+    tmp = Scratch(rows.sparkSession, "passages")
+    rows = rows.select("id", "text").where(f"octet_length(text) >= {2 * WORDS - 1}")
+    found = tmp.save(rows.mapInArrow(_anchor_rows, FOUND))
+    own = ["g", "c0", "c1"]
+    seen = (F.min("id").alias("u"), F.max("id").alias("v"), F.count("*").alias("copies"))
+    classes = tmp.save(found.groupBy(*own).agg(*seen, F.min(F.struct("id", "lo", "hi")).alias("one")))
+    # small sides of joins are written first, so that adaptive execution can split the large ones
+    whole = tmp.save(classes.where("u <> v").select(*own))
+    counted = found.join(whole, own).groupBy("id").agg(F.sum("n").alias("n"))
+    again = tmp.save(classes.groupBy("g").agg(F.min("u").alias("lo"), F.max("v").alias("hi"), F.min(F.col("v") - F.col("u")).alias("rest")).where("lo <> hi and rest = 0").select("g"))
+    by_text = classes.join(again, "g").groupBy("one.id").agg(F.collect_list(F.struct("one.lo", "one.hi", "u", "v", "copies")).alias("wanted"))
+    windows = tmp.save(rows.join(by_text, "id").select("text", "wanted").mapInArrow(_windows, "w0 long, w1 long, u long, v long, copies long"))
+    both = tmp.save(windows.groupBy("w0", "w1").agg(F.min("u").alias("u"), F.max("v").alias("v")).where("u <> v").select("w0", "w1"))
+    more = windows.where("u = v").join(both, ["w0", "w1"]).groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("n"))
+    return counted.union(more).groupBy("id").agg(F.sum("n").alias("n_shared"))

@@ -33,7 +33,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"), "n_shared")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

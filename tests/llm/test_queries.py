@@ -37,7 +37,7 @@ def _planted(texts):
         None, "", " \n\t", "one two", "ONE  two", "12 34 !", "a\nb\na", prose[0], prose[0], " ".join(near), prose[2] + " " + passage, passage + prose[3],
         'x\x01é "Password": "abc123" secret=token :abcdef api_key=zz', "AKIA" + "A" * 16 + " AKIA short " + "0" * 24 + "g" + "a" * 23,
         f"{prose[4]} the key is {_key(1)} and {_key(2)} end", "end <|endoftext|> next", prose[5] + "\nReleased under the MIT License.\n",
-        "junk### " * 80, "same words here " * 50, prose[6] + " vile", "abé" * 900, " ".join(r.choices(words, k=30_000)),
+        "junk### " * 80, "same words here " * 50, prose[6] + " vile", " ".join([*"short passage of small words".split(), *prose[7].split()[:51]]), "other " + "\n".join(prose[7].split()[:51]), "abé" * 900, " ".join(r.choices(words, k=30_000)),
     ]
 
 
@@ -146,7 +146,12 @@ def test_op3(spark, sf, texts):
 def test_op4(spark, sf, texts):
     raw = {i: (t or "").encode() for i, t in texts.items()}
     seen = Counter(hash(b[i : i + 400]) for b in raw.values() for i in range(len(b) - 399))
-    for i, r in _rows(spark, sf, "op4_suffixes").items():
+    passages = {i: [hash(tuple(w[k : k + 51])) for k in range(len(w) - 50)] for i, w in ((i, WORDS.findall(b)) for i, b in raw.items())}
+    held = Counter(p for own in passages.values() for p in set(own))
+    got = _rows(spark, sf, "op4_suffixes")
+    assert {i: r.n_shared for i, r in got.items()} == {i: sum(held[p] > 1 for p in own) for i, own in passages.items()}
+    assert any(r.n_shared and not r.n_removed for r in got.values())
+    for i, r in got.items():
         b, edge = raw[i], np.zeros(len(raw[i]) + 1, int)
         for k in range(len(b) - 399):
             if seen[hash(b[k : k + 400])] > 1:
