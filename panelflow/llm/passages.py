@@ -121,17 +121,39 @@ def _found(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of 128 bits of every window of the wanted stretches of texts."""
+    """Fingerprints of 128 bits of every window of the wanted stretches of texts, which come in order; those that overlap are read once."""
     for batch in batches:
+        ends, fields = batch.column(1).offsets.to_numpy(), batch.column(1).flatten()
+        lo, hi, *own = (fields.field(k).to_numpy() for k in ("lo", "hi", "n", "u", "v", "copies"))
+        ends = ends - ends[0]
+
+        def made(pieces: list[bytes], at: list[int], a: int) -> pa.RecordBatch:
+            names, first, _ = words(np.frombuffer(b" ".join(pieces), np.uint8))
+            n, u, v, copies = (x[a : a + len(at)] for x in own)
+            index = np.repeat(np.searchsorted(first, at) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            columns = [runs(names, WORDS, s).view(np.int64)[index] for s in SEEDS] + [np.repeat(x, n) for x in (u, v, copies)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w0", "w1", "u", "v", "copies"])
+
+        pieces, at, size, done = [], [], 0, 0
         for row in range(batch.num_rows):
-            text, wanted = (batch.column(k)[row].as_py() for k in range(2))
-            named = [words(np.frombuffer(text[w["lo"] : w["hi"]], np.uint8))[0] for w in wanted]
-            for a in range(0, len(wanted), 4096):
-                part, own = named[a : a + 4096], wanted[a : a + 4096]
-                many = [len(x) - WORDS + 1 for x in part]
-                columns = [np.concatenate([runs(x, WORDS, s) for x in part]).view(np.int64) for s in SEEDS]
-                columns += [np.repeat(np.array([w[k] for w in own], np.int64), many) for k in ("u", "v", "copies")]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w0", "w1", "u", "v", "copies"])
+            text, start, end = batch.column(0)[row].as_py(), 0, -1
+            for k in range(ends[row], ends[row + 1]):
+                a, b = int(lo[k]), int(hi[k])
+                if a > end or end - start > SEGMENT:
+                    if end >= 0:
+                        pieces.append(text[start:end])
+                        size += end - start + 1
+                    if size > SEGMENT:
+                        yield made(pieces, at, done)
+                        pieces, at, size, done = [], [], 0, k
+                    start = a
+                at.append(size + a - start)
+                end = max(end, b) if start < a else b
+            if end >= 0:
+                pieces.append(text[start:end])
+                size += end - start + 1
+        if at:
+            yield made(pieces, at, done)
 
 
 def shared_passages(rows: DataFrame) -> DataFrame:
@@ -150,12 +172,12 @@ def shared_passages(rows: DataFrame) -> DataFrame:
     found = tmp.save(rows.mapInArrow(_anchor_rows, FOUND))
     own = ["g", "c0", "c1"]
     seen = (F.min("id").alias("u"), F.max("id").alias("v"), F.count("*").alias("copies"))
-    classes = tmp.save(found.groupBy(*own).agg(*seen, F.min(F.struct("id", "lo", "hi")).alias("one")))
+    classes = tmp.save(found.groupBy(*own).agg(*seen, F.min(F.struct("id", "lo", "hi", "n")).alias("one")))
     # small sides of joins are written first, so that adaptive execution can split the large ones
     whole = tmp.save(classes.where("u <> v").select(*own))
     counted = found.join(whole, own).groupBy("id").agg(F.sum("n").alias("n"))
     again = tmp.save(classes.groupBy("g").agg(F.min("u").alias("lo"), F.max("v").alias("hi"), F.min(F.col("v") - F.col("u")).alias("rest")).where("lo <> hi and rest = 0").select("g"))
-    by_text = classes.join(again, "g").groupBy("one.id").agg(F.collect_list(F.struct("one.lo", "one.hi", "u", "v", "copies")).alias("wanted"))
+    by_text = classes.join(again, "g").groupBy("one.id").agg(F.sort_array(F.collect_list(F.struct("one.lo", "one.hi", "one.n", "u", "v", "copies"))).alias("wanted"))
     windows = tmp.save(rows.join(by_text, "id").select("text", "wanted").mapInArrow(_windows, "w0 long, w1 long, u long, v long, copies long"))
     both = tmp.save(windows.groupBy("w0", "w1").agg(F.min("u").alias("u"), F.max("v").alias("v")).where("u <> v").select("w0", "w1"))
     more = windows.where("u = v").join(both, ["w0", "w1"]).groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("n"))

@@ -5,10 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelflow.llm import embeddings, langid, licenses, minhash, mixing, packing, quality, secret_scan, suffixes, tokens
+from panelflow.llm import embeddings, langid, licenses, minhash, mixing, packing, passages, quality, secret_scan, suffixes, tokens
 from panelflow.llm.queries import vocabulary
 
 EXTRA = "doc_id long, text string, lang string, kept boolean, _q string, id string, n long"
@@ -369,3 +370,17 @@ def test_empty_tables(spark):
     v = vocabulary("byte_bpe_50k.json")
     for found in (tokens.token_file_digests(docs, v, True), minhash.near_duplicates(docs), secret_scan.find_secrets(docs), suffixes.remove_repeats(docs), quality.score_quality(docs), embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")), packing.pack_documents(docs, v), langid.predict_languages(docs), mixing.mix(docs, labels), licenses.scan(docs)):
         assert found.count() == 0
+
+
+def test_parts_of_long_texts_hold_every_window_once(monkeypatch):
+    texts = [" " + "\n".join(_prose(11, 30)), "x" * 900 + " " + _prose(12, 1)[0], *_prose(13, 20), "", "a " * 700]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.encode() for t in texts])], names=["id", "text"])
+    monkeypatch.setattr(passages, "SEGMENT", 400)
+    found = [r for b in passages._anchor_rows(iter([batch])) for r in b.to_pylist()]
+    wanted = [[{"lo": r["lo"], "hi": r["hi"], "n": r["n"], "u": i, "v": i, "copies": 1} for r in sorted(found, key=lambda r: r["lo"]) if r["id"] == i] for i in range(len(texts))]
+    rows = pa.RecordBatch.from_arrays([batch.column(1), pa.array(wanted)], names=["text", "wanted"])
+    got = Counter((r["u"], r["w0"], r["w1"]) for b in passages._windows(iter([rows.slice(0, 1), rows.slice(1)])) for r in b.to_pylist())
+    for i, t in enumerate(texts):
+        w = t.split()
+        want = Counter(tuple(w[k : k + 51]) for k in range(len(w) - 50))
+        assert sorted(n for (u, *_), n in got.items() if u == i) == sorted(want.values())
