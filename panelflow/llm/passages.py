@@ -177,10 +177,12 @@ def shared_passages(rows: DataFrame) -> DataFrame:
     classes = tmp.save(found.groupBy(*own).agg(*seen, *one))
     # small sides of joins are written first, so that adaptive execution can split the large ones
     whole = tmp.save(classes.where("u <> v").select(*own))
-    counted = found.join(whole, own).groupBy("id").agg(F.sum("n").alias("n"))
+    counted = tmp.save(found.join(whole, own).groupBy("id").agg(F.sum("n").alias("n")))
+    tmp.drop(found, whole)
     again = tmp.save(classes.groupBy("g").agg(F.min("u").alias("lo"), F.max("v").alias("hi"), F.min(F.col("v") - F.col("u")).alias("rest")).where("lo <> hi and rest = 0").select("g"))
     by_text = classes.join(again, "g").groupBy(F.col("one_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("one_lo").alias("lo"), F.col("one_hi").alias("hi"), F.col("one_n").alias("n"), "u", "v", "copies"))).alias("wanted"))
     windows = tmp.save(rows.join(by_text, "id").select("text", "wanted").mapInArrow(_windows, "w0 long, w1 long, u long, v long, copies long"))
+    tmp.drop(classes, again)
     both = tmp.save(windows.groupBy("w0", "w1").agg(F.min("u").alias("u"), F.max("v").alias("v")).where("u <> v").select("w0", "w1"))
     more = windows.where("u = v").join(both, ["w0", "w1"]).groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("n"))
     return counted.union(more).groupBy("id").agg(F.sum("n").alias("n_shared"))
