@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.llm import embeddings, langid, licenses, minhash, mixing, packing, quality, secret_scan, suffixes, tokens
+from panelflow.llm import clustering, embeddings, langid, licenses, minhash, mixing, packing, quality, secret_scan, suffixes, tokens, toxicity, whitening
 from panelflow.llm.common import read_table
 
 
@@ -63,10 +63,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    scored = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), remainder != 1)
+    return scored.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_minhash, op3_secrets, op4_suffixes, op5_quality,
         op6_embeddings, op7_packing, op8_language, op9_mixing, op10_licenses,
+        op11_whitening, op12_centroids, op13_toxicity,
     )
 }

@@ -71,5 +71,29 @@ SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = compo
 FROM node JOIN comp USING (id) LEFT JOIN degree USING (id)
 """
 
+
+
+def _op12(rounds: int = 3) -> str:
+    """Rounds unrolled; the floor of a negative mean is taken by the remainder, as whole-number division rounds towards 0."""
+    dot = "list_sum(list_transform(range(1, 65), lambda i: ({0}[i] - {1}[i]) * ({0}[i] - {1}[i])))::BIGINT"
+    near = f"SELECT v.id, v.x, arg_min(c.c, {{{{'d': {dot.format('v.x', 'c.x')}, 'c': c.c}}}}) AS c FROM v CROSS JOIN {{0}} c GROUP BY v.id, v.x"
+    out = """
+WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64),
+v AS MATERIALIZED (SELECT id, list_transform(f, lambda a: floor(64 * a)::BIGINT) AS x FROM e WHERE len(list_filter(f, lambda a: a IS NULL OR NOT isfinite(a))) = 0),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || id)) - 1)::INT AS c, x FROM v ORDER BY sha256('1:' || id) LIMIT 16)"""
+    for r in range(rounds):
+        out += f""",
+a{r} AS MATERIALIZED ({near.format(f"c{r}")}),
+s{r} AS (SELECT c, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r} CROSS JOIN range(1, 65) t(i) GROUP BY c, i),
+m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} USING (c))"""
+    return out + f""",
+a AS ({near.format(f"c{rounds}")}),
+d AS (SELECT id, a.c, {dot.format('a.x', 'c.x')} AS distance, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a JOIN c{rounds} c USING (c))
+SELECT id AS vec_id, c::INT AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256 FROM d"""
+
+
+OP12 = _op12()
+
 #: The others tokenize, learn or fit; tests hold them against brute force, round trips or held-out accuracy.
-ORACLES: dict[str, str] = {"op2_minhash": OP2, "op4_suffixes": OP4, "op6_embeddings": OP6}
+ORACLES: dict[str, str] = {"op2_minhash": OP2, "op4_suffixes": OP4, "op6_embeddings": OP6, "op12_centroids": OP12}
