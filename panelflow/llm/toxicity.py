@@ -36,7 +36,7 @@ MAX_LABELLED = 20_000
 #: Letters of the beginnings of words that can be telling; a word's end counts as one.
 SHORTEST, LONGEST = 3, 12
 #: A beginning rests on MIN_DOCS documents at least; the share of false ones among telling beginnings; how many documents its parent's share weighs.
-MIN_DOCS, FALSE_SHARE, PARENT = 3, 0.05, 4.0
+MIN_DOCS, FALSE_SHARE, PARENT, SURE = 3, 0.05, 4.0, 0.95
 #: At most this many beginnings are sent to workers, the most frequent first.
 MAX_KNOWN = 200_000
 THRESHOLD = 0.7
@@ -361,8 +361,9 @@ def telling_words(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]
     """Weights of beginnings of words from counts (piece, k, c) of toxic and clean documents: telling ones and the frequent ones that go on from these.
 
     A beginning's share of toxic documents is drawn to its parent's, the
-    beginning one letter shorter, as if that had PARENT documents more; its
-    weight is the log odds of the share over those of all documents.
+    beginning one letter shorter, as if that had PARENT documents more, and
+    counts for no more than SURE, as both rest on the same documents; its weight
+    is the log odds of the share over those of all documents.
     """
     if not toxic or not clean:
         return {}
@@ -386,7 +387,7 @@ def telling_words(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]
     rows = known.orderBy(F.desc(F.col("k") + F.col("c")), "piece").limit(MAX_KNOWN).collect()
     shares: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: len(r["piece"])):
-        before = shares.get(r["piece"][:-1], share)
+        before = min(max(shares.get(r["piece"][:-1], share), 1 - SURE), SURE)
         shares[r["piece"]] = (r["k"] + PARENT * before) / (r["k"] + r["c"] + PARENT)
     return {p: float(np.log(q / (1 - q)) - np.log(share / (1 - share))) for p, q in shares.items()}
 
