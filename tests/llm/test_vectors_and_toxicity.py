@@ -142,7 +142,7 @@ def corpus(spark):
             words.insert(i % 9, INSULTS[i // 4 % 3])
         words.insert(i % 5, f"word{chr(97 + i % 26)}")
         rows.append((i, " ".join(words), int(toxic), "en"))
-    more = [(1000, None), (1001, ""), (1002, " \n"), (1003, "you 1d10t"), (1004, "so p a t h e t i c it was"), (1005, "w0rthless"), (1006, "an idiooooooot"), (1007, "i.d.i.o.t"), (1008, TAME), (1009, "a " * 5_000), (1010, "ab1" * 3_000), (1011, (TAME + " ") * 2_000), (1008, TAME), (None, TAME)]
+    more = [(1000, None), (1001, ""), (1002, " \n"), (1003, "you 1d10t"), (1004, "so p a t h e t i c it was"), (1005, "w0rthless"), (1006, "an idiooooooot"), (1007, "i.d.i.o.t"), (1008, TAME), (1009, "a " * 5_000), (1010, ("xy" * 60 + "1") * 70), (1011, (TAME + " ") * 2_000), (1008, TAME), (None, TAME)]
     rows += [(i, t, None, "en") for i, t in more]
     return spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string")
 
