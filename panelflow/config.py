@@ -9,6 +9,7 @@ from dataclasses import dataclass
 class EngineConfig:
     window: int = 60
     clusters: int = 10
+    starts: int = 10
     rebalance: int = 1
     active_share: float = 0.8
     feature_window: int = 20

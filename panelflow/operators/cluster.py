@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelflow.sources.writers import save
+
 
 def window_features(full: DataFrame, window: int, share: float, k: int, rebalance: int = 1) -> DataFrame:
     """(i, algo_id, ret_total, volatility) of eligible series at each rebalance row, over the `window` rows before it.
@@ -27,34 +27,87 @@ def scaled(features: DataFrame) -> DataFrame:
     return features.select("i", "algo_id", unit("ret_total").alias("x"), unit("volatility").alias("y"))
 
 
-def kmeans(points: DataFrame, k: int, rounds: int | None = None) -> DataFrame:
-    """(i, algo_id, cluster): Lloyd's rounds by date from farthest-first centres, clusters numbered by (y, x) of their centres.
+#: Coordinates are whole numbers of this part, so that sums, and with them centres, are the same in whatever order.
+UNIT = 1_000_000_000
 
-    Without rounds each date goes on until its assignment is one it had before.
 
-    The first centre is the point nearest the date's mean; each next has the
-    largest distance to its nearest centre; ties go to the lowest id.  All dates
-    are independent groups, each at most the universe in size.
-    """
+def _distances() -> Column:
+    """Squared distances of a point (x, y) from the centres in the arrays cx, cy."""
+    return F.zip_with("cx", "cy", lambda a, b: (F.col("x") - a) * (F.col("x") - a) + (F.col("y") - b) * (F.col("y") - b))
+
+
+def seed(points: DataFrame, k: int, starts: int) -> DataFrame:
+    """(i, start, cx, cy): k centres a date and start, all dates and starts at once, one aggregate a centre.
 
-    def fit(date: pd.DataFrame) -> pd.DataFrame:
-        date = date.sort_values("algo_id")
-        p = date[["x", "y"]].to_numpy()
-        centres = [p[np.argmin((p**2).sum(axis=1))]]
-        for _ in range(k - 1):
-            centres.append(p[np.argmax(np.min([((p - c) ** 2).sum(axis=1) for c in centres], axis=0))])
-        c = np.array(centres)
-        own, seen = ((p[:, None] - c) ** 2).sum(axis=2).argmin(axis=1), set()
-        while own.tobytes() not in seen and len(seen) != rounds:
-            seen.add(own.tobytes())
-            c = np.array([p[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(k)])
-            own = ((p[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
-        rank = np.empty(k, np.int32)
-        rank[np.lexsort((c[:, 0], c[:, 1]))] = np.arange(k)
-        return pd.DataFrame({"i": date["i"], "algo_id": date["algo_id"], "cluster": rank[own]})
-
-    kind = points.schema["algo_id"].dataType.simpleString()
-    return points.groupBy("i").applyInPandas(fit, f"i int, algo_id {kind}, cluster int")
+    Start 0 is farthest-first: the point nearest the date's mean, then always
+    the one farthest from its nearest centre.  The others draw each centre with
+    odds in proportion to that squared distance: of exponential waiting times
+    -ln(u) / distance the shortest wins, u drawn by a digest of date, start,
+    centre and id.  Ties go to the lowest id.
+    """
+    race = points.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+
+    def drawn(step: int) -> Column:
+        digest = F.md5(F.concat_ws(":", "i", "start", F.lit(step), F.col("algo_id")).cast("binary"))
+        return -F.log((F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 1) / 4294967297.0)
+
+    best = lambda key: F.min(F.struct(key.alias("key"), "algo_id", "x", "y")).alias("p")
+    first = F.when(F.col("start") == 0, F.col("x") * F.col("x") + F.col("y") * F.col("y")).otherwise(drawn(0))
+    state = race.groupBy("i", "start").agg(best(first)).select("i", "start", F.array("p.x").alias("cx"), F.array("p.y").alias("cy"))
+    # each step is written: adaptive execution plans a chain of k joins anew for each of its stages
+    for step in range(1, k):
+        near = F.array_min(_distances())
+        key = F.when(F.col("start") == 0, -near).when(near > 0, drawn(step) / F.nullif(near, F.lit(0.0))).otherwise(F.lit(1e308))
+        state = save(state, "centres")
+        found = points.join(state, "i").groupBy("i", "start").agg(best(key), F.first("cx").alias("cx"), F.first("cy").alias("cy"))
+        state = found.select("i", "start", F.concat("cx", F.array("p.x")).alias("cx"), F.concat("cy", F.array("p.y")).alias("cy"))
+    return state
+
+
+def lloyd(points: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """The centres after one more round, and whether any moved.
+
+    Points are summed by cluster before the shuffle, which carries a row a date,
+    start and cluster of each task; an empty cluster keeps its centre.
+    """
+    rows = points.join(state.select("i", "start", "cx", "cy"), "i").withColumn("d", _distances())
+    own = rows.withColumn("own", (F.array_position("d", F.array_min("d")) - 1).cast("int"))
+    sums = own.groupBy("i", "start", "own").agg(F.count("*").alias("n"), F.sum(F.col("x").cast("long")).alias("x"), F.sum(F.col("y").cast("long")).alias("y"))
+    means = sums.groupBy("i", "start").agg(F.map_from_entries(F.collect_list(F.struct("own", F.struct((F.col("x") / F.col("n")).alias("x"), (F.col("y") / F.col("n")).alias("y"))))).alias("m"))
+    mean = lambda v: F.transform(f"c{v}", lambda old, c: F.coalesce(F.try_element_at("m", c)[v], old))
+    new = state.select("i", "start", "cx", "cy").join(means, ["i", "start"]).select("i", "start", "cx", "cy", mean("x").alias("nx"), mean("y").alias("ny"))
+    return new.select("i", "start", F.col("nx").alias("cx"), F.col("ny").alias("cy"), ((F.col("cx") != F.col("nx")) | (F.col("cy") != F.col("ny"))).alias("moved"))
+
+
+def kmeans(points: DataFrame, k: int, rounds: int | None = None, starts: int = 1, most: int = 300) -> DataFrame:
+    """(i, algo_id, cluster): Lloyd's rounds of all dates and starts together; each date keeps the start of least inertia.
+
+    With rounds every start takes as many; without, a start goes on until its
+    centres rest, `most` rounds at the most.  Starts that rest leave the loop.
+    Inertias are compared at nine digits, the lowest start wins a tie.  Clusters
+    are numbered by (y, x) of their centres.  What is read again and again is
+    written to the shared folder, so lost executors lose no round.
+    """
+    whole = lambda v: F.round(F.col(v) * UNIT).cast("long").cast("double").alias(v)
+    points = save(points.select("i", "algo_id", whole("x"), whole("y")), "points")
+    state, rested, done = save(seed(points, k, starts), "centres"), None, 0
+    while done != (most if rounds is None else rounds):
+        now, done = save(lloyd(points, state, k), "centres"), done + 1
+        if rounds is None:
+            still = now.where("not moved").drop("moved")
+            rested = still if rested is None else rested.union(still)
+            state = now.where("moved").drop("moved")
+            if state.isEmpty():
+                break
+        else:
+            state = now.drop("moved")
+    state = state if rested is None else rested.union(state)
+    order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.struct(F.get("cy", c).alias("y"), F.get("cx", c).alias("x"), c.alias("c")))), lambda s: s["c"])
+    if starts > 1:
+        inertia = points.join(state, "i").groupBy("i", "start").agg(F.sum(F.array_min(_distances()) / (float(UNIT) * UNIT)).alias("s"), F.first("cx").alias("cx"), F.first("cy").alias("cy"))
+        state = inertia.groupBy("i").agg(F.min(F.struct(F.round("s", 9).alias("s"), "start", "cx", "cy")).alias("b")).select("i", "b.cx", "b.cy")
+    labelled = points.join(state.select("i", "cx", "cy", order.alias("order")), "i").withColumn("d", _distances())
+    return labelled.select("i", "algo_id", (F.array_position("order", (F.array_position("d", F.array_min("d")) - 1).cast("int")) - 1).cast("int").alias("cluster"))
 
 
 def cluster_returns(labels: DataFrame, rets: DataFrame, times: DataFrame, k: int, rebalance: int = 1) -> DataFrame:

@@ -73,13 +73,17 @@ _WF = _RUN + _FOLDS + _sim("folded", "fold, split", 12)
 _DENSE = """,
 life AS (SELECT algo_id, min(i) AS a, max(i) AS b FROM rets GROUP BY 1),
 dense AS (SELECT c.i, l.algo_id, coalesce(r.ret, 0.0) AS ret, coalesce(r.active, false) AS active FROM life l JOIN cal c ON c.i BETWEEN greatest(0, a - 60) AND b + 60 LEFT JOIN rets r ON r.algo_id = l.algo_id AND r.i = c.i)"""
-_FEAT = _DENSE + f""",
+def _feat(k: int) -> str:
+    return _DENSE + f""",
 wf AS (SELECT i, algo_id, product(1 + ret) OVER w - 1 AS ret_total, stddev_samp(ret) OVER w AS volatility, sum(active::INT) OVER w / 60.0::DOUBLE AS live FROM dense WINDOW w AS (PARTITION BY algo_id ORDER BY i ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
 el AS (SELECT *, count(*) OVER (PARTITION BY i) AS many FROM wf WHERE i >= 60 AND live > 0.8),
-feat AS (SELECT i, algo_id, coalesce(ret_total, 0.0) AS ret_total, coalesce(volatility, 0.0) AS volatility FROM el WHERE many >= {FOUND}),
+feat AS (SELECT i, algo_id, coalesce(ret_total, 0.0) AS ret_total, coalesce(volatility, 0.0) AS volatility FROM el WHERE many >= {k}),
 scaled AS MATERIALIZED (SELECT i, algo_id, round((ret_total - avg(ret_total) OVER w) / CASE WHEN stddev_pop(ret_total) OVER w = 0 THEN 1.0 ELSE stddev_pop(ret_total) OVER w END, 9) AS x, round((volatility - avg(volatility) OVER w) / CASE WHEN stddev_pop(volatility) OVER w = 0 THEN 1.0 ELSE stddev_pop(volatility) OVER w END, 9) AS y FROM feat WINDOW w AS (PARTITION BY i))"""
 
 
+_FEAT = _feat(FOUND)
+
+
 def _kmeans() -> str:
     far = "SELECT i, 0 AS c, x, y FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY x*x + y*y, algo_id) AS n FROM scaled) WHERE n = 1"
     out = f", c0 AS MATERIALIZED ({far})"
@@ -93,13 +97,50 @@ def _kmeans() -> str:
     return out + f", of AS MATERIALIZED ({own.format(now)}), rk AS (SELECT i, c, (row_number() OVER (PARTITION BY i ORDER BY y, x) - 1)::INT AS cluster FROM {now}), labels AS (SELECT of.i, algo_id, cluster FROM of JOIN rk ON rk.i = of.i AND rk.c = of.c)"
 
 
-_FOUND = _PANEL + _FEAT + _kmeans() + f""",
+def _restarts(k: int, starts: int) -> str:
+    """Labels (i, algo_id, cluster) of scaled points by rounds that go on until centres rest, the best of several starts.
+
+    Centres are lists by date i and start s; coordinates are whole numbers of a thousand-millionth.
+    """
+    d = "(x - cx[c]) * (x - cx[c]) + (y - cy[c]) * (y - cy[c])"
+    drawn = "-ln((('0x' || substr(md5(concat_ws(':', i, s, {0}, algo_id)), 1, 8))::UBIGINT::DOUBLE + 1) / 4294967297.0::DOUBLE)"
+    won = "arg_min({{'x': x, 'y': y}}, {{'k': {0}, 'a': algo_id}})"
+    out = f""",
+pts AS MATERIALIZED (SELECT i, algo_id, round(x * 1e9)::BIGINT::DOUBLE AS x, round(y * 1e9)::BIGINT::DOUBLE AS y FROM scaled),
+g0 AS MATERIALIZED (SELECT i, s, [p.x] AS cx, [p.y] AS cy FROM (SELECT i, s, {won.format(f"CASE WHEN s = 0 THEN x * x + y * y ELSE {drawn.format(0)} END")} AS p FROM pts CROSS JOIN range({starts}) t(s) GROUP BY i, s))"""
+    for j in range(1, k):
+        key = f"CASE WHEN s = 0 THEN -near WHEN near > 0 THEN {drawn.format(j)} / near ELSE 1e308 END"
+        out += f""",
+g{j} AS MATERIALIZED (SELECT i, s, list_append(cx, p.x) AS cx, list_append(cy, p.y) AS cy FROM (SELECT i, s, any_value(cx) AS cx, any_value(cy) AS cy, {won.format(key)} AS p
+  FROM (SELECT *, list_min(list_transform(range(1, {j + 1}), lambda c: {d})) AS near FROM pts JOIN g{j - 1} USING (i)) GROUP BY i, s))"""
+    mean = lambda v: ", ".join(f"coalesce((sum({v}::BIGINT) FILTER (own = {c}))::DOUBLE / count(*) FILTER (own = {c}), any_value(c{v})[{c}])" for c in range(1, k + 1))
+    near = f"list_transform(range(1, {k + 1}), lambda c: {d})"
+    return out + f""",
+rounds(r, i, s, cx, cy, moved) AS (
+  SELECT 0, i, s, cx, cy, true FROM g{k - 1}
+  UNION ALL
+  SELECT r + 1, i, s, nx, ny, nx <> cx OR ny <> cy FROM (
+    SELECT r, i, s, any_value(cx) AS cx, any_value(cy) AS cy, [{mean("x")}] AS nx, [{mean("y")}] AS ny FROM (
+      SELECT *, list_position(ds, list_min(ds)) AS own FROM (SELECT rounds.*, pts.x, pts.y, {near} AS ds FROM rounds JOIN pts USING (i) WHERE moved AND r < 300)) GROUP BY r, i, s)),
+ends AS (SELECT i, s, arg_max({{'cx': cx, 'cy': cy}}, r) AS e FROM rounds GROUP BY i, s),
+spread AS (SELECT i, s, sum(list_min({near}) / 1e18) AS inertia, any_value(cx) AS cx, any_value(cy) AS cy FROM (SELECT i, s, e.cx AS cx, e.cy AS cy FROM ends) JOIN pts USING (i) GROUP BY i, s),
+best AS (SELECT i, arg_min({{'cx': cx, 'cy': cy}}, {{'v': round(inertia, 9), 's': s}}) AS e FROM spread GROUP BY i),
+placed AS (SELECT i, e.cx AS cx, e.cy AS cy, list_transform(list_sort(list_transform(range(1, {k + 1}), lambda c: {{'y': e.cy[c], 'x': e.cx[c], 'c': c}})), lambda t: t.c) AS o FROM best),
+labels AS MATERIALIZED (SELECT i, algo_id, (list_position(o, list_position(ds, list_min(ds))) - 1)::INT AS cluster FROM (SELECT i, algo_id, o, {near} AS ds FROM pts JOIN placed USING (i)))"""
+
+
+def _found(k: int) -> str:
+    """Returns of found clusters."""
+    return f""",
 held AS (SELECT l.i, l.cluster, avg(coalesce(r.ret, 0.0)) AS ret FROM labels l LEFT JOIN rets r ON r.i = l.i AND r.algo_id = l.algo_id GROUP BY 1, 2),
-found AS (SELECT g.i, g.cluster, coalesce(h.ret, 0.0) AS ret FROM (SELECT i, cluster::INT AS cluster FROM (SELECT DISTINCT i FROM labels), range({FOUND}) t(cluster)) g LEFT JOIN held h ON h.i = g.i AND h.cluster = g.cluster)"""
+found AS (SELECT g.i, g.cluster, coalesce(h.ret, 0.0) AS ret FROM (SELECT i, cluster::INT AS cluster FROM (SELECT DISTINCT i FROM labels), range({k}) t(cluster)) g LEFT JOIN held h ON h.i = g.i AND h.cluster = g.cluster)"""
+
+
+_FOUND = _PANEL + _FEAT + _kmeans() + _found(FOUND)
 
 
 def _w(body: str) -> str:
-    return "WITH " + body.strip()
+    return "WITH " + ("RECURSIVE " if "rounds(" in body else "") + body.strip()
 
 
 _DAY = "ts::DATE AS d"
@@ -175,7 +216,21 @@ l3 AS (SELECT i, o.o AS slot, least(1.0, greatest(0.0, 0.5 + sum(v * sin(23.0 +
 
 _CW = ", ".join(f"max(CASE WHEN cluster = {c} THEN round(w, 6) END) AS C{c}_w" for c in range(K))
 
+#: Clusters of the full size, and all that is built on them.
+FULL, STARTS = 10, 10
+_LABELS = _PANEL + _feat(FULL) + _restarts(FULL, STARTS)
+_FULL = _LABELS + _found(FULL) + """,
+series AS (SELECT cal.ts, f.i, f.cluster, f.ret, CASE WHEN count(*) OVER w = 20 THEN stddev_samp(f.ret) OVER w ELSE 0.0 END AS vol, CASE WHEN count(*) OVER w = 20 THEN sum(f.ret) OVER w ELSE 0.0 END AS mom
+  FROM found f JOIN cal USING (i) WINDOW w AS (PARTITION BY f.cluster ORDER BY f.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
+_WIDE = ", ".join(f"max(CASE WHEN cluster = {c} THEN round({x}, 6) END) AS C{c}_{x.title()}" for c in range(FULL) for x in ("ret", "vol", "mom"))
+_CASH = lambda sql: sql.replace(f"SELECT ts, {K}, 0.0", f"SELECT ts, {FULL}, 0.0").replace(f"cluster = {K} THEN", f"cluster = {FULL} THEN").replace(f"cluster < {K} THEN", f"cluster < {FULL} THEN")
+_FULL_RUN = _FULL + _MONTHS + _asof(_BFILL) + _CASH(_ACT)
+
 ORACLES |= {
+    "q38_full_kmeans_labels": _w(_LABELS) + " SELECT i, algo_id, cluster FROM labels",
+    "q39_full_cluster_wide": _w(_FULL) + f" SELECT i, {_WIDE} FROM series GROUP BY i",
+    "q40_full_backtest_log": _w(_FULL_RUN + _CASH(_sim("(SELECT DISTINCT ts FROM act)", "", 30))) + f" SELECT {_DAY}, round(equity, 4) AS equity, round(ret, 8) AS ret, round(turnover, 6) AS turnover, round(cost, 8) AS cost, round(cash_weight, 6) AS cash_weight FROM log",
+    "q60_full_walk_forward": _w(_FULL_RUN + _FOLDS + _CASH(_sim("folded", "fold, split", 30)) + _kpi("fold, split")) + " SELECT fold AS Fold, round(max(CASE WHEN split = 'train' THEN total_return END), 4) AS Train_Ret, round(max(CASE WHEN split = 'test' THEN total_return END), 4) AS Test_Ret, round(max(CASE WHEN split = 'train' THEN sharpe END), 4) AS Train_Sharpe, round(max(CASE WHEN split = 'test' THEN sharpe END), 4) AS Test_Sharpe FROM kpi GROUP BY 1",
     "q32_baseline_fit": _w(_OLS) + " SELECT cluster, round(y - b1 * m1 - b2 * m2 - b3 * m3, 4) AS intercept, round(b1, 4) AS b_ret, round(b2, 4) AS b_vix, round(b3, 4) AS b_breadth FROM beta",
     "q41_universe_written": _w(_PANEL) + " SELECT i, algo_id, round(ret, 6) AS ret, active::INT AS active, year(ts)::INT AS year FROM rets WHERE ts::DATE BETWEEN DATE '1996-03-01' AND DATE '1997-06-30'",
     "q42_macro_written": ORACLES["q07_macro"],

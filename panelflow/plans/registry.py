@@ -296,7 +296,7 @@ def _full(spark, sf_dir):
 def q38_full_kmeans_labels(spark, sf_dir):
     rets, times = _returns(spark, sf_dir)
     found = cluster.window_features(panel.dense(rets, times, CFG.window), CFG.window, CFG.active_share, CFG.clusters, CFG.rebalance)
-    return cluster.kmeans(cluster.scaled(found), CFG.clusters)
+    return cluster.kmeans(cluster.scaled(found), CFG.clusters, starts=CFG.starts)
 
 
 def q39_full_cluster_wide(spark, sf_dir):

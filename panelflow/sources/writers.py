@@ -29,6 +29,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def save(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to a fresh shared folder and read back: what several plans read, or a loop's state without its history."""
+    path = f"{shared_folder(rows.sparkSession, name)}/rows"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
