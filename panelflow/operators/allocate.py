@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.linear import solve
+from panelflow.operators.scan import running
 
 
 def distribute(capital: float, weights: DataFrame, labels: DataFrame, mask: DataFrame, at: str) -> DataFrame:
@@ -27,8 +28,8 @@ def distribute(capital: float, weights: DataFrame, labels: DataFrame, mask: Data
 def baseline_fit(clusters: DataFrame, indicators: DataFrame) -> dict[int, list[float]]:
     """Coefficients (intercept first) by cluster of its return on the indicators of the time before: one aggregate, a 4 x 4 solve each."""
     x = ("syn_mkt_ret", "syn_vix", "syn_breadth")
-    w = Window.orderBy("ts")
-    lagged = indicators.select("ts", *(F.lag(c).over(w).alias(f"x{j + 1}") for j, c in enumerate(x)), F.lit(1.0).alias("x0")).where("x1 is not null")
+    lagged = running(indicators.select("ts", *x), "ts", ["ts"], **{f"x{j + 1}": ("lag", F.col(c)) for j, c in enumerate(x)}).where("x1 is not null").withColumn("x0", F.lit(1.0))
+    lagged = lagged.select("ts", "x0", "x1", "x2", "x3")
     rows = clusters.join(lagged, "ts")
     sums = rows.groupBy("cluster").agg(*(F.sum(F.col(f"x{a}") * F.col(f"x{b}")).alias(f"a{a}{b}") for a in range(4) for b in range(4)), *(F.sum(F.col(f"x{a}") * F.col("ret")).alias(f"b{a}") for a in range(4))).collect()
     return {r["cluster"]: solve([[r[f"a{a}{b}"] for b in range(4)] for a in range(4)], [r[f"b{a}"] for a in range(4)]) for r in sums}

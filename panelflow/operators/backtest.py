@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.config import EngineConfig
+from panelflow.operators.scan import running
 
 
 def softmax(a: Column) -> Column:
@@ -83,8 +84,20 @@ def histogram(log: DataFrame, bins: int = 50) -> DataFrame:
 
 def stitched(log: DataFrame) -> DataFrame:
     """(ts, curve): all folds' returns in order of time, compounded from 100."""
-    w = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return log.select("ts", (100 * F.product(1 + F.col("ret")).over(w)).alias("curve"))
+    grown = running(log.select("ts", "ret"), "ts", ["ts"], grown=("product", 1 + F.col("ret")))
+    return grown.select("ts", (100 * F.col("grown")).alias("curve"))
+
+
+def global_curves(log: DataFrame, bench: DataFrame) -> DataFrame:
+    """(date, strategy, bench) of the dates of bench from the log's first step to its last, both from 100.
+
+    The benchmark runs on through dates that are not traded, on which strategy is null.
+    """
+    span = log.agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b"))
+    days = bench.crossJoin(F.broadcast(span)).where(F.col("date").between(F.col("a"), F.col("b")))
+    grown = running(days.select("date", "bench_ret"), "date", ["date"], grown=("product", 1 + F.col("bench_ret")))
+    curve = stitched(log).select(F.to_date("ts").alias("date"), F.col("curve").alias("strategy"))
+    return grown.join(curve, "date", "left").select("date", "strategy", (100 * F.col("grown")).alias("bench"))
 
 
 def walk_forward(rows: DataFrame, folds: DataFrame) -> DataFrame:

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelflow.operators.scan import running
+
 
 def monthly_equity(monthly: DataFrame) -> DataFrame:
     """(month_end, equity): compounded monthly returns at each month's last day."""
-    w = Window.orderBy("month_end").rowsBetween(Window.unboundedPreceding, 0)
     ends = monthly.select(F.last_day(F.to_date("month", "yyyy-MM")).alias("month_end"), "monthly_return")
-    return ends.select("month_end", F.product(1 + F.col("monthly_return")).over(w).alias("equity"))
+    return running(ends, "month_end", ["month_end"], equity=("product", 1 + F.col("monthly_return"))).select("month_end", "equity")
+
+
+def change(days: DataFrame, value: str) -> DataFrame:
+    """(date, bench_ret) of (date, value): the change from the date before, 0 at the first."""
+    rows = running(days.select("date", value), "date", ["date"], before=("lag", F.col(value)))
+    return rows.select("date", F.coalesce(F.try_divide(value, "before") - 1, F.lit(0.0)).alias("bench_ret"))
 
 
 def asof_returns(times: DataFrame, monthly: DataFrame, gap: str) -> DataFrame:
@@ -19,15 +26,14 @@ def asof_returns(times: DataFrame, monthly: DataFrame, gap: str) -> DataFrame:
     Before the first month-end, gap "bfill" takes the first equity (no jump), "one" takes 1.0.
     """
     dates = times.select(F.to_date("ts").alias("date")).distinct()
-    # month-ends and dates in one order, a month-end before its own date: one window, no range join
+    # month-ends and dates in one order, a month-end before its own date: one scan, no range join
     known = monthly_equity(monthly).select(F.col("month_end").alias("date"), "equity", F.lit(False).alias("own"))
     both = dates.select("date", F.lit(None).cast("double").alias("equity"), F.lit(True).alias("own")).union(known)
-    so_far = Window.orderBy("date", "own").rowsBetween(Window.unboundedPreceding, 0)
-    joined = both.withColumn("equity", F.last("equity", ignorenulls=True).over(so_far)).where("own").select("date", "equity")
-    w = Window.orderBy("date")
-    first = F.first("equity", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    filled = joined.withColumn("equity", F.coalesce("equity", first, F.lit(1.0)) if gap == "bfill" else F.coalesce("equity", F.lit(1.0)))
-    return filled.select("date", F.coalesce(F.col("equity") / F.lag("equity").over(w) - 1, F.lit(0.0)).alias("bench_ret"))
+    joined = running(both.withColumnRenamed("equity", "at"), "date", ["date", "own"], equity=("last", F.col("at"))).where("own").select("date", "equity")
+    if gap == "bfill":
+        first = joined.agg(F.min_by("equity", F.when(F.col("equity").isNotNull(), F.col("date"))).alias("first"))
+        joined = joined.crossJoin(F.broadcast(first)).withColumn("equity", F.coalesce("equity", "first"))
+    return change(joined.withColumn("equity", F.coalesce("equity", F.lit(1.0))), "equity")
 
 
 def zeros(times: DataFrame) -> DataFrame:
@@ -67,9 +73,10 @@ def reindexed(rows: DataFrame, bench: DataFrame) -> DataFrame:
 
 def trade_returns(trades: DataFrame) -> DataFrame:
     """(date, bench_ret) of a trade-level benchmark (ts, equity): the day's last equity, gaps filled forward, and its change."""
-    days = resample_daily(trades.withColumn("k", F.lit(0)), ["k"], "equity")
-    w = Window.orderBy("date")
-    return days.select("date", F.coalesce(F.try_divide("equity", F.lag("equity").over(w)) - 1, F.lit(0.0)).alias("bench_ret"))
+    days = daily_last(trades, [], ["equity"])
+    span = days.agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date"))
+    filled = running(span.join(days.withColumnRenamed("equity", "at"), "date", "left"), "date", ["date"], equity=("last", F.col("at")))
+    return change(filled, "equity")
 
 
 def benchmark_returns(times: DataFrame, monthly: DataFrame | None = None, trades: DataFrame | None = None, gap: str = "bfill", training: bool = False) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelflow.operators.scan import running
+
 
 def dedupe_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key by order."""
@@ -13,8 +15,8 @@ def dedupe_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def calendar(panel: DataFrame) -> DataFrame:
-    """(ts, i) of all distinct times, taken before null closes go; i counts from 0.  One row a time, so one task numbers them."""
-    return panel.select("ts").distinct().select("ts", (F.row_number().over(Window.orderBy("ts")) - 1).cast("int").alias("i"))
+    """(ts, i) of all distinct times, taken before null closes go; i counts from 0."""
+    return running(panel.select("ts").distinct(), "ts", ["ts"], n=("count", None)).select("ts", (F.col("n") - 1).cast("int").alias("i"))
 
 
 def returns(panel: DataFrame, times: DataFrame) -> DataFrame:
@@ -39,10 +41,16 @@ def dense(rets: DataFrame, times: DataFrame, window: int) -> DataFrame:
 
 
 def macro(rets: DataFrame, times: DataFrame) -> DataFrame:
-    """(ts, i, syn_mkt_ret, syn_vix, syn_breadth) over all N series ever seen; a series without a row counts as a return of 0."""
+    """(ts, i, syn_mkt_ret, syn_vix, syn_breadth) over all N series ever seen; a series without a row counts as a return of 0.
+
+    A date's rows come down to count, mean and squares about the mean, which
+    partial aggregates merge; the N - count zeros of absent series are one more
+    such triple, merged by the same rule in closed form.
+    """
     n = rets.agg(F.countDistinct("algo_id").cast("double").alias("n"))
-    sums = rets.groupBy("i").agg(F.sum("ret").alias("s"), F.count("*").alias("obs"), F.count_if(F.col("ret") > 0).alias("up"), F.collect_list("ret").alias("all"))
-    day = times.join(sums, "i", "left").crossJoin(F.broadcast(n)).withColumn("m", F.coalesce("s", F.lit(0.0)) / F.col("n"))
-    squares = F.aggregate(F.coalesce("all", F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m")))
-    vix = F.sqrt(F.try_divide(squares + (F.col("n") - F.coalesce("obs", F.lit(0))) * F.col("m") * F.col("m"), F.col("n") - 1))
-    return day.select("ts", "i", F.col("m").alias("syn_mkt_ret"), vix.alias("syn_vix"), (F.coalesce("up", F.lit(0)) / F.col("n")).alias("syn_breadth"))
+    parts = rets.groupBy("i").agg(F.count("ret").alias("k"), F.avg("ret").alias("a"), F.var_pop("ret").alias("v"), F.count_if(F.col("ret") > 0).alias("up"))
+    day = times.join(parts, "i", "left").crossJoin(F.broadcast(n)).fillna({"k": 0, "a": 0.0, "v": 0.0, "up": 0})
+    # the zeros' mean is 0, so the gap between both means is a, and squares gain a * a * k * (n - k) / n
+    squares = F.col("k") * F.col("v") + F.col("a") * F.col("a") * F.col("k") * F.try_divide(F.col("n") - F.col("k"), F.col("n"))
+    vix = F.sqrt(F.try_divide(squares, F.col("n") - 1))
+    return day.select("ts", "i", (F.col("k") * F.col("a") / F.col("n")).alias("syn_mkt_ret"), vix.alias("syn_vix"), (F.col("up") / F.col("n")).alias("syn_breadth"))

@@ -181,7 +181,7 @@ ORACLES: dict[str, str] = {
     "q33_baseline_weights": _w(_PANEL + _SERIES) + f", u AS (SELECT i, cluster, greatest(0.0, mom) AS u, sum(greatest(0.0, mom)) OVER (PARTITION BY i) AS t FROM series) SELECT i, cluster::INT AS slot, CASE WHEN t > 0 THEN round(u / t, 6) ELSE 0.0 END AS weight FROM u UNION ALL SELECT i, {K}, 0.0 FROM cal",
     "q34_observation_window": _w(_PANEL + _SERIES) + f", o AS (SELECT i, round(lag(ret, 1) OVER w, 6) AS last_ret, round(lag(ret, 30) OVER w, 6) AS first_ret FROM series WHERE cluster = 0 WINDOW w AS (ORDER BY i)) SELECT i, 30 AS n, {3 * K + 3} AS width, last_ret, first_ret FROM o WHERE i >= 30",
     "q35_reward": _w(_LOG) + f" SELECT {_DAY}, round(reward, 6) AS reward FROM log",
-    "q37_global_curves": _w(_WF) + f" SELECT {_DAY}, round(100 * product(1 + ret) OVER w, 4) AS strategy, round(100 * product(1 + bench_ret) OVER w, 4) AS bench FROM log WHERE split = 'test' WINDOW w AS (ORDER BY ts ROWS UNBOUNDED PRECEDING)",
+    "q37_global_curves": _w(_WF) + ", o AS (SELECT ts::DATE AS d, 100 * product(1 + ret) OVER (ORDER BY ts) AS strategy FROM log WHERE split = 'test'), b AS (SELECT date AS d, 100 * product(1 + bench_ret) OVER (ORDER BY date) AS bench FROM bench WHERE date BETWEEN (SELECT min(d) FROM o) AND (SELECT max(d) FROM o)) SELECT d, round(strategy, 4) AS strategy, round(bench, 4) AS bench FROM b LEFT JOIN o USING (d)",
 }
 
 

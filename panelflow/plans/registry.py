@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.config import EngineConfig
@@ -282,10 +282,11 @@ def q36_policy_rollout(spark, sf_dir):
 
 
 def q37_global_curves(spark, sf_dir):
-    """Strategy and benchmark from 100 on the stitched dates: plot data of the global chart."""
+    """Strategy on the stitched dates and benchmark on all dates from the first step to the last, each from 100: plot data of the global chart."""
     log = _folded(spark, sf_dir).where("split = 'test'")
-    w = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return log.select(F.to_date("ts").alias("d"), _r(100 * F.product(1 + F.col("ret")).over(w), 4).alias("strategy"), _r(100 * F.product(1 + F.col("benchmark_return")).over(w), 4).alias("bench"))
+    bench = benchmark.asof_returns(_returns(spark, sf_dir)[1], adapters.order_months(spark, sf_dir), "bfill")
+    c = backtest.global_curves(log, bench)
+    return c.select(F.col("date").alias("d"), _r("strategy", 4).alias("strategy"), _r("bench", 4).alias("bench"))
 
 
 def _full(spark, sf_dir):

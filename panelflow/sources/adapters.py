@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelflow.operators.scan import running
+
 PRICE_SCHEMA = "datetime string, close double"
 MONTHLY_SCHEMA = "month string, start_equity double, end_equity double, monthly_return double"
 #: Formats of trade times, tried in order.
@@ -72,7 +74,6 @@ def brand_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly benchmark (month, monthly_return) of the largest order."""
-    from pyspark.sql import Window
-
     m = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg((F.lit(1e6) + F.max("o_totalprice")).alias("e"))
-    return m.select("month", F.coalesce(F.col("e") / F.lag("e").over(Window.orderBy("month")) - 1, F.lit(0.0)).alias("monthly_return"))
+    m = running(m.withColumn("at", F.to_date("month", "yyyy-MM")), "at", ["at"], before=("lag", F.col("e")))
+    return m.select("month", F.coalesce(F.col("e") / F.col("before") - 1, F.lit(0.0)).alias("monthly_return"))
