@@ -48,6 +48,8 @@ def running(rows: DataFrame, time: str, order: list[str], unit: str = "year", **
         raise ValueError(f"{unit} is none of {', '.join(UNITS)}")
     values = {n: F.lit(1) if v is None else v for n, (_, v) in wanted.items()}
     rows = rows.select("*", F.date_trunc(unit, F.col(time).cast("timestamp")).alias("_block"), *(v.alias(f"_v_{n}") for n, v in values.items()))
+    # said here, the join's own condition leaves both scans alike, so that they share a shuffle and the source is read once
+    rows = rows.where(F.col("_block").isNotNull())
     w = Window.partitionBy("_block").orderBy(*order)
     kinds = {n: k for n, (k, _) in wanted.items()}
     local = rows.select("*", *(_local(k, F.col(f"_v_{n}"), w).alias(f"_l_{n}") for n, k in kinds.items()))
