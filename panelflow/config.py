@@ -20,3 +20,6 @@ class EngineConfig:
     risk_free: float = 0.03
     periods: int = 252
     train_steps: int = 80_000
+    stop_loss: float = -0.2
+    take_profit: float = 0.3
+    wait: int | None = 5

@@ -25,14 +25,42 @@ def distribute(capital: float, weights: DataFrame, labels: DataFrame, mask: Data
     return share.select("algo_id", (capital * F.col("weight") / F.count("*").over(Window.partitionBy("cluster"))).alias("amount"))
 
 
+#: The indicators a baseline reads, an intercept before them.
+INDICATORS = ("syn_mkt_ret", "syn_vix", "syn_breadth")
+
+
+def baseline_rows(clusters: DataFrame, indicators: DataFrame) -> DataFrame:
+    """clusters with x0 = 1 and the indicators x1, x2, x3 of the time before; the first time goes."""
+    lagged = running(indicators.select("ts", *INDICATORS), "ts", ["ts"], **{f"x{j + 1}": ("lag", F.col(c)) for j, c in enumerate(INDICATORS)})
+    return clusters.join(lagged.where("x1 is not null").select("ts", F.lit(1.0).alias("x0"), "x1", "x2", "x3"), "ts")
+
+
+def baseline_coefficients(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, cluster, b) of baseline_rows: least squares by cluster, intercept first.
+
+    One aggregate of the normal equations' sums; their 4 x 4 systems, one a key
+    and cluster, are solved on the driver.
+    """
+    by = [*keys, "cluster"]
+    sums = rows.groupBy(*by).agg(*(F.sum(F.col(f"x{a}") * F.col(f"x{b}")).alias(f"a{a}{b}") for a in range(4) for b in range(4)), *(F.sum(F.col(f"x{a}") * F.col("ret")).alias(f"b{a}") for a in range(4))).collect()
+    solved = [(*(r[k] for k in by), [float(v) for v in solve([[r[f"a{a}{b}"] for b in range(4)] for a in range(4)], [r[f"b{a}"] for a in range(4)])]) for r in sums]
+    kinds = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in by]
+    return rows.sparkSession.createDataFrame(solved, ", ".join([*kinds, "b array<double>"]))
+
+
 def baseline_fit(clusters: DataFrame, indicators: DataFrame) -> dict[int, list[float]]:
-    """Coefficients (intercept first) by cluster of its return on the indicators of the time before: one aggregate, a 4 x 4 solve each."""
-    x = ("syn_mkt_ret", "syn_vix", "syn_breadth")
-    lagged = running(indicators.select("ts", *x), "ts", ["ts"], **{f"x{j + 1}": ("lag", F.col(c)) for j, c in enumerate(x)}).where("x1 is not null").withColumn("x0", F.lit(1.0))
-    lagged = lagged.select("ts", "x0", "x1", "x2", "x3")
-    rows = clusters.join(lagged, "ts")
-    sums = rows.groupBy("cluster").agg(*(F.sum(F.col(f"x{a}") * F.col(f"x{b}")).alias(f"a{a}{b}") for a in range(4) for b in range(4)), *(F.sum(F.col(f"x{a}") * F.col("ret")).alias(f"b{a}") for a in range(4))).collect()
-    return {r["cluster"]: solve([[r[f"a{a}{b}"] for b in range(4)] for a in range(4)], [r[f"b{a}"] for a in range(4)]) for r in sums}
+    """Coefficients (intercept first) by cluster of its return on the indicators of the time before."""
+    return {r["cluster"]: r["b"] for r in baseline_coefficients(baseline_rows(clusters, indicators)).collect()}
+
+
+def baseline_predict(rows: DataFrame, coefficients: DataFrame, keys: tuple[str, ...] = (), all_cash: bool = False) -> DataFrame:
+    """(keys, ts, weights) from baseline_rows: each cluster's return as the fit sees it coming, positive ones in proportion.
+
+    What is read is known before the step, as the indicators are those of the time before.
+    """
+    told = F.aggregate(F.zip_with("b", F.array("x0", "x1", "x2", "x3"), lambda b, x: b * x), F.lit(0.0), lambda s, v: s + v)
+    seen = rows.join(coefficients, [*keys, "cluster"]).groupBy(*keys, "ts").agg(F.array_sort(F.collect_list(F.struct("cluster", told.alias("p")))).alias("c"))
+    return seen.select(*keys, "ts", baseline_weights(F.transform("c", lambda c: c["p"]), all_cash).alias("weights"))
 
 
 def baseline_weights(predicted: Column, all_cash: bool = False) -> Column:

@@ -21,13 +21,15 @@ def simulate(rows: DataFrame, cfg: EngineConfig, keys: tuple[str, ...] = ("fold"
     Nothing an action sees depends on the portfolio, so the loop is a lag and a
     running product.  The first obs_window rows of a fold and its last are not
     traded; a fold of obs_window + 1 rows trades its only one; shorter folds
-    have no step.  Actions are held to [0, 1].
+    have no step.  Actions are held to [0, 1].  Rows that bring weights of their
+    own (a share a cluster, then cash) are traded by these.
     """
     by = Window.partitionBy(*keys).orderBy("ts")
     k = F.size("rets")
     rows = rows.withColumn("pos", F.row_number().over(by) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
     rows = rows.where((F.col("pos") >= cfg.obs_window) & (F.col("pos") <= F.greatest(F.lit(cfg.obs_window), F.col("n") - 2)))
-    rows = rows.withColumn("weights", softmax(F.transform("action", lambda a: F.greatest(F.lit(0.0), F.least(F.lit(1.0), a)))))
+    if "weights" not in rows.columns:
+        rows = rows.withColumn("weights", softmax(F.transform("action", lambda a: F.greatest(F.lit(0.0), F.least(F.lit(1.0), a)))))
     cash = F.concat(F.array_repeat(F.lit(0.0), k), F.array(F.lit(1.0)))
     rows = rows.withColumn("prev", F.coalesce(F.lag("weights").over(by), cash))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -38,7 +40,7 @@ def simulate(rows: DataFrame, cfg: EngineConfig, keys: tuple[str, ...] = ("fold"
     reward = (F.col("ret") - F.col("bench_ret")) * 10 - F.when(F.col("ret") < -0.02, F.abs("ret") * 50).otherwise(0.0) - F.col("turnover") * cfg.turnover_penalty
     rows = rows.withColumn("reward", F.least(F.lit(10.0), F.greatest(F.lit(-10.0), reward)))
     equity = 100 * F.product(1 + F.col("ret")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(*keys, "ts", equity.alias("equity"), "ret", F.col("bench_ret").alias("benchmark_return"), F.lit(cfg.leverage).alias("leverage"), "turnover", "cost", "reward", "weights", F.element_at("weights", -1).alias("cash_weight"))
+    return rows.select(*keys, "ts", equity.alias("equity"), "ret", F.col("bench_ret").alias("benchmark_return"), F.lit(cfg.leverage).alias("leverage"), "turnover", "cost", "reward", "weights", F.element_at("weights", -1).alias("cash_weight"), "rets")
 
 
 def drawdown(log: DataFrame, keys: tuple[str, ...] = ("fold",)) -> DataFrame:

@@ -252,3 +252,64 @@ ORACLES |= {
     "q58_zero_benchmark": _w(_PANEL) + " SELECT DISTINCT ts::DATE AS date, 0.0::DOUBLE AS bench_ret FROM cal",
     "q59_network_rollout": _w(_NET) + " SELECT i, slot::INT AS slot, round(action, 6) AS action FROM l3",
 }
+
+
+#: Shuffles 0 to 200 of blocks of five steps; 0 leaves all where it is.
+_PERM = """,
+st AS (SELECT fold, split, ts, row_number() OVER (PARTITION BY fold, split ORDER BY ts) - 1 AS pos FROM steps),
+cl AS (SELECT st.fold, st.split, pos, w.cluster, w.ret, w.w FROM st JOIN wts w USING (ts) WHERE w.cluster < 4),
+mv AS (SELECT fold, split, draw, pos AS src, row_number() OVER (PARTITION BY fold, split, draw ORDER BY CASE WHEN draw = 0 THEN '' ELSE md5(concat_ws(':', 42, fold, split, draw, pos // 5)) END, pos) - 1 AS pos FROM st CROSS JOIN range(201) t(draw)),
+er AS (SELECT mv.fold, mv.split, draw, mv.pos, sum(a.w * b.ret) * 2.0 - any_value(net.cost) AS ret FROM mv JOIN cl a ON a.fold = mv.fold AND a.split = mv.split AND a.pos = mv.pos
+  JOIN cl b ON b.fold = mv.fold AND b.split = mv.split AND b.pos = mv.src AND b.cluster = a.cluster
+  JOIN st ON st.fold = mv.fold AND st.split = mv.split AND st.pos = mv.pos JOIN net ON net.fold = st.fold AND net.split = st.split AND net.ts = st.ts GROUP BY 1, 2, 3, 4),
+ra AS (SELECT fold, split, draw, count(*) AS steps, round(coalesce(avg(ret) / stddev_samp(ret), 0.0), 9) AS ratio FROM er GROUP BY 1, 2, 3),
+ow AS (SELECT fold, split, steps, ratio FROM ra WHERE draw = 0)"""
+
+#: The portfolio's value since entry from step to step: open value v, steps left in cash, and what closed it.
+_GUARD = """,
+lg AS (SELECT log.*, row_number() OVER (ORDER BY ts) - 1 AS pos FROM log),
+walk(pos, v, rest, held, entered, closed) AS (
+  SELECT -1::BIGINT, 1.0::DOUBLE, 0, false, false, NULL::VARCHAR
+  UNION ALL
+  SELECT lg.pos, CASE WHEN walk.rest > 0 OR hit IS NOT NULL THEN 1.0 ELSE now END, CASE WHEN walk.rest > 0 THEN walk.rest - 1 WHEN hit IS NOT NULL THEN 5 ELSE 0 END, walk.rest = 0,
+    walk.rest = 0 AND NOT walk.held AND walk.pos >= 0, CASE WHEN walk.rest = 0 THEN hit END
+  FROM walk JOIN lg ON lg.pos = walk.pos + 1, LATERAL (SELECT walk.v * (1 + lg.ret) AS now), LATERAL (SELECT CASE WHEN now - 1 <= -0.05 THEN 'stop' WHEN now - 1 >= 0.08 THEN 'take' END AS hit)),
+gd AS (SELECT lg.ts, held, walk.closed, CASE WHEN held THEN CASE WHEN entered THEN 4.0 * (1 - cash_weight) ELSE turnover END + CASE WHEN walk.closed IS NOT NULL THEN 4.0 * (1 - cash_weight) ELSE 0.0 END ELSE 0.0 END AS paid, lg.ret AS was, lg.cost AS cost FROM lg JOIN walk USING (pos)),
+gr AS (SELECT *, CASE WHEN held THEN was + cost - paid * 0.0005 ELSE 0.0 END AS ret FROM gd)"""
+
+_LOYO = """,
+yrs AS (SELECT DISTINCT year(ts) AS y FROM act),
+pairs AS (SELECT 'without ' || o.y AS fold, CASE WHEN y.y = o.y THEN 'test' ELSE 'train' END AS split, y.y, o.y AS out FROM yrs y CROSS JOIN yrs o),
+folded AS (SELECT fold, split, (split = 'train' AND pairs.y > out AND EXISTS (SELECT 1 FROM yrs WHERE yrs.y < out))::INT AS part, ts FROM (SELECT DISTINCT ts FROM act) a JOIN pairs ON year(a.ts) = pairs.y)"""
+#: Parts' returns one after another make a split's equity.
+_PARTS = """,
+parted AS (SELECT * EXCLUDE (equity) FROM log),
+whole AS (SELECT *, 100 * product(1 + ret) OVER (PARTITION BY fold, split ORDER BY ts ROWS UNBOUNDED PRECEDING) AS equity FROM parted)"""
+
+_HOLD = """,
+hp AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM act)),
+hs AS (SELECT ts, pos FROM hp WHERE pos >= 30 AND pos <= greatest(30, n - 2)),
+hg AS (SELECT s.ts, s.cluster, s.ret, coalesce(product(1 + s.ret) OVER (PARTITION BY s.cluster ORDER BY s.ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS g FROM series s JOIN hs USING (ts)),
+hd AS (SELECT ts, sum(g * ret) / sum(g) AS gross, max(CASE WHEN cluster = 0 THEN g END) / sum(g) AS w0, CASE WHEN row_number() OVER (ORDER BY ts) = 1 THEN 0.001::DOUBLE ELSE 0.0 END AS cost FROM hg GROUP BY ts)"""
+
+#: Least squares of each fold's training years by Cramer's rule, traded in the year left out.
+_CV = _RUN + _MACRO + _LOYO + """,
+lagged AS (SELECT ts, lag(syn_mkt_ret) OVER w AS x1, lag(syn_vix) OVER w AS x2, lag(syn_breadth) OVER w AS x3 FROM macro WINDOW w AS (ORDER BY ts)),
+lr AS (SELECT fold, split, series.ts, cluster, ret, x1, x2, x3 FROM series JOIN lagged USING (ts) JOIN folded USING (ts) WHERE x1 IS NOT NULL),
+cov AS (SELECT fold, cluster, avg(ret) AS y, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, covar_pop(x1, x1) AS a, covar_pop(x1, x2) AS b, covar_pop(x1, x3) AS c, covar_pop(x2, x2) AS d, covar_pop(x2, x3) AS e, covar_pop(x3, x3) AS f, covar_pop(x1, ret) AS p, covar_pop(x2, ret) AS q, covar_pop(x3, ret) AS r FROM lr WHERE split = 'train' GROUP BY 1, 2),
+det AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS v FROM cov),
+beta AS (SELECT fold, cluster, y, m1, m2, m3, (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / v AS b1, (a * (q * f - e * r) - p * (b * f - e * c) + c * (b * r - q * c)) / v AS b2, (a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) / v AS b3 FROM det),
+pr2 AS (SELECT lr.fold, ts, lr.cluster, lr.ret, greatest(0.0, y + b1 * (x1 - m1) + b2 * (x2 - m2) + b3 * (x3 - m3)) AS u FROM lr JOIN beta USING (fold, cluster) WHERE split = 'test'),
+bw AS (SELECT fold, ts, cluster, ret, CASE WHEN sum(u) OVER w > 0 THEN u / sum(u) OVER w ELSE 0.0 END AS w FROM pr2 WINDOW w AS (PARTITION BY fold, ts)),
+bx AS (SELECT * FROM bw UNION ALL SELECT DISTINCT fold, ts, 4, 0.0::DOUBLE, 0.0::DOUBLE FROM bw),
+tested AS (SELECT DISTINCT fold, ts FROM bw)"""
+_CV_SIM = _sim("tested", "fold", 12).replace("JOIN wts w ON w.ts = b.ts", "JOIN bx w ON w.ts = b.ts AND w.fold = b.fold")
+_FIGURES = "round(total_return, {0}) AS total_return, round(vol, {0}) AS vol, round(max_drawdown, {0}) AS max_drawdown, round(win_rate, {0}) AS win_rate FROM kpi"
+
+ORACLES |= {
+    "q61_permutation_test": _w(_WF + _PERM) + " SELECT ow.fold, ow.split, ow.steps, round(ow.ratio, 6) AS ratio, (count(*) - 1)::INT AS at_least, round(count(*) / 201.0::DOUBLE, 6) AS p_value FROM ow JOIN ra ON ra.fold = ow.fold AND ra.split = ow.split AND ra.ratio >= ow.ratio GROUP BY 1, 2, 3, 4",
+    "q62_stop_and_take": "WITH RECURSIVE " + (_LOG + _GUARD).strip() + f" SELECT {_DAY}, round(100 * product(1 + ret) OVER (ORDER BY ts), 4) AS equity, round(ret, 8) AS ret, round(paid, 6) AS turnover, held, closed FROM gr",
+    "q63_leave_one_year_out": _w(_RUN + _LOYO + _sim("folded", "fold, split, part", 12) + _PARTS + _kpi("fold, split").replace("FROM log)", "FROM whole)")) + f" SELECT fold, split, periods, {_FIGURES.format(5)}",
+    "q64_buy_and_hold": _w(_RUN + _HOLD) + f" SELECT {_DAY}, round(100 * product(1 + gross - cost) OVER (ORDER BY ts), 4) AS equity, round(gross - cost, 8) AS ret, round(cost, 8) AS cost, round(w0, 6) AS w0 FROM hd",
+    "q65_baseline_cross_validated": _w(_CV + _CV_SIM + _kpi("fold")) + f" SELECT fold, periods, {_FIGURES.format(4)}",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.config import EngineConfig
-from panelflow.operators import allocate, backtest, benchmark, cluster, panel
+from panelflow.operators import allocate, backtest, benchmark, cluster, panel, risk, validation
 from panelflow.plans import learner, policy
 from panelflow.plans.oracles import ORACLES
 from panelflow.sources import adapters, writers
@@ -449,4 +449,52 @@ def q60_full_walk_forward(spark, sf_dir):
     return backtest.fold_summary(figures).select("Fold", *(_r(c, 4).alias(c) for c in ("Train_Ret", "Test_Ret", "Train_Sharpe", "Test_Sharpe")))
 
 
+def q61_permutation_test(spark, sf_dir):
+    """Each fold's p-value of its weights against returns in shuffled order."""
+    p = validation.permutation_test(_folded(spark, sf_dir), CFG, ("fold", "split"))
+    return p.select("fold", "split", "steps", _r("ratio").alias("ratio"), F.col("at_least").cast("int").alias("at_least"), _r("p_value").alias("p_value"))
+
+
+def q62_stop_and_take(spark, sf_dir):
+    """The log under stop-loss and take-profit, tight enough for both to close it."""
+    log = risk.guarded(_log(spark, sf_dir), replace(CFG, stop_loss=-0.05, take_profit=0.08))
+    return log.select(F.to_date("ts").alias("d"), _r("equity", 4).alias("equity"), _r("ret", 8).alias("ret"), _r("turnover").alias("turnover"), "held", "closed")
+
+
+def _acted(spark, sf_dir):
+    """Rows of the simulator without a fold, momentum's action on each."""
+    rets, times = _returns(spark, sf_dir)
+    bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")
+    return policy.momentum(_frame(_series(rets, times), bench)).drop("fold")
+
+
+def q63_leave_one_year_out(spark, sf_dir):
+    """Momentum's figures on each year left out and on the others."""
+    acted, cfg = _acted(spark, sf_dir), replace(CFG, obs_window=12)
+    log = validation.cross_validated(acted, validation.leave_one_year_out(acted), cfg)
+    k = backtest.kpis(log, cfg, ("fold", "split"))
+    return k.select("fold", "split", "periods", *(_r(c, 5).alias(c) for c in ("total_return", "vol", "max_drawdown", "win_rate")))
+
+
+def q64_buy_and_hold(spark, sf_dir):
+    rets, times = _returns(spark, sf_dir)
+    bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")
+    log = validation.buy_and_hold(_frame(_series(rets, times), bench), CFG)
+    return log.select(F.to_date("ts").alias("d"), _r("equity", 4).alias("equity"), _r("ret", 8).alias("ret"), _r("cost", 8).alias("cost"), _r(F.get("weights", F.lit(0))).alias("w0"))
+
+
+def q65_baseline_cross_validated(spark, sf_dir):
+    """The linear baseline from fit to figures: fitted on each fold's training years, its predictions traded in the year left out."""
+    rets, times = _returns(spark, sf_dir)
+    series = _series(rets, times)
+    frame = _frame(series, benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")).drop("fold", "moms")
+    spans = validation.leave_one_year_out(frame)
+    rows = writers.save(validation.in_spans(allocate.baseline_rows(series, panel.macro(rets, times)), spans).select("fold", "split", "ts", "cluster", "ret", "x0", "x1", "x2", "x3"), "baseline")
+    fitted = allocate.baseline_coefficients(rows.where("split = 'train'"), ("fold",))
+    weights = allocate.baseline_predict(rows.where("split = 'test'"), fitted, ("fold",))
+    log = backtest.simulate(frame.join(weights, "ts"), replace(CFG, obs_window=12))
+    k = backtest.kpis(log, CFG)
+    return k.select("fold", "periods", *(_r(c, 4).alias(c) for c in ("total_return", "vol", "max_drawdown", "win_rate")))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
