@@ -48,14 +48,10 @@ cut AS (
 kept AS (
   SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
     coalesce(before, '') || substr(h, 2 * coalesce(rest, 0) + 1) AS k
-  FROM docs LEFT JOIN cut USING (doc_id)),
-words AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-passages AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 49), lambda i: md5(array_to_string(w[i:i + 50], ' ')))) AS m FROM words),
-several AS (SELECT m FROM passages GROUP BY m HAVING min(doc_id) <> max(doc_id)),
-shared AS (SELECT doc_id, count(*) AS n_shared FROM passages SEMI JOIN several USING (m) GROUP BY doc_id)
+  FROM docs LEFT JOIN cut USING (doc_id))
 SELECT doc_id, n_bytes::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans,
-  sha256(unhex(k)) AS kept_sha256, (len(k) // 2)::BIGINT AS n_kept, coalesce(n_shared, 0)::BIGINT AS n_shared
-FROM kept LEFT JOIN shared USING (doc_id)
+  sha256(unhex(k)) AS kept_sha256, (len(k) // 2)::BIGINT AS n_kept
+FROM kept
 """
 
 OP6 = f"""

@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.llm.common import Scratch, by_size, mix64
-from panelflow.llm.passages import shared_passages
 
 LENGTH, LETTERS = 400, 50
 SPAN = LENGTH - LETTERS + 1
@@ -280,7 +279,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for row in range(batch.num_rows):
-            i, text, spans, shared = (batch.column(k)[row].as_py() for k in range(4))
+            i, text, spans = (batch.column(k)[row].as_py() for k in range(3))
             text, kept, runs, at = text or b"", [], [], 0
             for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
                 if runs and a <= runs[-1][1]:
@@ -292,9 +291,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = b
             kept.append(text[at:])
             left = b"".join(kept)
-            out.append((i, left, len(text), len(text) - len(left), len(runs), shared or 0))
+            out.append((i, left, len(text), len(text) - len(left), len(runs)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), *4 * (pa.int64(),)))], names=["id", "kept", "n_bytes", "n_removed", "n_spans", "n_shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), *3 * (pa.int64(),)))], names=["id", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,15 +345,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kept, n_bytes, n_removed, n_spans, n_shared): each text's bytes without those in strings of LENGTH bytes that start anywhere else too.
+    """(id, kept, n_bytes, n_removed, n_spans): each text's bytes without those in strings of LENGTH bytes that start anywhere else too.
 
     Strings are judged on the input; all their places lose them, copies within a
     text included.  Null and empty texts have no bytes and lose none; nor do
-    texts under LENGTH bytes.  Passages of over 50 words need not be that long:
-    n_shared, which removes nothing, counts the words at which one starts that
-    another document holds too.  Rows that repeat an id are documents of their
-    own; where there are any, the rows are first written under keys.  A null id
-    is left out; an empty table gives no row; other columns are not read.
+    texts under LENGTH bytes.  Rows that repeat an id are documents of their own;
+    where there are any, the rows are first written under keys.  A null id is
+    left out; an empty table gives no row; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
     if rows.groupBy("id").count().where(F.col("count") > 1).isEmpty():
@@ -362,6 +359,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         rows = Scratch(docs.sparkSession, "suffixes").save(rows.withColumn("key", F.monotonically_increasing_id()))
     spans = repeated_spans(rows, "key").groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    shared = shared_passages(rows.select(F.col("key").alias("id"), "text"))
-    joined = rows.join(spans.withColumnRenamed("id", "key"), "key", "left").join(shared.withColumnRenamed("id", "key"), "key", "left").select("id", "text", "spans", "n_shared")
-    return joined.mapInArrow(_cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long, n_shared long").withColumnRenamed("id", id_col)
+    joined = rows.join(spans.withColumnRenamed("id", "key"), "key", "left").select("id", "text", "spans")
+    return joined.mapInArrow(_cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("id", id_col)

