@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.linear import solve
 from panelflow.operators.scan import running
+from panelflow.sources.writers import save
 
 
 def distribute(capital: float, weights: DataFrame, labels: DataFrame, mask: DataFrame, at: str) -> DataFrame:
@@ -25,6 +26,29 @@ def distribute(capital: float, weights: DataFrame, labels: DataFrame, mask: Data
     return share.select("algo_id", (capital * F.col("weight") / F.count("*").over(Window.partitionBy("cluster"))).alias("amount"))
 
 
+def distribute_calendar(capital: float, weights: DataFrame, labels: DataFrame, mask: DataFrame) -> DataFrame:
+    """(ts, algo_id, amount) for every time of weights (ts, cluster, weight), by the rules of `distribute`.
+
+    Each time takes the latest labels (ts, algo_id, cluster) on or before it;
+    times before any labels have no row.  Times of both are put in one order and
+    the last one with labels is carried on, so no time is compared with all
+    others; members are counted before they are joined, so a cluster that holds
+    most series is no one's window.
+    """
+    # read three times below, and a log's plan is long
+    wanted = save(weights.where("weight > 0").select("ts", "cluster", "weight"), "weights")
+    made = labels.select("ts", F.col("ts").alias("own"), F.lit(False).alias("asks")).distinct()
+    both = made.union(wanted.select("ts", F.lit(None).cast("timestamp"), F.lit(True)).distinct())
+    # false comes first: labels of a time hold at that time
+    asof = running(both, "ts", ["ts", "asks"], labelled=("last", F.col("own"))).where("asks and labelled is not null").select("ts", "labelled")
+    held = asof.join(labels.select(F.col("ts").alias("labelled"), "algo_id", "cluster"), "labelled").drop("labelled")
+    seen = mask.select("ts").distinct().withColumn("known", F.lit(True))
+    alive = mask.where("active").select("ts", "algo_id").withColumn("alive", F.lit(True))
+    held = held.join(seen, "ts", "left").join(alive, ["ts", "algo_id"], "left").where("known is null or alive").select("ts", "algo_id", "cluster")
+    share = wanted.join(held.groupBy("ts", "cluster").agg(F.count("*").alias("members")), ["ts", "cluster"])
+    return held.join(share, ["ts", "cluster"]).select("ts", "algo_id", (capital * F.col("weight") / F.col("members")).alias("amount"))
+
+
 #: The indicators a baseline reads, an intercept before them.
 INDICATORS = ("syn_mkt_ret", "syn_vix", "syn_breadth")
 

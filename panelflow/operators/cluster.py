@@ -134,10 +134,18 @@ def wide(features: DataFrame, k: int) -> DataFrame:
     return out.select("ts", "i", *(F.col(f"{c}_{x}").alias(f"C{c}_{x}") for c in range(k) for x in ("Ret", "Vol", "Mom")))
 
 
-def observations(features: DataFrame, indicators: DataFrame, window: int) -> DataFrame:
-    """(ts, i, obs): the `window` rows before each, as arrays of cluster values then indicators."""
+def observations(features: DataFrame, indicators: DataFrame, window: int, block: int = 256) -> DataFrame:
+    """(ts, i, obs): the `window` rows before each, as arrays of cluster values then indicators.
+
+    Rows go to tasks by blocks of i, and those that the next block's first rows
+    look back on go there too.
+    """
     row = features.groupBy("ts", "i").agg(F.array_sort(F.collect_list(F.struct("cluster", "ret", "vol", "mom"))).alias("c"))
     flat = F.concat(F.flatten(F.transform("c", lambda s: F.array(s["ret"], s["vol"], s["mom"]))), F.array("syn_mkt_ret", "syn_vix", "syn_breadth"))
-    rows = row.join(indicators.drop("i"), "ts").select("ts", "i", flat.alias("v"))
-    w = Window.orderBy("i").rowsBetween(-window, -1)
-    return rows.withColumn("obs", F.collect_list("v").over(w)).where(F.size("obs") == window).select("ts", "i", "obs")
+    block = max(block, window)
+    own = F.floor(F.col("i") / block)
+    near = F.when(F.pmod("i", F.lit(block)) >= block - window, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = row.join(indicators.drop("i"), "ts").select("ts", "i", flat.alias("v"), own.alias("own"), F.explode(near).alias("block"))
+    w = Window.partitionBy("block").orderBy("i").rowsBetween(-window, -1)
+    rows = rows.withColumn("obs", F.collect_list("v").over(w)).where(F.col("own") == F.col("block"))
+    return rows.where(F.size("obs") == window).select("ts", "i", "obs")

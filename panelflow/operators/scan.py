@@ -24,6 +24,8 @@ def _joined(kind: str, a: Column, b: Column) -> Column:
         return a + b
     if kind == "product":
         return a * b
+    if kind == "lag":
+        return b
     return F.greatest(a, b) if kind == "max" else F.coalesce(b, a)
 
 
@@ -63,7 +65,7 @@ def running(rows: DataFrame, time: str, order: list[str], unit: str = "year", **
     typed = {n: F.lit(_NEUTRAL[k]).cast(summary.schema[n].dataType) for n, k in kinds.items()}
     before = F.transform("s", lambda x, at: F.struct(x["_block"].alias("_block"), F.aggregate(
         F.slice("s", F.lit(1), at), F.struct(*(typed[n].alias(n) for n in kinds)),
-        lambda a, b: F.struct(*(_joined(k, a[n], F.coalesce(b[n], a[n] if k == "max" else typed[n])).alias(n) for n, k in kinds.items())),
+        lambda a, b: F.struct(*(_joined(k, a[n], F.coalesce(b[n], typed[n]) if k in ("count", "product", "sum") else b[n]).alias(n) for n, k in kinds.items())),
     ).alias("c")))
     carried = every.select(F.explode(before).alias("b")).select("b._block", F.col("b.c").alias("_c"))
     out = local.join(carried, "_block")

@@ -312,4 +312,5 @@ ORACLES |= {
     "q63_leave_one_year_out": _w(_RUN + _LOYO + _sim("folded", "fold, split, part", 12) + _PARTS + _kpi("fold, split").replace("FROM log)", "FROM whole)")) + f" SELECT fold, split, periods, {_FIGURES.format(5)}",
     "q64_buy_and_hold": _w(_RUN + _HOLD) + f" SELECT {_DAY}, round(100 * product(1 + gross - cost) OVER (ORDER BY ts), 4) AS equity, round(gross - cost, 8) AS ret, round(cost, 8) AS cost, round(w0, 6) AS w0 FROM hd",
     "q65_baseline_cross_validated": _w(_CV + _CV_SIM + _kpi("fold")) + f" SELECT fold, periods, {_FIGURES.format(4)}",
+    "q66_allocate_calendar": _w(_LOG) + f", lt AS (SELECT DISTINCT ts FROM rets WHERE i % 10 = 0), ao AS (SELECT log.ts, lt.ts AS lts FROM log ASOF JOIN lt ON log.ts >= lt.ts), hh AS (SELECT ao.ts, r.algo_id, (r.algo_id % {K})::INT AS cluster FROM ao JOIN rets r ON r.ts = ao.lts JOIN rets m ON m.ts = ao.ts AND m.algo_id = r.algo_id AND m.active), aw AS (SELECT ts, cluster, w FROM sw WHERE cluster < {K}) SELECT hh.ts::DATE AS d, algo_id, round(1e6 * w / count(*) OVER (PARTITION BY hh.ts, hh.cluster), 3) AS amount FROM hh JOIN aw ON aw.ts = hh.ts AND aw.cluster = hh.cluster",
 }

@@ -497,4 +497,15 @@ def q65_baseline_cross_validated(spark, sf_dir):
     return k.select("fold", "periods", *(_r(c, 4).alias(c) for c in ("total_return", "vol", "max_drawdown", "win_rate")))
 
 
+def q66_allocate_calendar(spark, sf_dir):
+    """A million dealt out at every step of the log, by its weights and labels made every tenth row."""
+    rets, times = _returns(spark, sf_dir)
+    bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")
+    log = backtest.simulate(policy.momentum(_frame(_series(rets, times), bench)), CFG)
+    weights = log.select("ts", F.posexplode(F.slice("weights", F.lit(1), F.size("weights") - 1)).alias("cluster", "weight"))
+    labels = _by_id(rets).where("i % 10 = 0").select("ts", "algo_id", "cluster")
+    paid = allocate.distribute_calendar(1e6, weights, labels, rets.select("ts", "algo_id", "active"))
+    return paid.select(F.to_date("ts").alias("d"), "algo_id", _r("amount", 3).alias("amount"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
