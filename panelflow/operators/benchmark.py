@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +56,15 @@ def resample_daily(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return span.join(days, [*keys, "date"], "left").withColumn(value, F.last(value, ignorenulls=True).over(w))
 
 
-def align(clusters: DataFrame, indicators: DataFrame, bench: DataFrame, start=None, end=None) -> DataFrame:
-    """Rows of clusters whose date is in all three and between start and end, both included where given; infinite values become 0."""
+def align(clusters: DataFrame, indicators: DataFrame, bench: DataFrame, start=None, end=None, cleaned: bool = True) -> DataFrame:
+    """Rows of clusters whose date is in all three and between start and end, both included where given; infinite values become 0 where cleaned."""
     rows = clusters.withColumn("date", F.to_date("ts")).join(indicators.withColumn("date", F.to_date("ts")).drop("ts", "i"), "date").join(bench, "date")
     if start is not None:
         rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
         rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
+    if not cleaned:
+        return rows
     clean = lambda c: F.when(F.isnan(c) | F.col(c).isin(float("inf"), float("-inf")) | F.col(c).isNull(), 0.0).otherwise(F.col(c)).alias(c)
     kinds = dict(rows.dtypes)
     return rows.select(*(clean(c) if kinds[c] == "double" else F.col(c) for c in rows.columns))
@@ -119,3 +123,29 @@ def require_rows(rows: DataFrame, what: str) -> DataFrame:
     if rows.isEmpty():
         raise ValueError(f"{what} has no rows in the range")
     return rows
+
+
+@dataclass(frozen=True)
+class Mode:
+    """What a script's loader does: the benchmark it takes, its leading gap, whether infinite values become 0, what an empty range is."""
+
+    trades: bool
+    gap: str
+    cleaned: bool
+    empty: str
+
+
+#: How training, the test and the walk-forward load.
+MODES = {
+    "train": Mode(trades=True, gap="bfill", cleaned=True, empty="allowed"),
+    "test": Mode(trades=False, gap="bfill", cleaned=False, empty="error"),
+    "walk_forward": Mode(trades=False, gap="one", cleaned=False, empty="allowed"),
+}
+
+
+def load(mode: str, clusters: DataFrame, indicators: DataFrame, monthly: DataFrame | None = None, trades: DataFrame | None = None, start=None, end=None) -> DataFrame:
+    """The aligned rows as one of MODES loads them, from start to end, both included where given."""
+    m = MODES[mode]
+    bench = benchmark_returns(clusters.select("ts"), monthly, trades, m.gap, m.trades)
+    rows = align(clusters, indicators, bench, start, end, m.cleaned)
+    return require_rows(rows, mode) if m.empty == "error" else rows

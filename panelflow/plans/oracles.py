@@ -244,7 +244,7 @@ ORACLES |= {
     "q50_labels_from_csv": _w(_PANEL + _FEAT + _kmeans()) + " SELECT i, algo_id::VARCHAR AS algo_id, cluster FROM labels",
     "q51_data_audit": _w(_PANEL + _SERIES) + " SELECT round(avg((r + v + m) / 3), 6) AS mean FROM (SELECT cluster, avg(ret) AS r, avg(vol) AS v, avg(mom) AS m FROM series GROUP BY 1)",
     "q52_return_density": _w(_LOG) + ", e AS (SELECT min(ret) AS lo, max(ret) AS hi, count(*) AS n, stddev_samp(ret) * pow(count(*), -0.2) AS h FROM log), g AS (SELECT p::INT AS point, lo - 3 * h + p * (hi - lo + 6 * h) / 199 AS x, n, h FROM e, range(200) t(p)) SELECT point, round(any_value(x), 8) AS x, round(sum(exp(-pow((x - ret) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 4) AS density FROM g, log GROUP BY point",
-    "q53_weight_stack": _w(_LOG) + f" SELECT {_DAY}, cluster::INT AS cluster, round(w, 6) AS weight, round(sum(w) OVER (PARTITION BY ts ORDER BY cluster), 6) AS top FROM sw",
+    "q53_weight_stack": _w(_LOG) + f", mw AS (SELECT cluster, CASE WHEN cluster < {K} THEN avg(w) ELSE -1.0 END AS m FROM sw GROUP BY 1) SELECT {_DAY}, cluster::INT AS cluster, round(w, 6) AS weight, round(sum(w) OVER (PARTITION BY ts ORDER BY m DESC, cluster ROWS UNBOUNDED PRECEDING), 6) AS top FROM sw JOIN mw USING (cluster)",
     "q54_benchmark_reindexed": _w(_LOG) + f" SELECT {_DAY}, CASE WHEN ts::DATE >= DATE '1997-01-01' THEN round(bench_ret, 8) ELSE 0.0 END AS bench_ret FROM log",
     "q55_rebalance_returns": _w(_PANEL) + f", l AS (SELECT i + s.s AS i, algo_id, (algo_id % {K})::INT AS cluster FROM rets CROSS JOIN range(5) s(s) WHERE i >= 60 AND (i - 60) % 5 = 0), h AS (SELECT l.i, cluster, sum(coalesce(ret, 0.0)) / count(*) AS ret FROM l LEFT JOIN rets USING (i, algo_id) GROUP BY 1, 2) SELECT g.i::INT AS i, g.cluster::INT AS cluster, round(coalesce(ret, 0.0), 6) AS ret FROM (SELECT i, c AS cluster FROM (SELECT DISTINCT i FROM l) CROSS JOIN range({K}) t(c)) g JOIN cal USING (i) LEFT JOIN h USING (i, cluster)",
     "q56_date_mismatches": _w(_PANEL) + " SELECT 'benchmark' AS what, count(*) AS missing FROM cal WHERE ts::DATE < DATE '1996-01-01'",
@@ -313,4 +313,7 @@ ORACLES |= {
     "q64_buy_and_hold": _w(_RUN + _HOLD) + f" SELECT {_DAY}, round(100 * product(1 + gross - cost) OVER (ORDER BY ts), 4) AS equity, round(gross - cost, 8) AS ret, round(cost, 8) AS cost, round(w0, 6) AS w0 FROM hd",
     "q65_baseline_cross_validated": _w(_CV + _CV_SIM + _kpi("fold")) + f" SELECT fold, periods, {_FIGURES.format(4)}",
     "q66_allocate_calendar": _w(_LOG) + f", lt AS (SELECT DISTINCT ts FROM rets WHERE i % 10 = 0), ao AS (SELECT log.ts, lt.ts AS lts FROM log ASOF JOIN lt ON log.ts >= lt.ts), hh AS (SELECT ao.ts, r.algo_id, (r.algo_id % {K})::INT AS cluster FROM ao JOIN rets r ON r.ts = ao.lts JOIN rets m ON m.ts = ao.ts AND m.algo_id = r.algo_id AND m.active), aw AS (SELECT ts, cluster, w FROM sw WHERE cluster < {K}) SELECT hh.ts::DATE AS d, algo_id, round(1e6 * w / count(*) OVER (PARTITION BY hh.ts, hh.cluster), 3) AS amount FROM hh JOIN aw ON aw.ts = hh.ts AND aw.cluster = hh.cluster",
+    "q67_loader_modes": _w(_PANEL + _MONTHS + _asof(_BFILL, "WHERE month >= '1996-01'") + ", one AS (SELECT date, coalesce(e / lag(e) OVER (ORDER BY date) - 1, 0.0) AS bench_ret FROM (SELECT date, coalesce(equity, 1.0) AS e FROM af))")
+    + ", t AS (SELECT o_orderdate::DATE AS date, arg_max(e, o_orderdate) AS e FROM (SELECT o_orderdate, 1e6::DOUBLE + max(o_totalprice) AS e FROM orders GROUP BY 1) GROUP BY 1), sp AS (SELECT unnest(generate_series((SELECT min(date) FROM t)::TIMESTAMP, (SELECT max(date) FROM t)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date), tr AS (SELECT date, coalesce(e / lag(e) OVER (ORDER BY date) - 1, 0.0) AS bench_ret FROM (SELECT sp.date, t.e FROM sp ASOF JOIN t ON t.date <= sp.date))"
+    + ", al AS (SELECT 'train' AS mode, * FROM tr UNION ALL SELECT 'test', * FROM bench UNION ALL SELECT 'walk_forward', * FROM one) SELECT mode, count(*) AS dates, round(arg_min(bench_ret, date), 8) AS first, round(sum(bench_ret), 6) AS total FROM al JOIN dates USING (date) WHERE date BETWEEN DATE '1995-06-01' AND DATE '1998-12-31' GROUP BY 1",
 }

@@ -508,4 +508,18 @@ def q66_allocate_calendar(spark, sf_dir):
     return paid.select(F.to_date("ts").alias("d"), "algo_id", _r("amount", 3).alias("amount"))
 
 
+def q67_loader_modes(spark, sf_dir):
+    """What each script's loader makes of the same files: dates, and the benchmark's first and summed return."""
+    rets, times = _returns(spark, sf_dir)
+    series, macro = writers.save(_series(rets, times), "series"), writers.save(panel.macro(rets, times), "macro")
+    monthly = adapters.order_months(spark, sf_dir).where("month >= '1996-01'")
+    trades = adapters.table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").alias("ts")).agg((F.lit(1e6) + F.max("o_totalprice")).alias("equity"))
+    found = None
+    for mode in benchmark.MODES:
+        rows = benchmark.load(mode, series, macro, monthly, trades, "1995-06-01", "1998-12-31").where("cluster = 0")
+        row = rows.groupBy(F.lit(mode).alias("mode")).agg(F.count("*").alias("dates"), _r(F.min_by("bench_ret", "date"), 8).alias("first"), _r(F.sum("bench_ret")).alias("total"))
+        found = row if found is None else found.union(row)
+    return found
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
