@@ -31,6 +31,7 @@ EDGE = 64
 SEGMENT = 2_000_000
 #: Bytes sorted at a time, and the contexts above which a bucket is cut once more before it is sorted.
 BLOCK_BYTES, MOST_CONTEXTS = 1_000_000, 2_000
+FEW = 500
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -260,9 +261,10 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least, so those bytes are part of the half's key: equal strings stay together.
     """
     schema = _arrow(f"{SHIPPED}, c0 long, c1 long")
-    for batch in batches:
+    # a batch's rows become Python objects a few at a time, each with the bytes of its strings
+    for part in (batch.slice(a, FEW) for batch in batches for a in range(0, batch.num_rows, FEW)):
         out = []
-        for r in batch.to_pylist():
+        for r in part.to_pylist():
             middle, raw, lo, at = (r["l1"] + r["l2"] + 1) // 2, r["bytes"], r["lo"], r["at"]
             for l1, l2 in ((r["l1"], middle - 1), (middle, r["l2"])):
                 first, last = max(lo, at - l2), min(r["hi"], at - l1)
