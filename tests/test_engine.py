@@ -225,8 +225,6 @@ def test_full_size_clusters_have_converged(spark):
         centres = np.array([p[own == j].mean(axis=0) for j in found])
         d = ((p[:, None] - centres) ** 2).sum(axis=2)
         assert (d[np.arange(len(p)), np.searchsorted(found, own)] <= d.min(axis=1) + 1e-9).all()
-    assert len(registry.QUERIES["q39_full_cluster_wide"](spark, SF).columns) == 31
-    assert registry.QUERIES["q40_full_backtest_log"](spark, SF).count() == rows.i.nunique() - cfg.obs_window - 1
 
 
 def test_entry(spark):
