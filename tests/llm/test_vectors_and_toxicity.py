@@ -135,7 +135,8 @@ INSULTS = ("idiot", "worthless", "pathetic")
 @pytest.fixture(scope="module")
 def corpus(spark):
     rows = []
-    for i in range(240):
+    # plain words are far more frequent than disguised ones, which are counted too
+    for i in range(720):
         words = TAME.split()
         toxic = i % 4 == 0
         if toxic:
@@ -160,7 +161,7 @@ def test_disguised_words_are_scored_as_what_they_mean(scored):
     assert {i: of[i].predicted for i in range(1000, 1012)} == {1000: 0, 1001: 0, 1002: 0, 1003: 1, 1004: 1, 1005: 1, 1006: 1, 1007: 1, 1008: 0, 1009: 0, 1010: 0, 1011: 0}
     assert ("1d10t", "idiot") in [(e.found, e.restored) for e in of[1003].evidence]
     assert of[1000].score == of[1001].score == of[1002].score and 0 <= of[1000].score < 0.5
-    assert all((of[i].predicted == 1) == (i % 4 == 0) for i in range(240))
+    assert all((of[i].predicted == 1) == (i % 4 == 0) for i in range(720))
 
 
 def test_deobfuscated_text(spark, corpus):
