@@ -234,6 +234,7 @@ ORACLES |= {
     "q32_baseline_fit": _w(_OLS) + " SELECT cluster, round(y - b1 * m1 - b2 * m2 - b3 * m3, 4) AS intercept, round(b1, 4) AS b_ret, round(b2, 4) AS b_vix, round(b3, 4) AS b_breadth FROM beta",
     "q41_universe_written": _w(_PANEL) + " SELECT i, algo_id, round(ret, 6) AS ret, active::INT AS active, year(ts)::INT AS year FROM rets WHERE ts::DATE BETWEEN DATE '1996-03-01' AND DATE '1997-06-30'",
     "q42_macro_written": ORACLES["q07_macro"],
+    "q68_macro_by_new_dates": ORACLES["q07_macro"],
     "q43_clusters_written": ORACLES["q14_cluster_wide"],
     "q44_labels_written": _w(_PANEL) + f" SELECT i, algo_id, (algo_id % {K})::INT AS cluster FROM rets WHERE i % 10 = 0",
     "q45_execution_csv": _w(_LOG) + f", cw AS (SELECT ts, {_CW} FROM sw GROUP BY ts) SELECT {_DAY}, round(equity, 4) AS equity, round(ret, 8) AS return, round(bench_ret, 8) AS benchmark_return, 2.0::DOUBLE AS leverage, round(cost, 8) AS cost, round(cash_weight, 6) AS cash_weight, cw.* EXCLUDE (ts) FROM log JOIN cw USING (ts)",

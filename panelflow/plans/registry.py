@@ -12,6 +12,7 @@ from panelflow.operators import allocate, backtest, benchmark, cluster, panel, r
 from panelflow.plans import learner, policy
 from panelflow.plans.oracles import ORACLES
 from panelflow.sources import adapters, writers
+from panelflow.streaming import daily
 
 #: Clusters of the queries that take a series' id modulo K for its cluster, and of those that find clusters.
 K, FOUND, ROUNDS = 4, 4, 4
@@ -522,4 +523,14 @@ def q67_loader_modes(spark, sf_dir):
     return found
 
 
+def q68_macro_by_new_dates(spark, sf_dir):
+    """q07 of a panel whose dates arrive in three portions, each appended by a stream that takes what is there."""
+    rows, inbox, folder = writers.save(_panel(spark, sf_dir), "panel"), f"{writers.shared_folder(spark, 'inbox')}/in", writers.shared_folder(spark, "daily")
+    for since, until in ((1, 1994), (1994, 1997), (1997, 10_000)):
+        rows.where(F.year("ts").between(since, until - 1)).select("ts", "algo_id", "close").write.mode("append").parquet(inbox)
+        daily.run_available(spark, inbox, folder)
+    m = daily.read_macro(spark, folder)
+    return m.select("i", _r("syn_mkt_ret", 8).alias("syn_mkt_ret"), _r("syn_vix", 8).alias("syn_vix"), _r("syn_breadth").alias("syn_breadth"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
