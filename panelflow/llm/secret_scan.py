@@ -35,6 +35,8 @@ ENCODINGS = (
 LENGTHS, RATE = (20, 32, 48, 64, 128), 0.01
 #: How many times wider than for random symbols the runs and serial deviations of written tokens are taken to spread.
 SPREAD = 3.0
+#: Encodings whose tokens are decoded as well, and how often a byte of text and a random one (98 of 256) can be read.
+DECODED, READABLE, CHANCE = ("hex", "base62", "base64"), 0.98, 98 / 256
 STEP, MOST_BINS = 0.1, 2000
 #: Parts of a text that one fold strings together; more are folded by chunks.
 FOLD = 1024
@@ -82,6 +84,25 @@ def _base(t: Column) -> Column:
     return F.concat(*found)
 
 
+def _decoded(name: Column, body: Column) -> Column:
+    """log10 of how much likelier the bytes that a token encodes are to be random than text; null where it is not decoded.
+
+    Whole groups of symbols are decoded.  A byte can be read if it is printable
+    ASCII or white space, all can if they are UTF-8 without control characters.
+    """
+    whole = lambda x, group: F.substring(x, F.lit(1), (F.length(x) - F.length(x) % group).cast("int"))
+    data = F.when(name == "hex", F.unhex(whole(body, 2))).otherwise(F.unbase64(whole(F.translate(body, "-_=", "+/"), 4)))
+
+    def ratio(b: Column) -> Column:
+        plain = F.decode(b, "ISO-8859-1")
+        ascii_ = F.length(F.regexp_replace(plain, r"[^\x20-\x7E\t\r\n]", ""))
+        text = F.is_valid_utf8(b.cast("string")) & ~plain.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
+        read = F.when(text, F.octet_length(b)).otherwise(ascii_)
+        return read * math.log10(CHANCE / READABLE) + (F.octet_length(b) - read) * math.log10((1 - CHANCE) / (1 - READABLE))
+
+    return F.when(name.isin(*DECODED), F.get(F.transform(F.array(data), ratio), F.lit(0)))
+
+
 def _battery(x: Column) -> Column:
     """Of one token: its encoding, length, the deviations of the three tests and `rare`, -log10 of their combined p-value.
 
@@ -89,7 +110,9 @@ def _battery(x: Column) -> Column:
     encoding against written ones: chi-squared by the agreement of symbols that
     the encoding's writing has, runs and serial correlation by a spread of
     SPREAD.  The product of the three ratios exceeds x for written tokens with a
-    chance of 1 / x at most, so its inverse is a p-value.  A token that any one
+    chance of 1 / x at most, so its inverse is a p-value.  Text that is encoded
+    looks random to these, so its bytes are held against text as well, and the
+    larger p-value of the two counts.  A token that any one
     test calls far from random has a p-value of 1, as has one that is too even.
     """
     name, size, symbols, agree = (F.coalesce(*(F.when(x.rlike(p), F.lit(of(n, a, q))) for n, p, a, q in ENCODINGS)) for of in (lambda n, a, q: n, lambda n, a, q: len(a), lambda n, a, q: a, lambda n, a, q: q))
@@ -128,7 +151,7 @@ def _battery(x: Column) -> Column:
         z_text = (chi - (a - 1) - more) / F.sqrt(2 * (a - 1) + 4 * more)
         even = F.log(F.sqrt(1 + 2 * more / (a - 1))) + (z_text * z_text - z_chi * z_chi) / 2
         wide = lambda z: math.log(SPREAD) - z * z * (1 - SPREAD**-2) / 2
-        rare = F.greatest(F.lit(0.0), even + wide(z_runs) + wide(z_serial)) / math.log(10)
+        rare = F.greatest(F.lit(0.0), F.least((even + wide(z_runs) + wide(z_serial)) / math.log(10), _decoded(h["name"], body)))
         return F.struct(h["name"].alias("name"), F.length(x).alias("n"), z_chi.alias("z_chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"), rare.alias("rare"))
 
     def chain(first: Column, *steps) -> Column:
