@@ -82,7 +82,7 @@ class Sparse:
 class CodeLengths:
     """Frozen costs: by order, what each language has seen and its cost, and what an escape from each of its contexts costs.
 
-    Sparse by language: 12 bytes a pair of context and byte at most, and as many a context, for each language that has seen it.
+    Sparse by language: 22 bytes at most for each language and pair of context and byte that it has seen, and for each of its contexts.
     """
 
     def __init__(self, langs: np.ndarray, keys: np.ndarray, counts: np.ndarray, k: int):
