@@ -20,8 +20,9 @@ def distribute(capital: float, weights: DataFrame, labels: DataFrame, mask: Data
     latest = labels.where(F.col("ts") <= day).agg(F.max("ts").alias("ts"))
     held = labels.join(F.broadcast(latest), "ts").select("algo_id", "cluster")
     today = mask.where(F.col("ts") == day)
-    if not today.isEmpty():
-        held = held.join(today.where("active").select("algo_id"), "algo_id", "left_semi")
+    known = today.agg((F.count("*") > 0).alias("known"))
+    alive = today.where("active").select("algo_id", F.lit(True).alias("alive")).distinct()
+    held = held.crossJoin(F.broadcast(known)).join(alive, "algo_id", "left").where("not known or alive").select("algo_id", "cluster")  # known is one row
     share = held.join(weights.where("weight > 0"), "cluster")
     return share.select("algo_id", (capital * F.col("weight") / F.count("*").over(Window.partitionBy("cluster"))).alias("amount"))
 

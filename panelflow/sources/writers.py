@@ -42,9 +42,9 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def write_universe(rets: DataFrame, folder: str) -> None:
-    """Returns and activity as one long table by year, so that date ranges prune folders."""
+    """Returns and activity as one long table by year, so that date ranges prune folders; a year's rows are shared out by ranges of time."""
     rows = rets.withColumn("year", F.year("ts"))
-    rows.repartition("year").sortWithinPartitions("ts", "algo_id").write.mode("overwrite").partitionBy("year").parquet(f"{folder}/universe")
+    rows.repartitionByRange("year", "ts").sortWithinPartitions("ts", "algo_id").write.mode("overwrite").partitionBy("year").parquet(f"{folder}/universe")
 
 
 def write_table(rows: DataFrame, folder: str, name: str) -> None:
