@@ -1 +1,11 @@
-"""panelflow operators"""
+"""panelflow operators.
+
+Functions that run in Python workers are pickled by value, so executors need no
+copy of the library.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
