@@ -33,6 +33,13 @@ def _returns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return panel.returns(rows, times), times
 
 
+def _written_returns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """_returns, written: what several parts of a plan read, so that lineitem is read once."""
+    rows = writers.save(_panel(spark, sf_dir), "panel")
+    times = writers.save(panel.calendar(rows), "times")
+    return writers.save(panel.returns(rows, times), "returns"), times
+
+
 def _series(rets: DataFrame, times: DataFrame) -> DataFrame:
     """Cluster series (ts, i, cluster, ret, vol, mom) of clusters by id modulo K, every series a member at every time."""
     size = rets.groupBy(F.pmod("algo_id", F.lit(K)).cast("int").alias("cluster")).agg(F.countDistinct("algo_id").alias("n"))
@@ -112,17 +119,18 @@ def q10_scaled_features(spark, sf_dir):
     return cluster.scaled(_features(spark, sf_dir)).select("i", "algo_id", _r("x", 5).alias("x"), _r("y", 5).alias("y"))
 
 
-def _labels(spark, sf_dir):
-    return cluster.kmeans(cluster.scaled(_features(spark, sf_dir)), FOUND, ROUNDS)
+def _labels(rets, times):
+    found = cluster.window_features(panel.dense(rets, times, CFG.window), CFG.window, CFG.active_share, FOUND)
+    return cluster.kmeans(cluster.scaled(found), FOUND, ROUNDS)
 
 
 def q11_kmeans_labels(spark, sf_dir):
-    return _labels(spark, sf_dir)
+    return _labels(*_written_returns(spark, sf_dir))
 
 
 def _found(spark, sf_dir):
-    rets, times = _returns(spark, sf_dir)
-    return cluster.cluster_returns(_labels(spark, sf_dir), rets, times, FOUND)
+    rets, times = _written_returns(spark, sf_dir)
+    return cluster.cluster_returns(_labels(rets, times), rets, times, FOUND)
 
 
 def q12_cluster_returns(spark, sf_dir):
@@ -290,26 +298,30 @@ def q37_global_curves(spark, sf_dir):
     return c.select(F.col("date").alias("d"), _r("strategy", 4).alias("strategy"), _r("bench", 4).alias("bench"))
 
 
-def _full(spark, sf_dir):
+def _full_labels(rets, times):
+    found = cluster.window_features(panel.dense(rets, times, CFG.window), CFG.window, CFG.active_share, CFG.clusters, CFG.rebalance)
+    return cluster.kmeans(cluster.scaled(found), CFG.clusters, starts=CFG.starts)
+
+
+def _full(rets, times):
     """Series (ts, i, cluster, ret, vol, mom) of clusters found at full size: CFG.clusters, each date until it converges."""
-    return cluster.cluster_features(cluster.cluster_returns(q38_full_kmeans_labels(spark, sf_dir), *_returns(spark, sf_dir), CFG.clusters, CFG.rebalance), CFG.feature_window)
+    return cluster.cluster_features(cluster.cluster_returns(_full_labels(rets, times), rets, times, CFG.clusters, CFG.rebalance), CFG.feature_window)
 
 
 def q38_full_kmeans_labels(spark, sf_dir):
-    rets, times = _returns(spark, sf_dir)
-    found = cluster.window_features(panel.dense(rets, times, CFG.window), CFG.window, CFG.active_share, CFG.clusters, CFG.rebalance)
-    return cluster.kmeans(cluster.scaled(found), CFG.clusters, starts=CFG.starts)
+    return _full_labels(*_written_returns(spark, sf_dir))
 
 
 def q39_full_cluster_wide(spark, sf_dir):
-    w = cluster.wide(_full(spark, sf_dir), CFG.clusters)
+    w = cluster.wide(_full(*_written_returns(spark, sf_dir)), CFG.clusters)
     return w.select("i", *(_r(c).alias(c) for c in w.columns if c.startswith("C")))
 
 
 def q40_full_backtest_log(spark, sf_dir):
     """The momentum policy's log over found clusters."""
-    bench = benchmark.asof_returns(_returns(spark, sf_dir)[1], adapters.order_months(spark, sf_dir), "bfill")
-    log = backtest.simulate(policy.momentum(_frame(_full(spark, sf_dir), bench)), CFG)
+    rets, times = _written_returns(spark, sf_dir)
+    bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")
+    log = backtest.simulate(policy.momentum(_frame(_full(rets, times), bench)), CFG)
     return log.select(F.to_date("ts").alias("d"), _r("equity", 4).alias("equity"), _r("ret", 8).alias("ret"), _r("turnover").alias("turnover"), _r("cost", 8).alias("cost"), _r("cash_weight").alias("cash_weight"))
 
 
@@ -444,8 +456,9 @@ def q59_network_rollout(spark, sf_dir):
 
 def q60_full_walk_forward(spark, sf_dir):
     """Folds at full size: found clusters, window and rounds of the configuration."""
-    bench = benchmark.asof_returns(_returns(spark, sf_dir)[1], adapters.order_months(spark, sf_dir), "bfill")
-    acted = policy.momentum(_frame(_full(spark, sf_dir), bench)).drop("fold")
+    rets, times = _written_returns(spark, sf_dir)
+    bench = benchmark.asof_returns(times, adapters.order_months(spark, sf_dir), "bfill")
+    acted = policy.momentum(_frame(_full(rets, times), bench)).drop("fold")
     figures = backtest.kpis(backtest.simulate(backtest.walk_forward(acted, _folds(spark)), CFG, ("fold", "split")), CFG, ("fold", "split"))
     return backtest.fold_summary(figures).select("Fold", *(_r(c, 4).alias(c) for c in ("Train_Ret", "Test_Ret", "Train_Sharpe", "Test_Sharpe")))
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from panelflow.operators import cluster
+from panelflow.plans import registry
 
 
 def _jobs(spark, name, run):
@@ -50,3 +51,11 @@ def test_digests_of_many_messages_at_once():
     kept = {}
     short, long = cluster._draw(b"1:2:3", [b":7"], kept), cluster._draw(b"1:2:3", [b":7", b":" + b"a" * 80], {})
     assert kept[5] is not None and short[0] == long[0]
+
+
+@pytest.mark.parametrize("name", ["q12_cluster_returns", "q39_full_cluster_wide", "q40_full_backtest_log", "q60_full_walk_forward"])
+def test_panel_is_aggregated_once(spark, name, monkeypatch):
+    asked = []
+    monkeypatch.setattr(registry, "_panel", lambda *a, was=registry._panel: asked.append(a) or was(*a))
+    out = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(asked) == 1 and not [f for f in out.inputFiles() if "lineitem" in f]
