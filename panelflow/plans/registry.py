@@ -383,9 +383,9 @@ def _from_files(spark, sf_dir):
     """The panel written as a CSV a series and read back, ids as strings."""
     folder = f"{writers.shared_folder(spark, 'prices')}/raw"
     writers.write_prices(_panel(spark, sf_dir), folder)
-    rows = panel.dedupe_first(adapters.read_prices(spark, folder), ["algo_id", "ts"], "seq").drop("seq")
-    times = panel.calendar(rows)
-    return panel.returns(rows, times), times
+    rows = writers.save(panel.dedupe_first(adapters.read_prices(spark, folder), ["algo_id", "ts"], "seq").drop("seq"), "panel")
+    times = writers.save(panel.calendar(rows), "times")
+    return writers.save(panel.returns(rows, times), "returns"), times
 
 
 def q49_prices_from_csv(spark, sf_dir):
@@ -393,9 +393,7 @@ def q49_prices_from_csv(spark, sf_dir):
 
 
 def q50_labels_from_csv(spark, sf_dir):
-    rets, times = _from_files(spark, sf_dir)
-    found = cluster.window_features(panel.dense(rets, times, CFG.window), CFG.window, CFG.active_share, FOUND)
-    return cluster.kmeans(cluster.scaled(found), FOUND, ROUNDS)
+    return _labels(*_from_files(spark, sf_dir))
 
 
 def q51_data_audit(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,7 +134,8 @@ def read_fold_summary(spark: SparkSession, path: str) -> DataFrame:
 def write_prices(panel: DataFrame, folder: str) -> None:
     """One {algo_id}.csv (datetime, close) a series, as the price source reads them.
 
-    Spark writes a folder a series; the driver only moves each folder's one file.
+    Spark writes a folder a series; the driver only moves each folder's one
+    file, many at a time.
     """
     spark = panel.sparkSession
     work = f"{folder}.{uuid.uuid4().hex}"
@@ -143,9 +145,15 @@ def write_prices(panel: DataFrame, folder: str) -> None:
     target = _file_system(spark, folder)[1]
     fs.delete(target, True)
     fs.mkdirs(target)
-    for series in fs.listStatus(at):
-        name = series.getPath().getName()
-        if name.startswith("algo_id="):
-            part = next(s.getPath() for s in fs.listStatus(series.getPath()) if s.getPath().getName().startswith("part-"))
-            fs.rename(part, _file_system(spark, f"{folder}/{name[8:]}.csv")[1])
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    # listed by Spark, without their contents: asking the driver's file system for each folder takes longer than all else
+    parts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(work).select("path").toPandas()["path"]
+
+    def move(part: str) -> None:
+        name = part.rsplit("/", 2)[1][len("algo_id=") :]
+        if not fs.rename(path(part), path(f"{folder}/{name}.csv")):
+            raise OSError(f"{folder}/{name}.csv could not be written")
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(move, parts))
     fs.delete(at, True)

@@ -1,12 +1,14 @@
 """Work that must not grow with rounds, uses or files."""
 
 import hashlib
+from datetime import datetime
 
 import numpy as np
 import pytest
 
 from panelflow.operators import cluster
 from panelflow.plans import registry
+from panelflow.sources import adapters, writers
 
 
 def _jobs(spark, name, run):
@@ -59,3 +61,12 @@ def test_panel_is_aggregated_once(spark, name, monkeypatch):
     monkeypatch.setattr(registry, "_panel", lambda *a, was=registry._panel: asked.append(a) or was(*a))
     out = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(asked) == 1 and not [f for f in out.inputFiles() if "lineitem" in f]
+
+
+def test_price_files_are_opened_once(spark, tmp_path):
+    rows = spark.createDataFrame([(f"a{n}", datetime(2024, 1, d), float(n + d)) for n in range(20) for d in (1, 2)], "algo_id string, ts timestamp, close double")
+    writers.write_prices(rows, str(tmp_path / "raw"))
+    assert sorted(p.name for p in (tmp_path / "raw").glob("*.csv")) == sorted(f"a{n}.csv" for n in range(20))
+    got = adapters.read_prices(spark, str(tmp_path / "raw"))
+    assert not [f for f in got.inputFiles() if f.endswith(".csv")]
+    assert sorted(got.select("algo_id", "ts", "close").collect()) == sorted(rows.collect())
