@@ -167,6 +167,22 @@ def test_a_hot_passage_and_repeated_ids(spark, monkeypatch):
     assert sorted((x.doc_id, x.n_bytes) for x in suffixes.remove_repeats(rows).collect()) == [(1, 380), (1, 590), (1, 590), (2, 381)]
 
 
+def test_a_line_that_fills_texts_is_a_row_a_text(spark):
+    line, (p, q, *_) = "all of these lines are the same line\n", [x for x in _prose(11, 40, longest=160) if 500 < len(x) < 900]
+    texts = [line * 40, line * 25 + p, q + line * 30, "a" * 900, p + q + p, line * 11, line * 3, q[:450], "", None]
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+    want = [sum(any(seen[b[i : i + 400]] > 1 for i in range(max(0, p - 399), min(p, len(b) - 400) + 1)) for p in range(len(b))) for b in raw]
+    assert {x.doc_id: x.n_removed for x in suffixes.remove_repeats(_docs(spark, texts)).collect()} == dict(enumerate(want))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(raw))), pa.array(raw)], names=["id", "text"])
+    rows = [x for b in suffixes._anchor_rows(iter([batch])) for x in b.to_pylist()]
+    assert len(rows) == len({(x["id"], x["c0"], x["c1"]) for x in rows})
+    # what one text holds several times needs no other text to be found
+    alone = [(x["id"], s["a"], s["b"]) for x in rows if x["times"] > 1 for s in x["inside"]]
+    assert all(any(i == 3 and a <= k < b for i, a, b in alone) for k in range(900))
+    assert all(x["times"] > 1 or not x["inside"] for x in rows)
+
+
 def test_quality_counts_and_verdicts(spark):
     clean = _prose(7, 60, words=900)
     texts = [None, "", "a\nb\na", *clean, *("x### y$$$ " * 60 for _ in range(8)), "same words here " * 50]
