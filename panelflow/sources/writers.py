@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from panelflow.operators import backtest
 
+#: Price files of a folder, about: more are dealt out to several, as Spark's driver keeps all files of what it reads or writes.
+FOLDER_FILES = 10_000
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which all executors share; it goes when the driver's JVM ends.
@@ -132,19 +135,76 @@ def read_fold_summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_prices(panel: DataFrame, folder: str) -> None:
-    """One {algo_id}.csv (datetime, close) a series, as the price source reads them.
+    """One {algo_id}.csv (datetime, close) a series, as the price source reads them; of more than FOLDER_FILES series, dealt out to folders series-N below.
 
-    Spark writes a folder a series; the driver only moves each folder's one
-    file, many at a time.
+    The driver holds no more than one folder's files at a time.  In a local
+    folder, which executors share, tasks write each file under its name.
+    Elsewhere Spark writes a folder a series, and the driver only moves each
+    folder's one file, many at a time.
     """
     spark = panel.sparkSession
+    # ids as Spark names the folders of a table, in which those without a name are one
+    name = F.coalesce(F.expr("nullif(cast(algo_id as string), '')"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    rows = save(panel.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "close", name.alias("algo_id")), "prices")
+    n = -(-rows.agg(F.countDistinct("algo_id")).first()[0] // FOLDER_FILES)
+    below = [f"/series-{k:09d}" for k in range(n)] if n > 1 else [""]
+    rows = rows.withColumn("below", F.pmod(F.xxhash64("algo_id"), F.lit(len(below))).cast("int"))
+    fs, target = _file_system(spark, folder)
+    fs.delete(target, True)
+    for b in below:
+        fs.mkdirs(_file_system(spark, folder + b)[1])
+    if fs.getUri().getScheme() == "file":
+        return _write_local(rows, fs.makeQualified(target).toUri().getPath(), below)
+    if n > 1:
+        at = f"{shared_folder(spark, 'prices')}/rows"
+        rows.repartition("below").write.partitionBy("below").parquet(at)
+        rows = spark.read.schema(rows.schema).parquet(at)
+    for k, b in enumerate(below):
+        _write_moved(rows.where(F.col("below") == k).drop("below"), folder + b)
+
+
+def _write_local(rows: DataFrame, folder: str, below: list[str]) -> None:
+    """Price files of rows (datetime, close, algo_id, below), written by the tasks; a file gets its name when it is whole."""
+    special = r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]"""
+
+    def write(batches):
+        import os
+        import re
+        import uuid
+        from itertools import groupby
+
+        import pyarrow as pa
+
+        key, out, path, files = None, None, "", 0
+        for batch in batches:
+            ids = zip(batch.column("algo_id").to_pylist(), batch.column("below").to_pylist(), batch.column("line").to_pylist())
+            for (algo, k), lines in groupby(ids, lambda x: x[:2]):
+                if algo != key:
+                    if out:
+                        out.close()
+                        os.replace(out.name, path)
+                    key, files = algo, files + 1
+                    name = re.sub(special, lambda c: f"%{ord(c[0]):02X}", algo)
+                    path = f"{folder}{below[k]}/{name}.csv"
+                    out = open(f"{folder}{below[k]}/.{uuid.uuid4().hex}", "w", encoding="utf-8", newline="")
+                    out.write("datetime,close\n")
+                out.writelines(x[2] for x in lines)
+        if out:
+            out.close()
+            os.replace(out.name, path)
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    lines = rows.repartition("algo_id").sortWithinPartitions("algo_id", "datetime").select("algo_id", "below", F.concat(text("datetime"), F.lit(","), text("close"), F.lit("\n")).alias("line"))
+    lines.mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
+
+
+def _write_moved(rows: DataFrame, folder: str) -> None:
+    """Price files of rows (datetime, close, algo_id), written by Spark and moved to folder, which is there."""
+    spark = rows.sparkSession
     work = f"{folder}.{uuid.uuid4().hex}"
-    rows = panel.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"), "close", F.col("algo_id").cast("string").alias("algo_id"))
     rows.repartition("algo_id").sortWithinPartitions("algo_id", "datetime").write.partitionBy("algo_id").option("header", True).csv(work)
     fs, at = _file_system(spark, work)
-    target = _file_system(spark, folder)[1]
-    fs.delete(target, True)
-    fs.mkdirs(target)
     path = spark._jvm.org.apache.hadoop.fs.Path
     # listed by Spark, without their contents: asking the driver's file system for each folder takes longer than all else
     parts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(work).select("path").toPandas()["path"]

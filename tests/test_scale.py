@@ -70,3 +70,40 @@ def test_price_files_are_opened_once(spark, tmp_path):
     got = adapters.read_prices(spark, str(tmp_path / "raw"))
     assert not [f for f in got.inputFiles() if f.endswith(".csv")]
     assert sorted(got.select("algo_id", "ts", "close").collect()) == sorted(rows.collect())
+
+
+def test_many_price_files_are_dealt_out_to_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "FOLDER_FILES", 5)
+    rows = spark.createDataFrame([(f"a{n}", datetime(2024, 1, d), float(n + d) if d < 3 else None) for n in range(43) for d in (1, 2, 3)], "algo_id string, ts timestamp, close double")
+    raw = tmp_path / "raw"
+    writers.write_prices(rows, str(raw))
+    files = sorted(raw.rglob("*.csv"))
+    assert sorted(f.name for f in files) == sorted(f"a{n}.csv" for n in range(43)) and not list(raw.glob("*.csv"))
+    assert max(sum(f.parent == d for f in files) for d in raw.iterdir()) < 20
+    (raw / "late.csv").write_text("datetime,close\n2024-01-01,7\n")
+    (raw / "else").mkdir()
+    (raw / "else" / "not.csv").write_text("datetime,close\n2024-01-01,7\n")
+    seen, was = [], type(spark.read).text
+    monkeypatch.setattr(type(spark.read), "text", lambda self, *a, **k: seen.append(was(self, *a, **k)) or seen[-1])
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    got = adapters.read_prices(spark, str(raw)).select("algo_id", "ts", "close").collect()
+    assert sorted(map(str, got)) == sorted(map(str, [*rows.collect(), got[0].__class__("algo_id", "ts", "close")("late", datetime(2024, 1, 1), 7.0)]))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+    assert len(seen) == 10 and sorted(x for s in seen for x in s.inputFiles()) == sorted(f"file://{f}" for f in [*files, raw / "late.csv"])
+
+
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_price_files_are_alike_on_every_store(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(writers, "FOLDER_FILES", most)
+    for at in ("here", "there"):
+        (tmp_path / at).mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.m{most}.link./in", f"file://{tmp_path}/there")
+    ids = ["plain", "a b", "ü", "x=1", "c%d", "e:f/g", "[h]{i}", "q\"'#", "", None, "7"]
+    prices = [1e7, 1e-5, 0.0, float("nan"), None, 1234567.89]
+    rows = spark.createDataFrame([(a, datetime(2024, 1, 1 + d, 5, d), p) for a in ids for d, p in enumerate(prices) if a or d < 1], "algo_id string, ts timestamp, close double")
+    writers.write_prices(rows, f"{tmp_path}/here/raw")
+    writers.write_prices(rows, f"viewfs://m{most}/in/raw")
+    a, b = ({str(f.relative_to(tmp_path / at)): sorted(f.read_text().split("\n")) for f in (tmp_path / at).rglob("*.csv")} for at in ("here", "there"))
+    assert a == b and len(a) == 10 and {len(f.split("/")) for f in a} == {3 if most == 3 else 2}
+    a, b = (sorted(map(str, adapters.read_prices(spark, at).select("algo_id", "ts", "close").collect())) for at in (f"{tmp_path}/here/raw", f"viewfs://m{most}/in/raw"))
+    assert a == b and len(a) == 54
